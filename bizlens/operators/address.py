@@ -132,9 +132,12 @@ def bulk_enrich(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_s
                     try:
                         parts.append(fn(row))
                     except Exception:
-                        parts.append(pd.DataFrame({k: row[k].astype(str).tolist() for k in key_cols}))
+                        parts.append(pd.DataFrame({k: pd.Series([str(v) for v in row[k]], dtype=object)
+                                                   for k in key_cols}))
                 out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
-            yield out.reindex(columns=names)
+            out = out.reindex(columns=names)
+            # plain object columns: Arrow-backed string dtypes do not convert back
+            yield pd.DataFrame({c: pd.Series(out[c].tolist(), dtype=object) for c in names})
 
     return df.mapInPandas(run, schema=out_schema)
 
@@ -163,4 +166,4 @@ def payload_lookup(pdf: pd.DataFrame) -> pd.DataFrame:
         except (ValueError, KeyError, TypeError, AttributeError):
             hits = []
         rows.extend(hits or [base])
-    return pd.DataFrame(rows, columns=BRONZE_COLUMNS)
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in BRONZE_COLUMNS})

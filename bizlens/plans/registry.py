@@ -11,7 +11,7 @@ from . import catalog
 
 def _load() -> dict:
     # Importing a plan module registers its queries in catalog.REGISTRY.
-    from . import catalog_more  # noqa: F401
+    from . import catalog_models, catalog_more  # noqa: F401
     return catalog.REGISTRY
 
 
