@@ -113,6 +113,21 @@ def export_embeddings(names: DataFrame, model, dim: int = W2V_DIM, strict_refere
 
 
 # -------------------------------------------------------------------- models --
+def training_input(df: DataFrame, expected_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
+    """Materialise a (bounded) training set before fitting.
+
+    Tree learners make many passes over their input; a sample built by
+    splits, quotas and oversampling has a long lineage, so it is written once
+    to the reliable checkpoint folder (lineage cut, survives executor loss)
+    with a partition count proportional to its size, not to the cluster.
+    """
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-expected_rows // rows_per_partition)))
+    return df.repartition(parts).checkpoint(eager=True)
+
+
 def fold_column(key: str, folds: int = CV_FOLDS, seed: int = 42) -> F.Column:
     return F.pmod(seeded_hash(key, f"fold{seed}"), F.lit(folds)).cast("int")
 

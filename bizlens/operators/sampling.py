@@ -69,13 +69,22 @@ def stratified_split(df: DataFrame, strata: Sequence[str], test_frac: float, key
     return select_smallest(df, strata, lambda n, N: F.round(F.lit(float(test_frac)) * n), key, seed, flag)
 
 
-def split(df: DataFrame, strata: Sequence[str], test_frac: float, key: str, seed: int = 42
-          ) -> tuple[DataFrame, DataFrame]:
-    """E6 + J3: (train, test).  Train is the anti-join complement of test."""
+def split(df: DataFrame, strata: Sequence[str], test_frac: float, key: str, seed: int = 42,
+          materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(train, test) as the two sides of one flagged table.
+
+    Both sides come from the same deterministic flag, so train is exactly the
+    complement of test (what the J3 anti join computes) without a second
+    pass.  ``materialize=True`` writes the flagged table once to the reliable
+    checkpoint folder, cutting the lineage for the many passes of model
+    training that follow.
+    """
     flagged = stratified_split(df, strata, test_frac, key, seed, "_is_test")
-    test = flagged.where("_is_test").drop("_is_test")
-    train = df.join(test.select(key), on=key, how="left_anti")
-    return train, test
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        flagged = flagged.checkpoint(eager=True)
+    return flagged.where(~F.col("_is_test")).drop("_is_test"), flagged.where("_is_test").drop("_is_test")
 
 
 def sample_to(df: DataFrame, strata: Sequence[str], target: int, key: str, seed: int = 42,

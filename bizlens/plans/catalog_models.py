@@ -81,8 +81,10 @@ def _model_features(spark, sf) -> DataFrame:
 
 
 def _train_test(spark, sf):
-    feats = _model_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = sp.split(feats, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED)
+    # the split table feeds sampling, oversampling, fitting and scoring: it is
+    # written once to the checkpoint folder (lineage cut)
+    feats = _model_features(spark, sf)
+    train, test = sp.split(feats, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED, materialize=True)
     sample = sp.sample_to(train, ["closed"], SAMPLE_TARGET, "unique_id", SAMPLE_SEED).where("sampled").drop("sampled")
     return sample, test
 
@@ -92,7 +94,7 @@ def rf_score(spark, sf):
     """E9a + E11 + E14: oversampled random forest scored on the hold-out set."""
     sample, test = _train_test(spark, sf)
     over = sp.oversample(sample, "closed", "unique_id", SAMPLE_SEED, keep_originals=False)
-    model = md.fit_rf(over)
+    model = md.fit_rf(md.training_input(over, 2 * SAMPLE_TARGET))
     return md.score(model, test)
 
 
@@ -101,7 +103,7 @@ def gbt_score(spark, sf):
     """E9b + E12 + E14: oversampled boosted trees scored on the hold-out set."""
     sample, test = _train_test(spark, sf)
     over = sp.oversample(sample, "closed", "unique_id", SAMPLE_SEED, keep_originals=True)
-    model = md.fit_gbt(over)
+    model = md.fit_gbt(md.training_input(over, 2 * SAMPLE_TARGET))
     return md.score(model, test)
 
 
@@ -110,14 +112,14 @@ def importance(spark, sf):
     """Top-20 feature importances of the oversampled random forest."""
     sample, _ = _train_test(spark, sf)
     over = sp.oversample(sample, "closed", "unique_id", SAMPLE_SEED)
-    return md.importance_table(md.fit_rf(over), FEATURES, spark, 20)
+    return md.importance_table(md.fit_rf(md.training_input(over, 2 * SAMPLE_TARGET)), FEATURES, spark, 20)
 
 
 @register("experiment_table")
 def experiment_table(spark, sf):
     """E10 + E8 + E9 + E15: class-imbalance strategies compared on the hold-out set."""
     sample, test = _train_test(spark, sf)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
+    sample = md.training_input(sample, SAMPLE_TARGET)
     runs = {
         "class_weights": (sp.with_class_weights(sample, "closed"), "weight"),
         "undersample": (sp.undersample(sample, "closed", "unique_id", SAMPLE_SEED).where("kept").drop("kept"), None),
@@ -125,7 +127,8 @@ def experiment_table(spark, sf):
     }
     out = None
     for name, (train, wcol) in runs.items():
-        ev = md.evaluate(md.score(md.fit_rf(train, weight_col=wcol), test)).select(
+        model = md.fit_rf(md.training_input(train, 2 * SAMPLE_TARGET), weight_col=wcol)
+        ev = md.evaluate(md.score(model, test)).select(
             F.lit(name).alias("strategy"), "metric", "value")
         out = ev if out is None else out.unionByName(ev)
     return out
@@ -138,7 +141,7 @@ def grid_search(spark, sf):
     sample, test = _train_test(spark, sf)
     folded = sample.withColumn("fold", md.fold_column("unique_id"))
     over = sp.oversample(folded, "closed", "unique_id", SAMPLE_SEED)
-    cv = md.grid_search(over)
+    cv = md.grid_search(md.training_input(over, 2 * SAMPLE_TARGET))
     best = cv.bestModel
     params = F.lit(f"maxDepth={best.getMaxDepth()},minInstancesPerNode={best.getMinInstancesPerNode()}")
     return md.evaluate(md.score(best, test)).select(params.alias("best_params"), "metric", "value")
@@ -166,10 +169,11 @@ def feature_experiment(spark, sf):
     }
     out = None
     for name, df in variants.items():
-        train, test = sp.split(df, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED)
+        train, test = sp.split(df, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED, materialize=True)
         sample = sp.sample_to(train, ["closed"], SAMPLE_TARGET, "unique_id", SAMPLE_SEED).where("sampled")
         over = sp.oversample(sample.drop("sampled"), "closed", "unique_id", SAMPLE_SEED, keep_originals=True)
-        ev = md.evaluate(md.score(md.fit_gbt(over), test)).select(F.lit(name).alias("feature_set"), "metric", "value")
+        model = md.fit_gbt(md.training_input(over, 2 * SAMPLE_TARGET))
+        ev = md.evaluate(md.score(model, test)).select(F.lit(name).alias("feature_set"), "metric", "value")
         out = ev if out is None else out.unionByName(ev)
     return out
 

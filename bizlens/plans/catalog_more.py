@@ -144,9 +144,10 @@ train AS (SELECT unique_id, service, closed FROM lic WHERE unique_id NOT IN (SEL
 
 
 def _train(spark, sf):
+    """Training set = licences minus the stratified test set (anti join)."""
     lic = licences(spark, sf).select("unique_id", "service", "closed")
-    train, _ = sp.split(lic, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED)
-    return train
+    test = sp.stratified_split(lic, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED).where("is_test")
+    return jn.complement(lic, test, "unique_id")
 
 
 @register("anti_complement", with_lic(f"{DUCK_TRAIN}\nSELECT * FROM train"))
@@ -479,3 +480,69 @@ def franchise_window(spark, sf):
     """Closure rate by region and franchise flag in the observation window."""
     from .catalog import _model_table
     return sm.closure_summary(_model_table(spark, sf), ["sido", "is_franchise"], rollup=False)
+
+
+# ---------------------------------------------------- small operator queries --
+@register("scan_licences", with_lic("SELECT * FROM lic"))
+def scan_licences(spark, sf):
+    """S1 + S2 + S6: the SQL-text licence source over the scanned tables."""
+    return licences(spark, sf)
+
+
+@register("held_names", with_lic("SELECT unique_id, bizname FROM n1 WHERE clean_result = '보류'", names=True))
+def held_names(spark, sf):
+    """rows held back by stage 1 (null-safe sentinel equality)."""
+    from ..operators import names as nm
+    held, _ = flt.split_hold(nm.clean_names(licences(spark, sf)), "clean_result")
+    return held.select("unique_id", "bizname")
+
+
+@register("stopword_drop", with_lic(f"""
+SELECT unique_id, brand FROM n2best WHERE brand NOT IN ({', '.join(duck.q(w) for w in flt.tx.STOPWORDS)})""",
+                                     names=True))
+def stopword_drop(spark, sf):
+    """F8: matched brands of held rows without stop-words."""
+    from ..functions import text as tx
+    from ..operators import names as nm
+    from .catalog import PIPE_TOP_N
+    stage1 = nm.clean_names(licences(spark, sf))
+    held = stage1.where(flt.is_hold("clean_result")).select(
+        "unique_id", tx.strip_corp_tokens("bizname").alias("hold_text"))
+    dictionary = nm.brand_dictionary(stage1.where(~flt.is_hold("clean_result")), "clean_result", PIPE_TOP_N)
+    best = nm.match_dictionary(held, "hold_text", dictionary, keep=("unique_id",))
+    return flt.drop_stopwords(best, "brand")
+
+
+@register("min_len", with_lic(f"""
+SELECT unique_id, c1 AS clean_name FROM ({duck.clean_name_select('lic')}) t
+WHERE length({duck.py_strip('c1')}) >= 2"""))
+def min_len(spark, sf):
+    """F6 (+F7): cleaned names with at least two characters after stripping."""
+    df = licences(spark, sf).select("unique_id", flt.tx.clean_business_name("bizname").alias("clean_name"))
+    return flt.min_len(flt.drop_nulls(df, ["clean_name"]), "clean_name", 2)
+
+
+@register("keep_in", with_lic("""
+SELECT unique_id, dong FROM lic WHERE dong IN (SELECT dong FROM lic WHERE closed = 1 GROUP BY dong HAVING count(*) >= 12)"""))
+def keep_in(spark, sf):
+    """membership against a derived value list (semi join, never a collected isin)."""
+    lic = licences(spark, sf)
+    busy = lic.where("closed = 1").groupBy("dong").count().where(F.col("count") >= 12)
+    return flt.keep_in(lic.select("unique_id", "dong"), "dong", busy)
+
+
+@register("shuffle_rows", with_lic(f"""
+SELECT unique_id, {_h(11)} AS shuffle_key FROM lic"""))
+def shuffle_rows(spark, sf):
+    """Seeded full shuffle = distributed sort by a seeded hash."""
+    lic = licences(spark, sf).select("unique_id", seeded_hash("unique_id", 11).alias("shuffle_key"))
+    return lic.orderBy("shuffle_key", "unique_id")
+
+
+@register("closure_year", with_lic("""
+SELECT CAST(year(closure_date) AS INTEGER) AS closure_year, count(*) AS n FROM lic
+WHERE closure_date IS NOT NULL GROUP BY 1"""))
+def closure_year(spark, sf):
+    """Closures per calendar year."""
+    lic = licences(spark, sf).where(F.col("closure_date").isNotNull())
+    return lic.groupBy(F.year("closure_date").alias("closure_year")).agg(F.count(F.lit(1)).alias("n"))
