@@ -55,12 +55,15 @@ def parse_address_response(df: DataFrame, payload_col: str, keep: Sequence[str]
     JSON parsing is used (the reference's literal-eval rejects null/true/false;
     such payloads parse here - a documented deviation).
     """
+    # Parse once, then explode only accepted address lists.  No separate
+    # filter: a filter would be pushed below the parse and re-evaluate
+    # from_json once per referenced field.
     parsed = df.select(*keep, F.from_json(strip_jsonp(F.col(payload_col)), RESPONSE_SCHEMA).alias("_r"))
     r = F.col("_r.results")
     ok = (r.isNotNull() & F.col("_r.results.juso").isNotNull() & (F.size("_r.results.juso") > 0)
           & ~F.col("_r.results.common.totalCount").eqNullSafe(F.lit("0")))
-    exploded = parsed.where(ok).select(*keep, F.col("_r.results.common").alias("_c"),
-                                       F.explode("_r.results.juso").alias("_j"))
+    exploded = parsed.select(*keep, F.col("_r.results.common").alias("_c"),
+                             F.explode(F.when(ok, F.col("_r.results.juso"))).alias("_j"))
     return exploded.select(*keep, *[F.col(f"_c.{c}").alias(c) for c in COMMON_FIELDS],
                            *[F.col(f"_j.{c}").alias(c) for c in JUSO_FIELDS])
 

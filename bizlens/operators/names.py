@@ -103,27 +103,33 @@ def keep_frequent(df: DataFrame, col: str, min_count: int) -> DataFrame:
     return df.join(frequent, on=col, how="left_semi")
 
 
+def hold_branches(stage1: DataFrame, top_n: int = 500, persist: bool = True
+                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rest, held rows with their corp-stripped text, brand dictionary).
+
+    ``stage1`` feeds all three, so it is persisted once (memory, spilling to
+    disk; lost blocks recompute from lineage).  The cache is also a barrier:
+    without it the optimizer pushes the hold filter below the cleaning
+    projection and evaluates the whole regex chain again inside the filter
+    and the aggregation key.
+    """
+    if persist:
+        stage1 = stage1.persist(StorageLevel.MEMORY_AND_DISK)
+    hold = is_hold("clean_result")
+    rest = stage1.where(~hold)
+    held = stage1.where(hold).select("unique_id", "bizname", tx.strip_corp_tokens("bizname").alias("hold_text"))
+    return rest, held, brand_dictionary(rest, "clean_result", top_n)
+
+
 def resolve_held_names(stage1: DataFrame, top_n: int = 500, min_freq: int = 500,
                        stopwords: Sequence[str] = tx.STOPWORDS, persist: bool = True) -> DataFrame:
     """Resolve held names through the brand dictionary.
 
     Held rows keep the first frequent, non-stop-word dictionary brand found in
     their corp-stripped raw name and are dropped otherwise; all other rows
-    (nulls included) pass unchanged.
-
-    ``stage1`` feeds three branches (dictionary, held rows, pass-through), so
-    it is persisted once (memory, spilling to disk; lost blocks recompute from
-    lineage).  The cache is also a barrier: without it the optimizer pushes the
-    hold filter below the cleaning projection and evaluates the whole regex
-    chain again inside the filter and the aggregation key.
+    (nulls included) pass unchanged.  See ``hold_branches`` for the cache.
     """
-    if persist:
-        stage1 = stage1.persist(StorageLevel.MEMORY_AND_DISK)
-    hold = is_hold("clean_result")
-    rest = stage1.where(~hold)
-    held = stage1.where(hold).select("unique_id", "bizname",
-                                     tx.strip_corp_tokens("bizname").alias("hold_text"))
-    dictionary = brand_dictionary(rest, "clean_result", top_n)
+    rest, held, dictionary = hold_branches(stage1, top_n, persist)
     matched = match_dictionary(held, "hold_text", dictionary, keep=("unique_id", "bizname"))
     # Brands are dictionary entries, so this table has at most top_n rows.
     good = (matched.groupBy("brand").count()

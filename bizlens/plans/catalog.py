@@ -176,30 +176,25 @@ SELECT brand, CAST(cnt AS BIGINT) AS cnt,
        CAST(row_number() OVER (ORDER BY length(brand) DESC, cnt DESC, brand ASC) AS INTEGER) AS match_order FROM v""",
                                           names=True))
 def brand_dictionary(spark, sf):
-    stage1 = nm.clean_names(licences(spark, sf))
-    return nm.brand_dictionary(stage1.where(~flt.is_hold("clean_result")), "clean_result", DICT_TOP_N)
+    _, _, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), DICT_TOP_N)
+    return dictionary
 
 
 @register("dictionary_match", with_lic("""
 SELECT h.unique_id, h.hold_text, b.brand FROM n2hold h LEFT JOIN n2best b ON h.unique_id = b.unique_id""",
                                           names=True))
 def dictionary_match(spark, sf):
-    stage1 = nm.clean_names(licences(spark, sf))
-    held = stage1.where(flt.is_hold("clean_result")).select(
-        "unique_id", tx.strip_corp_tokens("bizname").alias("hold_text"))
-    dictionary = nm.brand_dictionary(stage1.where(~flt.is_hold("clean_result")), "clean_result", PIPE_TOP_N)
+    _, held, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), PIPE_TOP_N)
     best = nm.match_dictionary(held, "hold_text", dictionary, keep=("unique_id",))
-    return held.join(best, on="unique_id", how="left").select("unique_id", "hold_text", "brand")
+    return held.select("unique_id", "hold_text").join(best, on="unique_id", how="left").select(
+        "unique_id", "hold_text", "brand")
 
 
 @register("frequent_brands", with_lic(f"""
 SELECT unique_id, brand FROM n2best WHERE brand IN
   (SELECT brand FROM n2best GROUP BY brand HAVING count(*) >= {MIN_BRAND_FREQ})""", names=True))
 def frequent_brands(spark, sf):
-    stage1 = nm.clean_names(licences(spark, sf))
-    held = stage1.where(flt.is_hold("clean_result")).select(
-        "unique_id", tx.strip_corp_tokens("bizname").alias("hold_text"))
-    dictionary = nm.brand_dictionary(stage1.where(~flt.is_hold("clean_result")), "clean_result", PIPE_TOP_N)
+    _, held, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), PIPE_TOP_N)
     best = nm.match_dictionary(held, "hold_text", dictionary, keep=("unique_id",))
     return nm.keep_frequent(best, "brand", MIN_BRAND_FREQ).select("unique_id", "brand")
 

@@ -252,7 +252,8 @@ def _feed(spark, sf) -> DataFrame:
         req["full_address"], resp["payload"])
 
 
-@register("incremental_ingest")
+@register("incremental_ingest", with_lic(f"""{DUCK_PARSED}{DUCK_REQ}
+SELECT uid, id, full_address, siNm, sggNm, emdNm FROM ({_duck_bronze('req')}) b"""))
 def incremental_ingest(spark, sf):
     """The feed written as 4 files, ingested one file per micro-batch;
     returns the silver sink."""

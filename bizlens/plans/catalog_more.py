@@ -3,6 +3,7 @@ helpers.  See ``catalog`` for the conventions."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -493,7 +494,8 @@ def scan_licences(spark, sf):
 def held_names(spark, sf):
     """rows held back by stage 1 (null-safe sentinel equality)."""
     from ..operators import names as nm
-    held, _ = flt.split_hold(nm.clean_names(licences(spark, sf)), "clean_result")
+    stage1 = nm.clean_names(licences(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    held, _ = flt.split_hold(stage1, "clean_result")
     return held.select("unique_id", "bizname")
 
 
@@ -505,10 +507,7 @@ def stopword_drop(spark, sf):
     from ..functions import text as tx
     from ..operators import names as nm
     from .catalog import PIPE_TOP_N
-    stage1 = nm.clean_names(licences(spark, sf))
-    held = stage1.where(flt.is_hold("clean_result")).select(
-        "unique_id", tx.strip_corp_tokens("bizname").alias("hold_text"))
-    dictionary = nm.brand_dictionary(stage1.where(~flt.is_hold("clean_result")), "clean_result", PIPE_TOP_N)
+    _, held, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), PIPE_TOP_N)
     best = nm.match_dictionary(held, "hold_text", dictionary, keep=("unique_id",))
     return flt.drop_stopwords(best, "brand")
 

@@ -5,15 +5,16 @@ stored address-lookup responses.  Our test data is a TPC-H-like star schema, so
 the register is derived from it: one licence per order, regions from the
 nation/region dimension, names drawn from a fixed set of templates that carry
 every quirk of the name-cleaning rules.  The SQL text is shared verbatim with
-the DuckDB oracle (both engines parse it unchanged), so the two sides of every
-parity check start from the same rows.
+the DuckDB oracle (both engines parse it; only the table references are
+bound differently), so the two sides of every parity check start from the
+same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import register_tables
+from .tables import read_source
 
 # The 26 business-name templates and the derivation rule of the
 # licence view (see FIXTURES.md section 3).
@@ -35,17 +36,17 @@ SELECT o_orderkey AS unique_id, r_name AS sido, n_name AS sigungu,
   CASE WHEN o_orderkey % 5 <> 0 THEN CAST(440000 + o_orderkey % 20000 AS double) END AS y_5174,
   CASE WHEN o_orderkey % 7 <> 0 THEN concat(r_name, '  ', n_name, ' (dong', CAST(o_custkey % 20 AS varchar(20)),
     ', bldg ', CAST(o_orderkey % 9 AS varchar(20)), ')') END AS road_address
-FROM orders JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+  JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
 # Stored address-lookup payloads, one per licence; every 11th is a miss.
 RESPONSES_SQL = """
 SELECT unique_id AS uid,
-  CASE WHEN unique_id % 11 = 0 THEN '({"results":{"common":{"totalCount":"0"},"juso":[]}})'
-  ELSE concat('({"results":{"common":{"totalCount":"1","currentPage":"1","countPerPage":"1","errorCode":"0","errorMessage":"ok"},"juso":[{"siNm":"',
-    sido, '","sggNm":"', sigungu, '","emdNm":"', dong, '"}]}})') END AS payload
-FROM lic
+  CASE WHEN unique_id % 11 = 0 THEN '({{"results":{{"common":{{"totalCount":"0"}},"juso":[]}}}})'
+  ELSE concat('({{"results":{{"common":{{"totalCount":"1","currentPage":"1","countPerPage":"1","errorCode":"0","errorMessage":"ok"}},"juso":[{{"siNm":"',
+    sido, '","sggNm":"', sigungu, '","emdNm":"', dong, '"}}]}}}})') END AS payload
+FROM {lic}
 """
 
 
@@ -55,17 +56,19 @@ def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     Plan shape: orders and customer are the only large inputs and meet in one
     shuffle join on the customer key; nation (25 rows) and region (5 rows) are
     left to the planner, which broadcasts them from their file statistics.
+    The inputs are bound as query parameters, so no temp view of the caller's
+    session is created or replaced.
     """
-    register_tables(spark, sf_dir, ["orders", "customer", "nation", "region"])
-    return spark.sql(LIC_SQL)
+    t = {n: read_source(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region")}
+    return spark.sql(LIC_SQL, **t)
 
 
 def address_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored lookup payloads ``(uid, payload)`` keyed by licence id."""
-    licences(spark, sf_dir).createOrReplaceTempView("lic")
-    return spark.sql(RESPONSES_SQL)
+    return spark.sql(RESPONSES_SQL, lic=licences(spark, sf_dir))
 
 
 def oracle_prelude() -> str:
     """The CTE header that re-derives ``lic`` and ``responses`` in DuckDB."""
-    return f"WITH lic AS ({LIC_SQL}), responses AS ({RESPONSES_SQL})\n"
+    lic = LIC_SQL.format(orders="orders", customer="customer", nation="nation", region="region")
+    return f"WITH lic AS ({lic}), responses AS ({RESPONSES_SQL.format(lic='lic')})\n"
