@@ -74,16 +74,32 @@ def resolve_address(requests: DataFrame, responses: DataFrame, uid_col: str = "u
     """Every request row gets its parsed address rows, or one row of nulls.
 
     ``requests`` carries (uid, id, raw address); the address is cleaned (C9)
-    as the lookup key text.  ``responses`` carries (uid, payload).  Output is
+    as the lookup key text.  ``responses`` carries (uid, payload).  Requests
+    meet their stored payloads first, so only requested payloads are parsed
+    (the reference calls the service only for rows that need it).  Output is
     the 35-column bronze layout, all strings; a miss is never dropped.
     """
     req = requests.select(F.col(uid_col).cast("string").alias("uid"), F.col(id_col).cast("string").alias("id"),
-                          tx.clean_address(F.col(addr_col)).alias("full_address"))
-    parsed = parse_address_response(responses.select(F.col(uid_col).cast("string").alias("uid"),
-                                                     F.col(payload_col).alias("payload")),
-                                    "payload", keep=["uid"])
-    joined = req.join(parsed, on="uid", how="left")
-    return joined.select(*[F.col(c) for c in BRONZE_COLUMNS])
+                          F.col(addr_col).alias("full_address"))
+    resp = responses.select(F.col(uid_col).cast("string").alias("uid"), F.col(payload_col).alias("payload"))
+    return parse_in_place(req.join(resp, on="uid", how="left"))
+
+
+def parse_in_place(rows: DataFrame) -> DataFrame:
+    """J7 for rows that carry their own payload (uid, id, raw address, payload):
+    bronze layout, cleaned address, one row per returned address, misses kept
+    as one row of nulls.  Used by the batch lookup and the streaming ingest."""
+    parsed = rows.select(
+        "uid", "id", tx.clean_address(F.col("full_address")).alias("full_address"),
+        F.from_json(strip_jsonp(F.col("payload")), RESPONSE_SCHEMA).alias("_r"))
+    juso = F.col("_r.results.juso")
+    hit = (F.col("_r.results").isNotNull() & juso.isNotNull() & (F.size(juso) > 0)
+           & ~F.col("_r.results.common.totalCount").eqNullSafe(F.lit("0")))
+    out = parsed.select("uid", "id", "full_address",
+                        F.when(hit, F.col("_r.results.common")).alias("_c"),
+                        F.explode_outer(F.when(hit, juso)).alias("_j"))
+    return out.select(*[F.col(f"_c.{c}").alias(c) for c in COMMON_FIELDS], "uid", "id", "full_address",
+                      *[F.col(f"_j.{c}").alias(c) for c in JUSO_FIELDS])
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -55,7 +55,10 @@ def brand_dictionary(df: DataFrame, col: str = "clean_result", top_n: int = 500)
               .agg(F.count(F.lit(1)).alias("cnt")))
     top = counts.orderBy(F.desc("cnt"), F.asc("brand")).limit(top_n)
     order = Window.orderBy(F.length("brand").desc(), F.desc("cnt"), F.asc("brand"))
-    return top.select("brand", "cnt", F.row_number().over(order).alias("match_order"))
+    # Bounded by top_n rows and read by several branches of the match:
+    # cached so it is computed once.
+    return top.select("brand", "cnt", F.row_number().over(order).alias("match_order")).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 def match_dictionary(df: DataFrame, text_col: str, dictionary: DataFrame,
@@ -154,5 +157,10 @@ def prepare_names(df: DataFrame) -> DataFrame:
 
 def name_pipeline(licences: DataFrame, top_n: int = 500, min_freq: int = 500,
                   stopwords: Sequence[str] = tx.STOPWORDS) -> DataFrame:
-    """N1 -> N2 -> N3: the final cleaned-name table (unique_id, bizname, clean_name, clean_result)."""
-    return prepare_names(resolve_held_names(clean_names(licences), top_n, min_freq, stopwords))
+    """N1 -> N2 -> N3: the final cleaned-name table (unique_id, bizname, clean_name, clean_result).
+
+    Persisted (memory, spilling to disk): the table feeds several features,
+    and the franchise flag alone reads it twice (counts and join-back).
+    """
+    names = prepare_names(resolve_held_names(clean_names(licences), top_n, min_freq, stopwords))
+    return names.persist(StorageLevel.MEMORY_AND_DISK)

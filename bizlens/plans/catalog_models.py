@@ -62,7 +62,7 @@ SEGMENTS = 5
 
 @register("one_hot", with_lic(DUCK_LB + f"""
 , e AS (SELECT unique_id, {_duck_index('service')} AS service_index FROM lb)
-SELECT unique_id, service_index, {', '.join(f'CASE WHEN service_index = {i} THEN 1.0 ELSE 0.0 END AS service_oh_{i}'
+SELECT unique_id, service_index, {', '.join(f'CAST(CASE WHEN service_index = {i} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS service_oh_{i}'
                                             for i in range(SEGMENTS))} FROM e"""))
 def one_hot(spark, sf):
     """One-hot vector of the industry index (flattened for comparison)."""

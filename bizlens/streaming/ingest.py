@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as tx
 from ..operators import address as ad
 
 FEED_SCHEMA = T.StructType([
@@ -32,18 +31,8 @@ FEED_SCHEMA = T.StructType([
 
 
 def parse_in_place(feed: DataFrame) -> DataFrame:
-    """J7 for rows that carry their own payload: bronze layout, misses kept."""
-    parsed = feed.select(
-        "uid", "id", tx.clean_address(F.col("full_address")).alias("full_address"),
-        F.from_json(ad.strip_jsonp(F.col("payload")), ad.RESPONSE_SCHEMA).alias("_r"))
-    juso = F.col("_r.results.juso")
-    hit = (F.col("_r.results").isNotNull() & juso.isNotNull() & (F.size(juso) > 0)
-           & ~F.col("_r.results.common.totalCount").eqNullSafe(F.lit("0")))
-    rows = parsed.select("uid", "id", "full_address",
-                         F.when(hit, F.col("_r.results.common")).alias("_c"),
-                         F.explode_outer(F.when(hit, juso)).alias("_j"))
-    return rows.select(*[F.col(f"_c.{c}").alias(c) for c in ad.COMMON_FIELDS], "uid", "id", "full_address",
-                       *[F.col(f"_j.{c}").alias(c) for c in ad.JUSO_FIELDS])
+    """J7 for rows that carry their own payload (see ``operators.address``)."""
+    return ad.parse_in_place(feed)
 
 
 def _stamp(df: DataFrame, now: Column | None) -> DataFrame:

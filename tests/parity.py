@@ -64,11 +64,17 @@ def compare(spark, name, fn, sql, sf_dir, con):
     if sql is None:
         return dict(name=name, ok=None, rows=len(s), spark_s=round(t1 - t0, 2))
     res = con.sql(sql)
+    dtypes = dict(zip(res.columns, [str(t) for t in res.types]))
     dcols, d = rows_of(res.columns, res.fetchall())
     t2 = time.time()
-    ok = scols == dcols and s == d
+    stypes = dict(sdf.dtypes)
+    type_diff = {c: (stypes[c], dtypes.get(c)) for c in stypes
+                 if type_family(stypes[c]) != type_family(dtypes.get(c, ""))}
+    ok = scols == dcols and s == d and not type_diff
     info = dict(name=name, ok=ok, rows=len(s), duck_rows=len(d), spark_s=round(t1 - t0, 2),
                 duck_s=round(t2 - t1, 2))
+    if type_diff:
+        info["type_diff"] = type_diff
     if not ok:
         info["cols"] = (scols, dcols)
         diff_s = [r for r in s if r not in set(d)][:3]
@@ -102,3 +108,14 @@ def main(argv):
 
 if __name__ == "__main__":
     sys.exit(main(sys.argv))
+
+
+def type_family(t: str) -> str:
+    """Coarse type family used to compare Spark and DuckDB result schemas."""
+    t = t.lower()
+    for fam, keys in (("int", ("int", "long", "short", "byte")), ("float", ("double", "float", "decimal")),
+                      ("str", ("string", "varchar", "char")), ("bool", ("bool",)), ("date", ("date",)),
+                      ("ts", ("timestamp",))):
+        if any(k in t for k in keys) and not t.startswith(("array", "list", "struct", "map")):
+            return fam
+    return t
