@@ -128,6 +128,16 @@ def training_input(df: DataFrame, expected_rows: int, rows_per_partition: int =
     return df.repartition(parts).checkpoint(eager=True)
 
 
+def fit_concurrently(tasks: dict, max_workers: int = 4) -> dict:
+    """Run independent fits as concurrent Spark jobs (as CrossValidator's
+    ``parallelism`` does): a boosted-tree fit is a long chain of small jobs,
+    so several fits interleave on the cluster instead of leaving it idle."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        futures = {name: pool.submit(fn) for name, fn in tasks.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def fold_column(key: str, folds: int = CV_FOLDS, seed: int = 42) -> F.Column:
     return F.pmod(seeded_hash(key, f"fold{seed}"), F.lit(folds)).cast("int")
 
@@ -152,7 +162,7 @@ def fit_gbt(train: DataFrame, features: str = "features", label: str = "closed",
 
 def grid_search(train: DataFrame, features: str = "features", label: str = "closed", key: str = "unique_id",
                 depths: Sequence[int] = GRID_DEPTH, min_leaf: Sequence[int] = GRID_MIN_LEAF,
-                folds: int = CV_FOLDS, trees: int = RF_TREES, seed: int = RF_SEED, parallelism: int = 2):
+                folds: int = CV_FOLDS, trees: int = RF_TREES, seed: int = RF_SEED, parallelism: int = 4):
     """Cross-validated grid over depth x min-leaf, metric F1 of class 1.
 
     ``train`` must carry a ``fold`` column (see ``fold_column``) assigned

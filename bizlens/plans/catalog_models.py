@@ -125,11 +125,12 @@ def experiment_table(spark, sf):
         "undersample": (sp.undersample(sample, "closed", "unique_id", SAMPLE_SEED).where("kept").drop("kept"), None),
         "oversample": (sp.oversample(sample, "closed", "unique_id", SAMPLE_SEED), None),
     }
+    models = md.fit_concurrently({
+        name: (lambda t=train, w=wcol: md.fit_rf(md.training_input(t, 2 * SAMPLE_TARGET), weight_col=w))
+        for name, (train, wcol) in runs.items()})
     out = None
-    for name, (train, wcol) in runs.items():
-        model = md.fit_rf(md.training_input(train, 2 * SAMPLE_TARGET), weight_col=wcol)
-        ev = md.evaluate(md.score(model, test)).select(
-            F.lit(name).alias("strategy"), "metric", "value")
+    for name in runs:
+        ev = md.evaluate(md.score(models[name], test)).select(F.lit(name).alias("strategy"), "metric", "value")
         out = ev if out is None else out.unionByName(ev)
     return out
 
@@ -167,12 +168,15 @@ def feature_experiment(spark, sf):
             jn.left_join_prefix(base, flat, "unique_id", "embedding_", 0.0)).drop("features")
         .withColumnRenamed("f2", "features"),
     }
-    out = None
-    for name, df in variants.items():
+    def run(df):
         train, test = sp.split(df, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED, materialize=True)
         sample = sp.sample_to(train, ["closed"], SAMPLE_TARGET, "unique_id", SAMPLE_SEED).where("sampled")
         over = sp.oversample(sample.drop("sampled"), "closed", "unique_id", SAMPLE_SEED, keep_originals=True)
-        model = md.fit_gbt(md.training_input(over, 2 * SAMPLE_TARGET))
+        return md.fit_gbt(md.training_input(over, 2 * SAMPLE_TARGET)), test
+
+    fitted = md.fit_concurrently({name: (lambda d=df: run(d)) for name, df in variants.items()})
+    out = None
+    for name, (model, test) in fitted.items():
         ev = md.evaluate(md.score(model, test)).select(F.lit(name).alias("feature_set"), "metric", "value")
         out = ev if out is None else out.unionByName(ev)
     return out
