@@ -89,7 +89,10 @@ def train_name_embedding(names: DataFrame, col: str = "clean_name", dim: int = W
     raise ``min_count`` when distinct names reach millions.
     """
     sentences = names.where(F.col(col).isNotNull()).select(name_tokens(col, tokens).alias("_tok"))
-    n_parts = partitions or max(1, sentences.rdd.getNumPartitions())
+    # MLlib averages per-partition updates after every iteration, so the
+    # partition count trades accuracy for speed; it follows the cluster size,
+    # not the (possibly many) partitions of the input.
+    n_parts = partitions or max(1, min(8, names.sparkSession.sparkContext.defaultParallelism))
     w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
                    inputCol="_tok", outputCol="_vec", numPartitions=n_parts)
     return w2v.fit(sentences)

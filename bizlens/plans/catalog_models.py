@@ -264,7 +264,8 @@ def incremental_ingest(spark, sf):
     base = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
     _feed(spark, sf).repartition(4).write.mode("overwrite").parquet(f"{base}/feed")
     q = ingest.start_address_ingest(spark, f"{base}/feed", f"{base}/bronze", f"{base}/silver",
-                                    f"{base}/checkpoint", max_files_per_trigger=1)
+                                    f"{base}/checkpoint", max_files_per_trigger=1,
+                                    state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/silver").select(*ad.SILVER_COLUMNS)
 

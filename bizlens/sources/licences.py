@@ -71,16 +71,16 @@ def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     The inputs are bound as query parameters, so no temp view of the caller's
     session is created or replaced.
 
-    The register is hash-partitioned by licence id into the session's shuffle
-    parallelism once, at the source: the row-local work that follows (regex
+    The register is hash-partitioned by licence id once, at the source: the row-local work that follows (regex
     name cleaning, JSON parsing, coordinate maths) then spreads over all
     cores even when the input is a single file, and per-licence joins
     downstream find one side already partitioned by the key.
     """
     def build():
         t = {n: read_source(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region")}
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return spark.sql(LIC_SQL, **t).repartition(parts, "unique_id")
+        # no explicit count: AQE sizes the partitions from the data (many for
+        # a large register, few for a small one)
+        return spark.sql(LIC_SQL, **t).repartition("unique_id")
     return _memo("lic", spark, sf_dir, build)
 
 

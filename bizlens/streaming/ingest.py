@@ -41,8 +41,14 @@ def _stamp(df: DataFrame, now: Column | None) -> DataFrame:
 
 def start_address_ingest(spark: SparkSession, feed_dir: str, bronze_dir: str, silver_dir: str,
                          checkpoint_dir: str, max_files_per_trigger: int = 1,
-                         available_now: bool = True, now: Column | None = None):
-    """Start the Y1 stream; returns the ``StreamingQuery``."""
+                         available_now: bool = True, now: Column | None = None,
+                         state_partitions: int | None = None):
+    """Start the Y1 stream; returns the ``StreamingQuery``.
+
+    ``state_partitions`` fixes the number of dedup-state partitions of a new
+    checkpoint (default: the session's shuffle partitions).  It is recorded
+    in the checkpoint at first start and kept on restarts.
+    """
     feed = (spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(feed_dir))
     rows = parse_in_place(feed).dropDuplicates(["uid", "full_address"])
@@ -58,7 +64,15 @@ def start_address_ingest(spark: SparkSession, feed_dir: str, bronze_dir: str, si
 
     writer = rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()   # the query keeps the value it started with
+    finally:
+        spark.conf.set(key, previous)
 
 
 def batch_equivalent(feed: DataFrame) -> DataFrame:

@@ -90,7 +90,18 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
-    spark = local_session(shuffle_partitions=8)
+    if os.environ.get("BIZLENS_PLAIN_SESSION"):
+        # a session as a caller might build it: default shuffle partitions,
+        # no checkpoint folder, optionally a non-UTC session time zone
+        from pyspark.sql import SparkSession
+        b = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        tz = os.environ.get("BIZLENS_SESSION_TZ")
+        if tz:
+            b = b.config("spark.sql.session.timeZone", tz)
+        spark = b.getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(shuffle_partitions=8)
     q, o = E.queries(), E.oracle_sql()
     con = duck_con(sf_dir)
     bad = 0
