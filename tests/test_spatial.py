@@ -36,3 +36,40 @@ def test_plane_to_geographic_origin(spark):
     rows = geo.plane_to_geographic(df, "x", "y").collect()
     assert abs(rows[0].lat - 38.0) < 0.01 and abs(rows[0].lon - 127.003) < 0.01
     assert rows[1].lat < rows[0].lat and rows[1].lon < rows[0].lon
+
+
+def _forward_tm(lat_deg, lon_deg, p=geo.EPSG5174):
+    """Snyder forward transverse Mercator (test-only reference)."""
+    import math
+    a = p["a"]
+    f = 1 / p["inv_f"]
+    e2 = 2 * f - f * f
+    ep2 = e2 / (1 - e2)
+
+    def M(phi):
+        return a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi
+                    - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * math.sin(2 * phi)
+                    + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * math.sin(4 * phi)
+                    - (35 * e2 ** 3 / 3072) * math.sin(6 * phi))
+    phi, lam = math.radians(lat_deg), math.radians(lon_deg)
+    N = a / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+    T = math.tan(phi) ** 2
+    C = ep2 * math.cos(phi) ** 2
+    A = (lam - math.radians(p["lon0"])) * math.cos(phi)
+    k0 = p["k0"]
+    x = k0 * N * (A + (1 - T + C) * A ** 3 / 6 + (5 - 18 * T + T * T + 72 * C - 58 * ep2) * A ** 5 / 120) + p["x0"]
+    y = k0 * (M(phi) - M(math.radians(p["lat0"])) + N * math.tan(phi) * (
+        A * A / 2 + (5 - T + 9 * C + 4 * C * C) * A ** 4 / 24
+        + (61 - 58 * T + T * T + 600 * C - 330 * ep2) * A ** 6 / 720)) + p["y0"]
+    return x, y
+
+
+def test_inverse_projection_round_trip(spark):
+    from pyspark.sql import functions as F
+    pts = [(37.5, 127.0), (35.1, 129.0), (33.5, 126.5), (38.2, 128.5)]
+    rows = [(lat, lon, *_forward_tm(lat, lon)) for lat, lon in pts]
+    df = spark.createDataFrame(rows, "lat0 double, lon0 double, x double, y double")
+    for name, expr in geo.stages("x", "y"):
+        df = df.withColumn(name, F.expr(expr))
+    for r in df.select("lat0", "lon0", F.degrees("_lat_b").alias("lb"), F.degrees("_lon_b").alias("ob")).collect():
+        assert abs(r.lb - r.lat0) < 1e-6 and abs(r.ob - r.lon0) < 1e-6
