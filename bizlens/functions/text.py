@@ -44,10 +44,27 @@ BRAND_MAP = {
     "이디야": "이디야커피",
     "이디야커피": "이디야커피",
 }
+# Patterns of the reference rules, in the order the rules apply them.  They
+# are the reference's Python patterns written for Java regex: Python's
+# Unicode \s becomes WS under (?U), \w becomes WORD, and $-anchored text has
+# no line breaks left when these run.
+WS = r"[\s\x1c-\x1f]"                                    # Python \s
+WORD = r"[\p{L}\p{N}_]"                                   # Python \w
+LATIN_IN_PARENS = r"\(([^)]*[a-z][^)]*)\)"                 # C1 step 4: captured text
+ANY_PARENS = r"\([^)]*\)"                                  # C1 step 5
+BRANCH_TAIL = rf"(?U){WS}+\S{{1,20}}{BRANCH_SUFFIX}$"      # C1 step 6
+HOLD_FORM = rf"[가-힣a-z0-9]{{2,}}{BRANCH_SUFFIX}$"          # C1 step 7
+SINGLE_SYMBOL = r"^[^\p{L}\p{N}_\s]$"                     # C1 step 8
+ANY_LATIN_IN_PARENS = r"\(([^)]*[a-zA-Z][^)]*)\)"          # C2 test
+PARENS = r"[()]"                                          # C2, C4
+CORP_PAREN = rf"(?U){WS}*\( ?주\)?{WS}*"                  # C3
+NOT_KEPT = r"(?U)[^가-힣a-z0-9\s\x1c-\x1f\-&.·]"          # C4
+HANGUL_THEN_LATIN = rf"(?U)([가-힣]){WS}+([a-zA-Z])"        # C8
+LATIN_THEN_HANGUL = rf"(?U)([a-zA-Z]){WS}+([가-힣])"        # C8
+INNER_PARENS_COMMA = r"\(([^(),]*)(?:,[^()]*)?\)"         # C9 (keep text before the first comma)
+ALL_DIGITS = r"^\p{Nd}+$"                                  # F5
 # ---------------------------------------------------------------------------
 
-WS = r"[\s\x1c-\x1f]"          # Python-compatible whitespace class (use under (?U))
-WORD = r"[\p{L}\p{N}_]"         # Python-compatible word-character class
 
 
 def _c(col: Column | str) -> Column:
@@ -76,9 +93,9 @@ def _clean_steps_1_to_6(raw: Column) -> tuple[Column, Column]:
     s = _remove_literals(s, CORP_MARKERS)
     s = _remove_literals(s, [CORP_WORD])
     s = _remove_literals(s, TEMP_MARKERS)
-    eng = F.regexp_extract_all(s, F.lit(r"\(([^)]*[a-z][^)]*)\)"), F.lit(1))
-    s6 = F.trim(F.regexp_replace(s, r"\([^)]*\)", ""))
-    s6 = F.regexp_replace(s6, rf"(?U){WS}+\S{{1,20}}{BRANCH_SUFFIX}$", "")
+    eng = F.regexp_extract_all(s, F.lit(LATIN_IN_PARENS), F.lit(1))
+    s6 = F.trim(F.regexp_replace(s, ANY_PARENS, ""))
+    s6 = F.regexp_replace(s6, BRANCH_TAIL, "")
     return s6, eng
 
 
@@ -87,8 +104,8 @@ def _clean_decide(raw: Column, s6: Column, eng: Column) -> Column:
     name = F.trim(s6)
     return (
         F.when(raw.isNull(), F.lit(None).cast("string"))
-        .when(s6.rlike(rf"[가-힣a-z0-9]{{2,}}{BRANCH_SUFFIX}$"), F.lit(HOLD))
-        .when(s6.rlike(r"^[^\p{L}\p{N}_\s]$"), F.lit(None))
+        .when(s6.rlike(HOLD_FORM), F.lit(HOLD))
+        .when(s6.rlike(SINGLE_SYMBOL), F.lit(None))
         .when(name == "", F.lit(None))
         .when((name == "주") & (F.size(eng) == 0), F.lit(None))
         .when(F.size(eng) > 0, F.concat_ws(" ", name, F.array_join(eng, " ")))
@@ -127,23 +144,23 @@ def recover_parenthesised_latin(col: Column | str) -> Column:
     """If some ``(...)`` holds a Latin letter, drop all parens, strip, lower."""
     raw = _c(col)
     return F.when(
-        raw.rlike(r"\(([^)]*[a-zA-Z][^)]*)\)"),
-        F.lower(py_strip(F.regexp_replace(raw, r"[()]", ""))),
+        raw.rlike(ANY_LATIN_IN_PARENS),
+        F.lower(py_strip(F.regexp_replace(raw, PARENS, ""))),
     )
 
 
 def strip_corp_tokens(col: Column | str) -> Column:
     """Remove ``( 주)``-style markers (closing paren optional) and the corp word."""
-    s = F.regexp_replace(_c(col), rf"(?U){WS}*\( ?주\)?{WS}*", "")
+    s = F.regexp_replace(_c(col), CORP_PAREN, "")
     s = F.replace(s, F.lit(CORP_WORD), F.lit(""))
     return py_strip(s)
 
 
 def clean_special_tokens(col: Column | str) -> Column:
     """C4: drop parens, ``,``/``/`` to space, keep Hangul/a-z/0-9/space/-&.· only."""
-    s = F.regexp_replace(_c(col), r"[()]", "")
+    s = F.regexp_replace(_c(col), PARENS, "")
     s = F.translate(s, ",/", "  ")
-    s = F.regexp_replace(s, rf"(?U)[^가-힣a-z0-9\s\x1c-\x1f\-&.·]", "")
+    s = F.regexp_replace(s, NOT_KEPT, "")
     return collapse_ws(s)
 
 
@@ -157,21 +174,21 @@ def standardise_brand(col: Column | str, mapping: Mapping[str, str] = BRAND_MAP)
 def join_script_boundary(col: Column | str) -> Column:
     """If both Hangul and Latin occur, join Hangul/Latin across whitespace with ``_``."""
     c = _c(col)
-    s = F.regexp_replace(c, rf"(?U)([가-힣]){WS}+([a-zA-Z])", "$1_$2")
-    s = F.regexp_replace(s, rf"(?U)([a-zA-Z]){WS}+([가-힣])", "$1_$2")
+    s = F.regexp_replace(c, HANGUL_THEN_LATIN, "$1_$2")
+    s = F.regexp_replace(s, LATIN_THEN_HANGUL, "$1_$2")
     return F.when(c.rlike("[가-힣]") & c.rlike("[a-zA-Z]"), s).otherwise(c)
 
 
 def clean_address(col: Column | str) -> Column:
     """Inside each innermost ``(...)`` keep text before the first comma; collapse."""
-    s = F.regexp_replace(_c(col), r"\(([^(),]*)(?:,[^()]*)?\)", "($1)")
+    s = F.regexp_replace(_c(col), INNER_PARENS_COMMA, "($1)")
     return collapse_ws(s)
 
 
 def is_not_numeric_except_year(col: Column | str) -> Column:
     """F5 keep-mask: non-digit names pass; all-digit names pass only at length 4."""
     c = _c(col)
-    return c.isNotNull() & (~c.rlike(r"^\p{Nd}+$") | (F.length(c) == 4))
+    return c.isNotNull() & (~c.rlike(ALL_DIGITS) | (F.length(c) == 4))
 
 
 def is_word_char(ch: Column) -> Column:

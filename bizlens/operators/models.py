@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, Word2Vec
@@ -207,7 +206,3 @@ def evaluate(scored: DataFrame, label: str = "closed") -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def pipeline(stages) -> Pipeline:
-    return Pipeline(stages=list(stages))

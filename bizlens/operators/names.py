@@ -155,7 +155,7 @@ def prepare_names(df: DataFrame) -> DataFrame:
     return out.where(F.length(tx.py_strip("clean_name")) > 1)
 
 
-def name_pipeline(licences: DataFrame, top_n: int = 500, min_freq: int = 500,
+def final_name_table(licences: DataFrame, top_n: int = 500, min_freq: int = 500,
                   stopwords: Sequence[str] = tx.STOPWORDS) -> DataFrame:
     """N1 -> N2 -> N3: the final cleaned-name table (unique_id, bizname, clean_name, clean_result).
 

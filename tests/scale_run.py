@@ -44,8 +44,8 @@ def main(argv):
         print(name, out[name], flush=True)
 
     rows = big.count()
-    names = nm.name_pipeline(big, top_n=500, min_freq=500)
-    run("name_pipeline", names)
+    names = nm.final_name_table(big, top_n=500, min_freq=500)
+    run("final_name_table", names)
     run("franchise_flag", feat.franchise_flag(names, 20))
     spark.catalog.clearCache()
     small = big.select("unique_id", "service", "closed")

@@ -20,8 +20,8 @@ def test_window_filter_is_pushed_to_scan(spark):
     assert "PushedFilters: [Or(GreaterThanOrEqual(closure_date" in plan or "PushedFilters: [Or(IsNull(closure_date)" in plan
 
 
-def test_name_pipeline_has_no_python_and_no_cross_join(spark):
-    df = nm.name_pipeline(licences(spark, SF_SMALL), top_n=14, min_freq=1)
+def test_final_name_table_has_no_python_and_no_cross_join(spark):
+    df = nm.final_name_table(licences(spark, SF_SMALL), top_n=14, min_freq=1)
     plan = _plan(df)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
