@@ -25,3 +25,20 @@ def test_rf_learns_planted_signal(spark):
     assert mt.roc_auc(scored, "closed", "p_closed").first().auc > 0.95
     imp = md.importance_table(model, ["f1", "f2"], spark).collect()
     assert imp[0].feature == "f1" and abs(sum(r.importance for r in imp) - 1.0) < 1e-9
+
+
+def test_embedding_export_schema_and_zero_default(spark):
+    names = spark.createDataFrame(
+        [(1, "raw a", "이디야커피"), (2, "raw b", "cu 편의점"), (3, "raw c", "이디야커피"), (4, "raw d", "한글 abc")],
+        "unique_id long, bizname string, clean_name string")
+    model = md.train_name_embedding(names.where("unique_id <> 2"), iters=2)
+    out = md.export_embeddings(names, model)
+    assert out.columns == ["unique_id", "business_name", "cleaned_business_name", "embedding_array"]
+    assert out.schema["embedding_array"].dataType.simpleString() == "array<float>"
+    vecs = {r.unique_id: r.embedding_array for r in out.collect()}
+    assert all(len(v) == 50 for v in vecs.values())
+    assert all(x == 0.0 for x in vecs[2])                  # not in the vocabulary
+    assert any(x != 0.0 for x in vecs[1]) and vecs[1] == vecs[3]
+    assert any(x != 0.0 for x in vecs[4])                  # looked up with the script-joined key
+    strict = {r.unique_id: r.embedding_array for r in md.export_embeddings(names, model, strict_reference=True).collect()}
+    assert all(x == 0.0 for x in strict[4])                # the reference's key mismatch
