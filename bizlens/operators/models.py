@@ -126,7 +126,9 @@ def training_input(df: DataFrame, expected_rows: int, rows_per_partition: int =
     from ..session import ensure_checkpoint_dir
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-expected_rows // rows_per_partition)))
+    # proportional to size, but at least a few partitions so one fit can use
+    # several cores
+    parts = max(1, min(spark.sparkContext.defaultParallelism, max(4, -(-expected_rows // rows_per_partition))))
     return df.repartition(parts).checkpoint(eager=True)
 
 
