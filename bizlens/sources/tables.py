@@ -78,10 +78,9 @@ def fan_out(df: DataFrame, targets: Mapping[str, list[str] | None], mode: str =
 def enforce_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to a declared schema: names, order and types.
 
-    Missing columns become typed nulls; extra columns are dropped.  Declared
-    non-nullable fields are checked lazily with ``assert_true``-style failure
-    only when ``spark.sql.ansi.enabled`` semantics demand it, so here they are
-    kept nullable-compatible: a null in a non-null field raises at runtime.
+    Missing columns become typed nulls; extra columns are dropped.  A null
+    arriving in a field declared non-nullable raises an error when the row is
+    computed (the check runs inside the job, not on the driver).
     """
     present = set(df.columns)
     cols: list[Column] = []
