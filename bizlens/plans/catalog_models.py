@@ -37,9 +37,9 @@ def _with_bucket(lic: DataFrame) -> DataFrame:
     return lic.withColumn("operating_bucket", feat.period_bucket(d))
 
 
-def _duck_index(col: str) -> str:
+def _duck_index(col: str, src: str = "lb") -> str:
     return (f"CAST((SELECT r FROM (SELECT v, row_number() OVER (ORDER BY c DESC, v ASC) - 1 AS r FROM "
-            f"(SELECT {col} AS v, count(*) AS c FROM lb GROUP BY {col}) g) x WHERE x.v = lb.{col}) AS INTEGER)")
+            f"(SELECT {col} AS v, count(*) AS c FROM {src} GROUP BY {col}) g) x WHERE x.v = {src}.{col}) AS INTEGER)")
 
 
 DUCK_LB = f"""
@@ -80,6 +80,18 @@ def _model_features(spark, sf) -> DataFrame:
     return md.assemble(enc, include=FEATURES).select("unique_id", "service", "closed", "features")
 
 
+@register("assemble_features", with_lic(DUCK_LB + f"""
+, lbw AS (SELECT * FROM lb WHERE closure_date >= DATE '{WINDOW_YEAR}-01-01' OR closure_date IS NULL)
+SELECT unique_id, closed, {', '.join(f'CAST({_duck_index(c, "lbw")} AS DOUBLE) AS feature_{i}'
+                                     for i, c in enumerate(CAT_COLS))} FROM lbw"""))
+def assemble_features(spark, sf):
+    """E5 (+F1, C14, E1): the model feature vector, flattened for comparison."""
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return _model_features(spark, sf).select(
+        "unique_id", "closed", *[F.get(arr, i).alias(f"feature_{i}") for i in range(len(FEATURES))])
+
+
 def _train_test(spark, sf):
     # the split table feeds sampling, oversampling, fitting and scoring: it is
     # written once to the checkpoint folder (lineage cut)
