@@ -19,7 +19,7 @@ QUERIES = [
     "closure_by_franchise", "names_stage3", "dictionary_match", "franchise_flag", "resolve_address",
     "dedup_first", "stratified_split", "sample_to", "oversample_keep", "roc_auc", "pr_points",
     "assign_batches", "point_in_polygon", "region_fallback", "closure_rollup", "quarterly_trend",
-    "bulk_enrich",
+    "bulk_enrich", "assemble_features",
 ]
 
 
