@@ -26,6 +26,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query()
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed into sequences of at most 2048 tokens."""
+    from .packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "byte", end_id=0, limit=2048)
+
+
 @_query()
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patched frame-of-reference token files over all documents, read back."""
