@@ -42,6 +42,14 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "word", end_id=1)
 
 
+@_query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the labels of the held-out fold are never read by the fit."""
+    from .toxicity import toxic_scores
+
+    return toxic_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
