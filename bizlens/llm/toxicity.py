@@ -93,11 +93,33 @@ def _marginals(model: Model, powers, found: list[tuple[int, float]], n: int) ->
     return out
 
 
+#: Lengths of the word beginnings that count as evidence beside the word itself.
+PREFIXES = (4, 5, 6)
+
+
+def _keys(token: str) -> list[str]:
+    return [token, *(token[:k] + "*" for k in PREFIXES if len(token) > k)]
+
+
+class _Gains(dict):
+    """Token -> emission gain, or None; looked up by the token and its beginnings once, then kept (bounded)."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, token: str):
+        if len(self) > 500_000:
+            self.clear()
+        found = [self.lexicon[k] for k in _keys(token) if k in self.lexicon]
+        self[token] = got = max(found) if found else None
+        return got
+
+
 class Scorer:
     """Scores texts with a model; holds the powers of the folded transition."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.gains = model, _Gains(model.lexicon)
         t = np.exp(np.array(model.trans)) * np.array([1.0, math.exp(model.bias)])
         self.t = t / t.sum()
         self.kept: dict[int, np.ndarray] = {0: np.eye(2), 1: self.t}
@@ -113,10 +135,8 @@ class Scorer:
 
     def document(self, text: str) -> tuple[list[tuple[int, float]], int]:
         toks = _tokens(text)
-        gain = self.model.lexicon
-        hits = [i for i, w in enumerate(toks) if w in gain]
-        found = [(i, gain[toks[i]]) for i in hits]
-        return list(zip(hits, _marginals(self.model, self.powers, found, len(toks)))), len(toks)
+        found = [(i, g) for i, g in enumerate(map(self.gains.__getitem__, toks)) if g is not None]
+        return [(i, p) for (i, _), p in zip(found, _marginals(self.model, self.powers, found, len(toks)))], len(toks)
 
     @staticmethod
     def features(marks: list[tuple[int, float]], n: int) -> list[float]:
@@ -141,7 +161,7 @@ class Scorer:
 
 
 def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> list:
-    """Tokens of the strongest toxic evidence: (token, toxic weight, clean weight, log-odds, z).
+    """Tokens and word beginnings (``begi*``) of the strongest toxic evidence: (token, toxic weight, clean weight, log-odds, z).
 
     Copies of one text must not look like evidence from many, so a document
     counts as one over the number of training documents that share its longest
@@ -149,6 +169,7 @@ def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> li
     counts are distributed; at most ``max_lexicon`` rows reach the driver.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    begun = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
     longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w), w)))
     rows = labelled.select("toxic", words.alias("words")).where(F.size("words") > 0).withColumn("mark", F.xxhash64(longest))
     share = rows.groupBy("mark").agg((1 / F.count("*")).alias("share"))
@@ -157,7 +178,7 @@ def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> li
     na, nb = float(total["na"] or 0), float(total["nb"] or 0)
     if not na or not nb:
         return []
-    per = rows.select("a", "b", F.explode("words").alias("token")).groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per = rows.select("a", "b", F.explode(F.array_distinct(F.concat("words", *begun))).alias("token")).groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n, rate = F.col("a") + F.col("b"), na / (na + nb)
     ratio = 2 * (F.col("a") * F.log(F.greatest("a", F.lit(1e-9)) / (n * rate)) + F.col("b") * F.log(F.greatest("b", F.lit(1e-9)) / (n * (1 - rate))))
     odds = F.log((F.col("a") + 0.5) / (na + 0.5)) - F.log((F.col("b") + 0.5) / (nb + 0.5))
@@ -195,8 +216,9 @@ def _training_segments(sample: list, feats: dict[str, list[float]], seeds: set[s
 def _fit_crf(sample: list, evidence: list, steps: int = 200, rate: float = 0.15) -> Model:
     """CRF weights by gradient ascent (Adam) on the conditional log-likelihood of the tag sequences."""
     top = max(float(r["z"]) for r in evidence)
-    feats = {r["token"]: [1.0, float(r["odds"]) / 4, float(r["z"]) / top, float(r["z"] >= 0.4 * top)] for r in evidence}
-    seeds = {r["token"] for r in evidence if r["z"] >= max(4.5, 0.4 * top)}
+    strong = max(4.5, 0.25 * top)
+    feats = {r["token"]: [1.0, float(r["odds"]) / 4, float(r["z"]) / top, float(r["z"] >= strong)] for r in evidence}
+    seeds = {r["token"] for r in evidence if r["z"] >= strong}
     x, y, weight = _training_segments(sample, feats, seeds)
     n = weight.sum()
     pair = y[:, :-1] * 2 + y[:, 1:]
@@ -238,14 +260,15 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 4000, max_lexi
     if not evidence:
         return flat
     # sample by hash, of max_fit_docs rows in expectation; only informative tokens and their places leave the executors
-    known = {r["token"] for r in evidence}
+    known = {r["token"]: float(r["z"]) for r in evidence}
 
     def reduce_docs(batches):
         for batch in batches:
             own = [_tokens(t) for t in batch.column(0).to_pylist()]
-            places = [[i for i, w in enumerate(toks) if w in known] for toks in own]
+            keys = [[max((k for k in _keys(w) if k in known), key=known.get, default=None) for w in toks] for toks in own]
+            places = [[i for i, k in enumerate(ks) if k] for ks in keys]
             yield pa.RecordBatch.from_pydict({
-                "places": pa.array(places, pa.list_(pa.int32())), "toks": pa.array([[t[i] for i in p] for t, p in zip(own, places)], pa.list_(pa.string())),
+                "places": pa.array(places, pa.list_(pa.int32())), "toks": pa.array([[k for k in ks if k] for ks in keys], pa.list_(pa.string())),
                 "n": pa.array(list(map(len, own)), pa.int64()), "toxic": batch.column(1).cast(pa.int32())})
 
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(total["n"]))) < max_fit_docs).select("text", "toxic")
@@ -258,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 4000, max_lexi
     return model
 
 
-def _calibrate(rows: DataFrame, model: Model, steps: int = 12) -> list[float]:
+def _calibrate(rows: DataFrame, model: Model, steps: int = 25) -> list[float]:
     """Logistic weights over all training documents: Newton steps on distributed sums."""
 
     def features(batches):
@@ -282,8 +305,10 @@ def _calibrate(rows: DataFrame, model: Model, steps: int = 12) -> list[float]:
             grad = np.array([r[f"g{i}"] for i in range(4)]) - 0.05 * w
             hess = np.array([[r[f"h{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)]) + 0.05 * np.eye(4)
             step = np.linalg.solve(hess, grad)
-            w = w + np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-4:
+            new = w + np.clip(step, -3, 3)
+            new[:3] = np.maximum(new[:3], 0.0)  # more toxic evidence never lowers a score
+            done, w = np.abs(new - w).max() < 1e-4, new
+            if done:
                 break
     finally:
         got.unpersist()
