@@ -34,6 +34,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "byte", end_id=0, limit=2048)
 
 
+@_query()
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found, within its edit budget, in any document."""
+    from .decontamination import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @_query()
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patched frame-of-reference token files over all documents, read back."""
@@ -50,6 +58,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _op10_sql() -> str:
+    from .line_dedup import sql
+
+    return f"SELECT doc_id, n_lines, n_removed, whole_copy, md5(text) AS text_md5 FROM ({sql()})"
+
+
+@_query(_op10_sql())
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand on many sites, with a digest of what is left."""
+    from pyspark.sql import functions as F
+
+    from .line_dedup import remove_boilerplate
+
+    return remove_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "whole_copy", F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
