@@ -74,6 +74,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "whole_copy", F.md5("text").alias("text_md5"))
 
 
+def _op3_sql() -> str:
+    from .quality import sql
+
+    return sql()
+
+
+@_query(_op3_sql())
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules of every document and the verdict of its host."""
+    from .quality import judge
+
+    return judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
