@@ -111,6 +111,17 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+@_query()
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; the values leave as digests."""
+    from pyspark.sql import functions as F
+
+    from .secrets import scan
+
+    return scan(read(spark, sf_dir, "documents")).select(
+        "doc_id", "place", "length", F.md5("value").alias("value_md5"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
