@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces kept per worker; beyond it the cache starts anew (memory bound, not a result bound).
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 3_000_000
 #: Characters handled at a time in a worker.
 SLICE_CHARS = 1_500_000
 
@@ -47,19 +47,6 @@ CUTTERS = {"byte": cut_byte_level, "word": cut_words}
 MARKS = {"byte": ("\n", "\n"), "word": ("0", " 0 ")}
 
 
-class _Index(dict):
-    """Piece -> number; a piece not met before gets the next number and is noted in ``new``."""
-
-    def __init__(self):
-        super().__init__({"": 0})
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
-
-
 class PieceEncoder:
     """Ids of texts by a tokenizers file; ``kind`` names the cutter."""
 
@@ -72,45 +59,65 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index = _Index()
-        self.starts, self.lens, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-
-    def _ids(self, pieces: list[str]) -> list:
-        """Ids of every piece.  Plain pieces are encoded many at a time, with a
-        mark between them that is a token of its own; others one by one."""
+        # sorted 64-bit hashes of the known pieces and their numbers: some 25 bytes a piece, where a dict takes 200
+        self.keys, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32), 0
+
+    def _ids(self, pieces: list[str]):
+        """Yield (places, flat ids, ids per piece).  Plain pieces are encoded many at
+        a time, with a mark between them that is a token of its own; others one by one."""
         mark, text = MARKS[self.kind]
         (mark_id,) = self.tok.encode(mark, add_special_tokens=False).ids
-        plain = [i for i, p in enumerate(pieces) if mark not in p and (q := p[1:] if p[:1] == " " else p) and q == q.strip()]
-        out: list = [None] * len(pieces)
+        plain, rest = [], []
+        for i, p in enumerate(pieces):
+            q = p[1:] if p[:1] == " " else p
+            (plain if q and mark not in p and q == q.strip() else rest).append(i)
         for lo in range(0, len(plain), 1000):
             part = plain[lo:lo + 1000]
-            ids = np.array(self.tok.encode(text.join([pieces[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast([text.join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == mark_id)
             if len(at) == len(part) - 1:
-                for i, x in zip(part, np.split(ids, at)):
-                    out[i] = x
-                for i in part[1:]:
-                    out[i] = out[i][1:]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tok.encode_batch([pieces[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        first = len(self.index) - len(pieces)
-        for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo:lo + 20_000]
-            ids = self._ids(part)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            n0, total = first + lo, int(lens.sum())
-            while n0 + len(part) > len(self.starts):
+                yield part, np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            else:
+                rest += part
+        for lo in range(0, len(rest), 1000):
+            part = rest[lo:lo + 1000]
+            ids = [e.ids for e in self.tok.encode_batch([pieces[i] for i in part], add_special_tokens=False)]
+            yield part, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Number the pieces after those already known; the number of each."""
+        numbers, n = np.empty(len(pieces), np.int32), len(self.keys)
+        for places, flat, lens in self._ids(pieces):
+            total = len(flat)
+            while n + len(lens) > len(self.starts):
                 self.starts, self.lens = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens))
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + total] = np.concatenate(ids)
-            self.lens[n0:n0 + len(part)] = lens
-            self.starts[n0:n0 + len(part)] = self.used + np.cumsum(lens) - lens
-            self.used += total
+            self.flat[self.used:self.used + total] = flat
+            self.lens[n:n + len(lens)] = lens
+            self.starts[n:n + len(lens)] = self.used + np.cumsum(lens) - lens
+            numbers[places] = np.arange(n, n + len(lens))
+            self.used, n = self.used + total, n + len(lens)
+        return numbers
+
+    def _codes(self, pieces: list[str]) -> np.ndarray:
+        """Number of every piece; new ones are learnt."""
+        if len(self.keys) > self.limit:
+            self._reset()
+        hashes, first, inverse = np.unique(np.fromiter(map(hash, pieces), np.int64, len(pieces)), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        codes = np.empty(len(hashes), np.int32)
+        codes[known] = self.codes[at[known]]
+        new = np.flatnonzero(~known)
+        if new.size:
+            codes[new] = self._learn([pieces[i] for i in first[new]])
+            self.keys, self.codes = np.insert(self.keys, at[new], hashes[new]), np.insert(self.codes, at[new], codes[new])
+        return codes[inverse]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with ``end_id`` after every text, ids per text)."""
@@ -120,18 +127,13 @@ class PieceEncoder:
             own = self.cut(t)
             counts.append(len(own))
             pieces += own
-        if len(self.index) > self.limit:
-            self._reset()
-        codes = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
-        lens = self.lens[codes]
+        codes = self._codes(pieces)
+        lens = self.lens[codes].astype(np.int64)
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         src = np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(total)
         per = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-        out = np.insert(self.flat[src], per, np.uint32(end_id)) if counts else np.zeros(0, np.uint32)
+        out = np.insert(self.flat[src].astype(np.uint32), per, np.uint32(end_id)) if counts else np.zeros(0, np.uint32)
         return out, np.diff(np.concatenate([[0], per])) + 1
 
 
