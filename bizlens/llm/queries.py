@@ -122,6 +122,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "place", "length", F.md5("value").alias("value_md5"), F.round("score", 6).alias("score"), "is_secret")
 
 
+#: DuckDB twin of op5: every window by its word list.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS p, ws FROM d WHERE len(ws) >= 20),
+g AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 19], ' ')) AS g FROM w),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM g) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, p + o AS p FROM r, range(0, 20) t(o)),
+x AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda y, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""
+
+
+@_query(OP5_SQL)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that stand earlier too, as digests."""
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
