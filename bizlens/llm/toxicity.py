@@ -3,8 +3,8 @@
 Training, on labelled documents outside the held-out fold:
 
 1. *Token evidence*, as Spark aggregations over every training document: for
-   each lower-case token, the number of toxic and clean documents with it and
-   the smoothed log-odds with its z-score.
+   each lower-case token and word beginning, the number of toxic and clean
+   documents with it, the smoothed log-odds and their significance.
 2. *Token labels*: in a toxic document, tokens of significantly toxic evidence
    are labelled toxic; every other token of any document is labelled clean.
 3. *CRF*: weights of the evidence features, the bias of other tokens and the
@@ -40,8 +40,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _TOKEN = re.compile(r"\w+")
 FOLDS = 5
+#: Labels of at most so many rows (16 bytes each) are sent to the tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -160,30 +164,62 @@ class Scorer:
         return [m.span() for i, m in enumerate(_TOKEN.finditer(lowered)) if i in wanted]
 
 
+def _evidence_columns(na: float, nb: float):
+    """(log-odds, z) of columns a and b; z is the root of the likelihood-ratio statistic."""
+    n, rate = F.col("a") + F.col("b"), na / (na + nb)
+    ratio = 2 * (F.col("a") * F.log(F.greatest("a", F.lit(1e-9)) / (n * rate)) + F.col("b") * F.log(F.greatest("b", F.lit(1e-9)) / (n * (1 - rate))))
+    odds = F.log((F.col("a") + 0.5) / (na + 0.5)) - F.log((F.col("b") + 0.5) / (nb + 0.5))
+    return F.round(odds, 6), F.round(F.sqrt(F.greatest(ratio, F.lit(0.0))), 6)
+
+
+def _strongest(counts: DataFrame, na: float, nb: float, min_docs: float, z: float, most: int) -> DataFrame:
+    odds, root = _evidence_columns(na, nb)
+    return (counts.where(F.col("a") >= min_docs).withColumn("odds", odds).withColumn("z", root)
+            .where((F.col("z") > z) & (F.col("odds") > 1)).orderBy(F.desc("z"), "token").limit(most))
+
+
 def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> list:
-    """Tokens and word beginnings (``begi*``) of the strongest toxic evidence: (token, toxic weight, clean weight, log-odds, z).
+    """Tokens and word beginnings (``begi*``) of the strongest toxic evidence: (token, a, b, odds, z).
 
-    Copies of one text must not look like evidence from many, so a document
-    counts as one over the number of training documents that share its longest
-    token.  ``z`` is the signed root of the likelihood-ratio statistic.  All
-    counts are distributed; at most ``max_lexicon`` rows reach the driver.
+    First by the documents of each label that have them; then, for at most ten
+    times ``max_lexicon`` of them, by the distinct longest words of those
+    documents, so that copies of one text do not look like evidence from many.
+    Counts are distributed; at most that many rows reach the driver.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    rows = labelled.select("toxic", words.alias("words"))
     begun = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
-    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w), w)))
-    rows = labelled.select("toxic", words.alias("words")).where(F.size("words") > 0).withColumn("mark", F.xxhash64(longest))
-    share = rows.groupBy("mark").agg((1 / F.count("*")).alias("share"))
-    rows = rows.join(share, "mark").select("words", (F.col("share") * F.col("toxic")).alias("a"), (F.col("share") * (1 - F.col("toxic"))).alias("b"))
-    total = rows.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).first()
+    counts = rows.select("toxic", F.explode(F.array_distinct(F.concat("words", *begun))).alias("token")).groupBy("token").agg(
+        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    total = labelled.agg(F.sum("toxic").alias("na"), F.sum(1 - F.col("toxic")).alias("nb")).first()
     na, nb = float(total["na"] or 0), float(total["nb"] or 0)
     if not na or not nb:
         return []
-    per = rows.select("a", "b", F.explode(F.array_distinct(F.concat("words", *begun))).alias("token")).groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    n, rate = F.col("a") + F.col("b"), na / (na + nb)
-    ratio = 2 * (F.col("a") * F.log(F.greatest("a", F.lit(1e-9)) / (n * rate)) + F.col("b") * F.log(F.greatest("b", F.lit(1e-9)) / (n * (1 - rate))))
-    odds = F.log((F.col("a") + 0.5) / (na + 0.5)) - F.log((F.col("b") + 0.5) / (nb + 0.5))
-    return (per.where(F.col("a") >= min_docs).withColumn("odds", F.round(odds, 6)).withColumn("z", F.round(F.sqrt(F.greatest(ratio, F.lit(0.0))), 6))
-            .where("z > 3.5 AND odds > 1").orderBy(F.desc("z"), "token").limit(max_lexicon).collect())
+    known = {r["token"] for r in _strongest(counts, na, nb, min_docs, 3.0, 10 * max_lexicon).select("token").collect()}
+
+    def marks(batches):
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = set(_tokens(t))
+                if own:
+                    mark = xxhash.xxh3_64_intdigest(max(own, key=lambda w: (len(w), w))) - (1 << 63)
+                    out.append(("", mark, y))  # the mark itself, for the totals
+                    out += [(k, mark, y) for k in {k for w in own for k in _keys(w)} & known]
+            c = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(("token", "mark", "toxic"), c, (pa.string(), pa.int64(), pa.int32()))})
+
+    once = labelled.select("text", "toxic").mapInArrow(marks, "token string, mark bigint, toxic int").distinct()
+    once = once.groupBy("token").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).persist()
+    try:
+        whole = once.where("token = ''").first()
+        if not whole or not whole["a"] or not whole["b"]:
+            return []
+        return _strongest(once.where("token <> ''"), float(whole["a"]), float(whole["b"]), min_docs, 3.5, max_lexicon).collect()
+    finally:
+        once.unpersist()
 
 
 #: Tokens of a training segment.
@@ -251,8 +287,11 @@ def _fit_crf(sample: list, evidence: list, steps: int = 200, rate: float = 0.15)
 
 def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 4000, max_lexicon: int = 2000, min_docs: float = 4.0) -> Model:
     """Fit on labelled documents outside the held-out fold."""
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where("toxic IN (0, 1)"), "doc_id")
-    rows = rows.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    marked = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
+    if marked.count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, "doc_id")
+    rows = stored(rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
     evidence = token_evidence(rows, min_docs, max_lexicon)
     total = rows.agg(F.count("*").alias("n"), F.avg("toxic").alias("rate")).first()
     rate = float(total["rate"] or 0.0)
