@@ -21,6 +21,7 @@ tables give an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -119,7 +120,7 @@ class Finder:
         return out
 
 
-def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> list[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of about ``block_chars`` characters (an item longer than that is a block of its own)."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // max(1, block_chars // 2)))
@@ -151,7 +152,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     return reduce(DataFrame.unionAll, parts)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents in which a benchmark item stands (rows with a null doc_id are kept)."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows in which a benchmark item stands; every column passes through."""
+    at = docs.columns.index("text")
+
+    def clean(items):
+        def run(batches):
+            finder = Finder(items, error_rate)
+            for batch in batches:
+                fine = [not (t and finder.find(normal(t))) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(fine, pa.bool_()))
+        return run
+
+    for items in _blocks(benchmark, min_chars, block_chars):
+        docs = docs.mapInArrow(clean(items), docs.schema)
+    return docs

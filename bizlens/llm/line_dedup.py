@@ -15,7 +15,8 @@ ends) is boilerplate when it stands on at least ``min_sites`` distinct sites.
 Edge cases: blank lines are never counted or removed; null text is an empty
 text (``text`` stays null); a null site counts for no line, yet its documents
 are cleaned; repeated rows and null doc_ids are kept as rows; an empty table
-gives an empty result; extra columns pass through.
+gives an empty result; extra columns pass through, but for those named like an
+added one.
 """
 
 from __future__ import annotations
@@ -29,23 +30,20 @@ MAX_SHARE = 0.5
 #: log2 of the sketch's registers: standard error 1.6 %, far inside the margin.
 LG_K = 12
 _ENDS = " \t\r"
+#: Columns that the operator adds; columns of these names in the input are replaced.
+ADDED = ("n_lines", "n_removed", "whole_copy")
 
 
 def _norm(line: Column) -> Column:
     return F.btrim(line, F.lit(_ENDS))
 
 
-def _hashes(line: Column) -> Column:
-    """96-bit key of a line: two independent hashes."""
-    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
-
-
 def _row_key(docs: DataFrame, text: str) -> Column:
     return F.xxhash64(F.col("doc_id"), F.col(text))
 
 
 def line_keys(docs: DataFrame, site: str, text: str = "text") -> DataFrame:
-    """(row key, site, line number, line hash) of every line that is not blank."""
+    """(row, site, pos, a, b) of every line that is not blank; (a, b) is its 96-bit key."""
     lines = docs.select(_row_key(docs, text).alias("row"), F.col(site).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = lines.select("row", "site", "pos", _norm(F.col("line")).alias("line")).where(F.length("line") > 0)
     return lines.select("row", "site", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
@@ -67,18 +65,18 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text"
                        margin: float = MARGIN, max_share: float = MAX_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, plus n_lines, n_removed and whole_copy."""
     hits = (line_keys(docs, site, text).join(boilerplate(docs, site, text, min_sites, margin), ["a", "b"], "left_semi")
-            .groupBy("row").agg(F.collect_set("pos").alias("_hit")))
-    rows = docs.withColumn("_row", _row_key(docs, text)).join(hits.withColumnRenamed("row", "_row"), "_row", "left")
-    lines = F.split(text, "\n")
-    rows = rows.withColumn("_lines", F.coalesce(lines, F.array().cast("array<string>")))
-    gone = F.aggregate(F.coalesce("_hit", F.array().cast("array<int>")), F.lit(0), lambda n, p: n + F.length(F.element_at("_lines", p + 1)))
-    chars = F.aggregate("_lines", F.lit(0), lambda n, x: n + F.length(x))
-    rows = rows.withColumn("whole_copy", gone > max_share * chars)
-    act = F.col("_hit").isNotNull() & ~F.col("whole_copy")
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_hit", i)), "\n")
+            .groupBy("row").agg(F.collect_set("pos").alias("hit")))
+    rows = docs.select(_row_key(docs, text).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(hits, "row", "left")
+    own = F.col(f"doc.`{text}`")
+    rows = rows.withColumn("lines", F.coalesce(F.split(own, "\n"), F.array().cast("array<string>")))
+    gone = F.aggregate(F.coalesce("hit", F.array().cast("array<int>")), F.lit(0), lambda n, p: n + F.length(F.element_at("lines", p + 1)))
+    chars = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
+    rows = rows.withColumn("whole", gone > max_share * chars)
+    act = F.col("hit").isNotNull() & ~F.col("whole")
+    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("hit", i)), "\n")
     return rows.select(
-        *[(F.when(act, kept).otherwise(F.col(text)).alias(text) if c == text else F.col(c)) for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"), F.when(act, F.size("_hit")).otherwise(0).cast("long").alias("n_removed"), "whole_copy")
+        *[F.when(act, kept).otherwise(own).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED],
+        F.size("lines").cast("long").alias("n_lines"), F.when(act, F.size("hit")).otherwise(0).cast("long").alias("n_removed"), F.col("whole").alias("whole_copy"))
 
 
 #: DuckDB twin of ``remove_boilerplate`` with plain distinct counts: a SELECT over ``{docs}``.

@@ -311,9 +311,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_P
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one with the least id; repeated rows of that id are left to one."""
-    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id IS NULL"))
+    """One document of each group: the one with the least id.  Rows with a null doc_id stay; repeated rows of an id become one."""
+    groups = stored(near_duplicates(docs, **options), "groups")
+    out = docs.join(groups.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(out.where("doc_id IS NULL"))
+    return out
 
 
 #: DuckDB twin of ``near_duplicates`` by counting shared shingles.

@@ -354,15 +354,8 @@ def _calibrate(rows: DataFrame, model: Model, steps: int = 25) -> list[float]:
     return [float(v) for v in w]
 
 
-def score_documents(docs: DataFrame, model: Model, least: float = 0.5, passthrough: list[str] | None = None) -> DataFrame:
-    """(doc_id, score, predicted, n_tokens, spans) of every row; ``spans`` are character offsets of toxic tokens.
-
-    ``passthrough`` names further columns of ``docs`` to keep.
-    """
-    keep = ["doc_id", "text", *(passthrough or [])]
-    inp = docs.select(*keep)
-    fields = [f for f in inp.schema.fields if f.name != "text" or "text" in (passthrough or [])]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+def score_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """(doc_id, score, predicted, n_tokens, spans) of every row; ``spans`` are character offsets of toxic tokens."""
 
     def run(batches):
         scorer = Scorer(model)
@@ -373,14 +366,26 @@ def score_documents(docs: DataFrame, model: Model, least: float = 0.5, passthrou
                 scores.append(scorer.score(marks, n))
                 sizes.append(n)
                 spans.append([{"start": a, "stop": b} for a, b in scorer.spans(t or "", marks, least)])
-            cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in fields}
-            yield pa.RecordBatch.from_pydict(cols | {
-                "_score": pa.array(scores, pa.float64()), "_n_tokens": pa.array(sizes, pa.int64()),
-                "_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
-
-    out = inp.mapInArrow(run, schema + ", _score double, _n_tokens bigint, _spans array<struct<start:int,stop:int>>")
-    return out.select(*[f.name for f in fields], F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"),
-                      F.col("_n_tokens").alias("n_tokens"), F.col("_spans").alias("spans"))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0).cast(pa.int64()), "score": pa.array(scores, pa.float64()), "n_tokens": pa.array(sizes, pa.int64()),
+                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
+
+    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, n_tokens bigint, spans array<struct<start:int,stop:int>>")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows predicted toxic; every column passes through."""
+    model = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            fine = [scorer.score(*scorer.document(t or "")) < 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
