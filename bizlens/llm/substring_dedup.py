@@ -123,7 +123,7 @@ class FMIndex:
         rank, width = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
         while width < 32:  # suffixes are told apart by their first 32 words, more than any pattern has
             nxt = np.zeros(n, np.int64)
-            nxt[:n - width] = rank[width:] + 1
+            nxt[:max(n - width, 0)] = rank[width:] + 1
             key = rank * (n + 2) + nxt
             order = np.argsort(key, kind="stable")
             new = np.ones(n, np.int64)
