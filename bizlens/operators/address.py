@@ -47,10 +47,16 @@ def strip_jsonp(col: Column) -> Column:
     return F.regexp_replace(s, r"(?s)^\((.*)\)\z", "$1")
 
 
+def _is_hit() -> Column:
+    """A parsed payload ``_r`` with an envelope, addresses and a count other than '0'."""
+    common, juso = F.col("_r.results.common"), F.col("_r.results.juso")
+    return common.isNotNull() & juso.isNotNull() & (F.size(juso) > 0) & ~F.col("_r.results.common.totalCount").eqNullSafe(F.lit("0"))
+
+
 def parse_address_response(df: DataFrame, payload_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per returned address, envelope fields replicated.
 
-    Payloads without ``results``, without or with an empty address list, with
+    Payloads without ``results`` or its ``common`` part, without or with an empty address list, with
     ``totalCount == '0'`` or that fail to parse yield no rows (a miss).  Real
     JSON parsing is used (the reference's literal-eval rejects null/true/false;
     such payloads parse here - a documented deviation).
@@ -59,11 +65,8 @@ def parse_address_response(df: DataFrame, payload_col: str, keep: Sequence[str]
     # filter: a filter would be pushed below the parse and re-evaluate
     # from_json once per referenced field.
     parsed = df.select(*keep, F.from_json(strip_jsonp(F.col(payload_col)), RESPONSE_SCHEMA).alias("_r"))
-    r = F.col("_r.results")
-    ok = (r.isNotNull() & F.col("_r.results.juso").isNotNull() & (F.size("_r.results.juso") > 0)
-          & ~F.col("_r.results.common.totalCount").eqNullSafe(F.lit("0")))
     exploded = parsed.select(*keep, F.col("_r.results.common").alias("_c"),
-                             F.explode(F.when(ok, F.col("_r.results.juso"))).alias("_j"))
+                             F.explode(F.when(_is_hit(), F.col("_r.results.juso"))).alias("_j"))
     return exploded.select(*keep, *[F.col(f"_c.{c}").alias(c) for c in COMMON_FIELDS],
                            *[F.col(f"_j.{c}").alias(c) for c in JUSO_FIELDS])
 
@@ -92,9 +95,7 @@ def parse_in_place(rows: DataFrame) -> DataFrame:
     parsed = rows.select(
         "uid", "id", tx.clean_address(F.col("full_address")).alias("full_address"),
         F.from_json(strip_jsonp(F.col("payload")), RESPONSE_SCHEMA).alias("_r"))
-    juso = F.col("_r.results.juso")
-    hit = (F.col("_r.results").isNotNull() & juso.isNotNull() & (F.size(juso) > 0)
-           & ~F.col("_r.results.common.totalCount").eqNullSafe(F.lit("0")))
+    hit, juso = _is_hit(), F.col("_r.results.juso")
     out = parsed.select("uid", "id", "full_address",
                         F.when(hit, F.col("_r.results.common")).alias("_c"),
                         F.explode_outer(F.when(hit, juso)).alias("_j"))
@@ -130,15 +131,21 @@ def ingest_stamp(now: Column | None = None, zone: str = "Asia/Seoul",
 
 
 def bulk_enrich(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_schema: T.StructType,
-                key_cols: Sequence[str]) -> DataFrame:
+                key_cols: Sequence[str], error_col: str | None = None) -> DataFrame:
     """Apply a caller batch function to Arrow batches of ``df``.
 
     ``fn`` receives a pandas frame and returns rows of ``out_schema``.  If it
     raises, the batch is retried row by row and each failing row becomes one
     row holding only its ``key_cols`` (everything else null): a bad row never
-    fails the job.  Parallelism is the number of partitions.
+    fails the job.  ``error_col``, a text field of ``out_schema``, takes the
+    message.  Key values pass unchanged (as text into text fields), nulls as nulls.
+    Parallelism is the number of partitions.
     """
     names = out_schema.fieldNames()
+    texts = {f.name for f in out_schema.fields if isinstance(f.dataType, T.StringType)}
+
+    def key_value(name, v):
+        return None if pd.isna(v) else str(v) if name in texts else v
 
     def run(it):
         for pdf in it:
@@ -150,9 +157,11 @@ def bulk_enrich(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_s
                     row = pdf.iloc[i:i + 1]
                     try:
                         parts.append(fn(row))
-                    except Exception:
-                        parts.append(pd.DataFrame({k: pd.Series([str(v) for v in row[k]], dtype=object)
-                                                   for k in key_cols}))
+                    except Exception as exc:
+                        held = {k: [key_value(k, v) for v in row[k].tolist()] for k in key_cols}
+                        if error_col:
+                            held[error_col] = [f"{type(exc).__name__}: {exc}"]
+                        parts.append(pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in held.items()}))
                 out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
             out = out.reindex(columns=names)
             # plain object columns: Arrow-backed string dtypes do not convert back

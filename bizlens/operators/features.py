@@ -64,7 +64,8 @@ def flatten_array(df: DataFrame, array_col: str, prefix: str, size: int,
     """One column per array element (``prefix0 .. prefix{size-1}``).
 
     The array column itself is not kept: its name would match the prefix.
-    ``get`` returns null past the end instead of failing under ANSI mode.
+    ``get`` returns null past the end instead of failing under ANSI mode; an
+    array longer than ``size`` raises instead of losing its tail.
     """
-    arr = F.col(array_col)
+    arr = F.when(F.size(array_col) > size, F.raise_error(F.lit(f"{array_col} has more than {size} elements"))).otherwise(F.col(array_col))
     return df.select(*keep, *[F.get(arr, i).cast(cast).alias(f"{prefix}{i}") for i in range(size)])

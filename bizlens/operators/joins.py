@@ -70,16 +70,17 @@ def attach_embedding(df: DataFrame, vectors: DataFrame, name_col: str, word_col:
     return joined.select(*[df[c] for c in df.columns], F.coalesce(F.col("_v"), zeros).alias(out_col))
 
 
-def merge_region(spatial: DataFrame, lookup: DataFrame, key: str,
+def merge_region(licences: DataFrame, spatial: DataFrame, lookup: DataFrame, key: str,
                  cols: Sequence[str] = ("sido", "sigungu", "dong")) -> DataFrame:
-    """Region from coordinates where present, else from the address lookup.
+    """One row per licence (and lookup hit): region from coordinates where
+    present, else from the address lookup, else null.
 
-    Both inputs are keyed by licence id (``key``); the lookup's stored address
+    All inputs are keyed by licence id (``key``); the lookup's stored address
     is the cleaned one, so the join must use the id, never the address text.
     """
     s = spatial.select(key, *[F.col(c).alias(f"_s_{c}") for c in cols])
     lk = lookup.select(key, *[F.col(c).alias(f"_l_{c}") for c in cols])
-    j = s.join(lk, on=key, how="full")
+    j = licences.select(key).join(s, on=key, how="left").join(lk, on=key, how="left")
     has_spatial = F.col(f"_s_{cols[0]}").isNotNull()
     out = [F.when(has_spatial, F.col(f"_s_{c}")).otherwise(F.col(f"_l_{c}")).alias(c) for c in cols]
     src = F.when(has_spatial, F.lit("spatial")).when(F.col(f"_l_{cols[0]}").isNotNull(), F.lit("lookup"))

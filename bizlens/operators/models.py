@@ -33,6 +33,11 @@ from . import metrics as mt
 RF_TREES, RF_DEPTH, RF_SEED = 100, 10, 42
 GBT_ROUNDS, GBT_DEPTH, GBT_RATE = 100, 6, 0.1
 W2V_DIM, W2V_WINDOW, W2V_MIN_COUNT, W2V_EPOCHS = 50, 5, 1, 30
+#: Tasks of the embedding trainer.  MLlib averages the partitions' updates after every
+#: iteration, so the count is part of the model: fixed, the same on any cluster.
+W2V_PARTITIONS = 8
+#: Partitions of a training set: part of a forest's bagging, so fixed as well.
+TRAIN_PARTITIONS = 8
 GRID_DEPTH = (10, 20)
 GRID_MIN_LEAF = (1, 2)
 CV_FOLDS = 3
@@ -67,9 +72,9 @@ def assemble(df: DataFrame, exclude: Sequence[str] = (), include: Sequence[str]
 
 
 # ---------------------------------------------------------------- embeddings --
-def name_tokens(col: str, tokens: str = "whole"):
-    """Token array for a cleaned name: the whole name (after C8) as one token,
-    or its whitespace-separated words."""
+def name_tokens(col: str, tokens: str = "words"):
+    """Token array for a cleaned name: its whitespace-separated words (after C8),
+    or the whole name as one token."""
     joined = tx.join_script_boundary(F.col(col))
     if tokens == "whole":
         return F.array(joined)
@@ -78,8 +83,8 @@ def name_tokens(col: str, tokens: str = "whole"):
 
 def train_name_embedding(names: DataFrame, col: str = "clean_name", dim: int = W2V_DIM,
                          window: int = W2V_WINDOW, min_count: int = W2V_MIN_COUNT,
-                         iters: int = W2V_EPOCHS, tokens: str = "whole", seed: int = 42,
-                         partitions: int | None = None):
+                         iters: int = W2V_EPOCHS, tokens: str = "words", seed: int = 42,
+                         partitions: int = W2V_PARTITIONS):
     """Skip-gram embedding of names (MLlib Word2Vec).
 
     With ``tokens="whole"`` (the reference's choice) a sentence is one token,
@@ -88,23 +93,27 @@ def train_name_embedding(names: DataFrame, col: str = "clean_name", dim: int = W
     raise ``min_count`` when distinct names reach millions.
     """
     sentences = names.where(F.col(col).isNotNull()).select(name_tokens(col, tokens).alias("_tok"))
-    # MLlib averages per-partition updates after every iteration, so the
-    # partition count trades accuracy for speed; it follows the cluster size,
-    # not the (possibly many) partitions of the input.
-    n_parts = partitions or max(1, min(8, names.sparkSession.sparkContext.defaultParallelism))
     w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
-                   inputCol="_tok", outputCol="_vec", numPartitions=n_parts)
+                   inputCol="_tok", outputCol="_vec", numPartitions=partitions)
     return w2v.fit(sentences)
 
 
-def export_embeddings(names: DataFrame, model, dim: int = W2V_DIM, strict_reference: bool = False) -> DataFrame:
+def export_embeddings(names: DataFrame, model, dim: int = W2V_DIM, strict_reference: bool = False,
+                      tokens: str = "words") -> DataFrame:
     """E4 + J6: (unique_id, business_name, cleaned_business_name, embedding_array).
 
-    Lookup key is the C8-joined name, as used in training (the reference looks
+    With ``tokens="words"`` a name's vector is the mean of its words' vectors
+    (zeros when none is known), computed on the executors by the model itself.
+    With ``"whole"`` it is looked up by the whole name: the lookup key is the C8-joined name, as used in training (the reference looks
     up the raw cleaned name, so mixed-script names get zeros there;
     ``strict_reference=True`` reproduces that).  Missing names get ``dim``
     zeros.  One distributed join replaces the reference's paged driver loop.
     """
+    if tokens == "words":
+        known = names.withColumn("_tok", F.coalesce(name_tokens("clean_name", tokens), F.array().cast("array<string>")))
+        return model.transform(known).select(
+            "unique_id", F.col("bizname").alias("business_name"), F.col("clean_name").alias("cleaned_business_name"),
+            vector_to_array("_vec", "float32").alias("embedding_array"))
     vectors = model.getVectors().select(F.col("word"), vector_to_array("vector", "float32").alias("vector"))
     key = F.col("clean_name") if strict_reference else tx.join_script_boundary(F.col("clean_name"))
     base = names.select("unique_id", F.col("bizname").alias("business_name"),
@@ -115,21 +124,29 @@ def export_embeddings(names: DataFrame, model, dim: int = W2V_DIM, strict_refere
 
 
 # -------------------------------------------------------------------- models --
-def training_input(df: DataFrame, expected_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
+def training_input(df: DataFrame, keys: Sequence[str] = ("unique_id", "draw"), partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """Materialise a (bounded) training set before fitting.
 
     Tree learners make many passes over their input; a sample built by
     splits, quotas and oversampling has a long lineage, so it is written once
-    to the reliable checkpoint folder (lineage cut, survives executor loss)
-    with a partition count proportional to its size, not to the cluster.
+    to the reliable checkpoint folder (lineage cut, survives executor loss).
+    Rows go to ``partitions`` partitions by their ``keys``, in that order, so a
+    seeded fit sees the same partitions on any machine.
     """
     from ..session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # proportional to size, but at least a few partitions so one fit can use
-    # several cores
-    parts = max(1, min(spark.sparkContext.defaultParallelism, max(4, -(-expected_rows // rows_per_partition))))
-    return df.repartition(parts).checkpoint(eager=True)
+    ensure_checkpoint_dir(df.sparkSession)
+    by = [k for k in keys if k in df.columns]
+    return df.repartition(partitions, *by).sortWithinPartitions(*by).checkpoint(eager=True)
+
+
+def save_model(model, path: str) -> None:
+    """Write a fitted model (E3, E11-E13) with Spark's own format."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind, path: str):
+    """Read a model of class ``kind`` (for instance ``Word2VecModel``)."""
+    return kind.load(path)
 
 
 def fit_concurrently(tasks: dict, max_workers: int = 4) -> dict:

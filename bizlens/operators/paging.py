@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 def global_index(df: DataFrame, key: str, out: str = "idx", buckets: int = 1024,
                  rel_error: float = 1e-3) -> DataFrame:
-    """0-based row index in ``key`` order (ties broken by nothing: keys should be unique)."""
+    """0-based row index in ``key`` order (keys should be unique; rows with a null key come first)."""
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(float(v) for v in df.approxQuantile(key, probs, rel_error)))
     splits = [float("-inf")] + cuts + [float("inf")]
     keyed = df.withColumn("_kd", F.col(key).cast("double"))
     bucketed = Bucketizer(splits=splits, inputCol="_kd", outputCol="_bk",
                           handleInvalid="keep").transform(keyed)
+    bucketed = bucketed.withColumn("_bk", F.coalesce("_bk", F.lit(-1.0)))
     counts = bucketed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.select("_bk", (F.sum("_c").over(Window.orderBy("_bk").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_off"))

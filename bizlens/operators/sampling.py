@@ -5,17 +5,19 @@ with the smallest seeded hash (ties by key), where k is a function of the
 stratum size.  A per-stratum ``row_number`` window would put a whole stratum
 - possibly a third of all rows - into one task, so instead:
 
-1. every row gets a 32-bit hash and a bucket = its top ``bits`` bits;
-2. a histogram counts rows per (stratum, bucket) with map-side combine
-   (strata x 2**bits rows at most);
-3. prefix sums over that small histogram decide, per bucket, "all rows in",
-   "no row in", or "the first ``need`` rows" (only the one bucket that holds
-   the cut);
-4. only rows of cut buckets (about 1/2**bits of each stratum) are ranked by a
-   window partitioned by (stratum, bucket).
-
-Results depend only on keys and the seed, never on partitioning, so a test
-set and its complement (J3) agree on recompute.
+1. every row gets a hash and a bucket = its top ``bits`` bits;
+2. a histogram counts rows per (stratum, bucket) with map-side combine;
+3. prefix sums over that histogram name the one bucket per stratum that holds
+   the cut and how many of its rows are needed;
+4. only rows of cut buckets (about 1/2**bits of each stratum) are ranked, which
+   gives the exact (hash, key) threshold of every stratum;
+5. one map-side filter compares each row with the threshold of its stratum: the
+   base is never shuffled while the thresholds, one row per stratum, are few
+   enough to send to the tasks (``BROADCAST_STRATA``); more are joined by key.
+
+Steps 2-4 run when the operator is called.  Results depend only on keys and the
+seed, never on partitioning, so a test set and its complement (J3) agree on
+recompute.  Rows that share a key share their fate.
 """
 
 from __future__ import annotations
@@ -27,35 +29,48 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_BITS, seeded_hash
 
-Quota = Callable[[Column, Column], Column]   # (stratum size, total size) -> k
+Quota = Callable[[Column, Column, Column], Column]   # (stratum size, total size, smallest stratum) -> k
 
 
-def select_smallest(df: DataFrame, strata: Sequence[str], quota: Quota, key: str, seed: int,
-                    flag: str = "selected", bits: int = 12) -> DataFrame:
-    """Add boolean ``flag``: row is among the ``quota(n_stratum, n_total)``
-    smallest-hash rows of its stratum.  All input rows are returned."""
-    strata = list(strata)
-    h = seeded_hash(key, seed)
-    base = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), HASH_BITS - bits))
+#: Strata whose thresholds are sent to the tasks (some 50 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_STRATA = 100_000
+
+
+def _thresholds(base: DataFrame, strata: list[str], quota: Quota, key: str) -> DataFrame:
+    """Per stratum: (_k<i>..., _th, _tk) - rows up to (hash, key) are selected; a null hash selects none."""
     hist = base.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
     by_stratum = Window.partitionBy(*strata)
-    cum = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_cum", F.sum("_c").over(cum))
-            .withColumn("_n", F.sum("_c").over(by_stratum))
-            .withColumn("_tot", F.sum("_c").over(Window.partitionBy())))
-    k = F.least(F.greatest(quota(F.col("_n"), F.col("_tot")).cast("bigint"), F.lit(0)), F.col("_n"))
+    cum = by_stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = hist.groupBy(*strata).agg(F.sum("_c").alias("_n")).agg(F.sum("_n").alias("tot"), F.min("_n").alias("least")).first()
+    hist = hist.withColumn("_cum", F.sum("_c").over(cum)).withColumn("_n", F.sum("_c").over(by_stratum))
+    k = quota(F.col("_n"), F.lit(sizes["tot"] or 0), F.lit(sizes["least"] or 0))
+    hist = hist.withColumn("_k", F.least(F.greatest(k.cast("bigint"), F.lit(0)), F.col("_n")))
     before = F.col("_cum") - F.col("_c")
-    hist = hist.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(strata)], F.col("_b").alias("_hb"),
-                       F.when(F.col("_cum") <= k, F.lit(1)).when(before >= k, F.lit(0)).otherwise(F.lit(2)).alias("_s"),
-                       (k - before).alias("_need"))
-    # null-safe on strata: a null stratum value is a stratum of its own
+    cut = hist.where((before < F.col("_k")) & (F.col("_cum") >= F.col("_k"))).select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(strata)], F.col("_b").alias("_hb"), (F.col("_k") - before).alias("_need"))
     cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(strata)] + [F.col("_b") == F.col("_hb")]
-    joined = base.join(hist, on=cond, how="inner").select(*base.columns, "_s", "_need")
-    decided = joined.where(F.col("_s") != 2).withColumn(flag, F.col("_s") == 1)
-    rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key))
-    cut = joined.where(F.col("_s") == 2).withColumn(flag, rank <= F.col("_need"))
-    out_cols = df.columns + [flag]
-    return decided.select(*out_cols).unionByName(cut.select(*out_cols))
+    near = base.select(*strata, "_b", "_h", F.col(key).alias("_key")).join(cut, on=cond, how="inner")
+    rank = F.row_number().over(Window.partitionBy(*[f"_k{i}" for i in range(len(strata))]).orderBy("_h", "_key"))
+    return near.withColumn("_r", rank).where(F.col("_r") == F.col("_need")).select(
+        *[f"_k{i}" for i in range(len(strata))], F.col("_h").alias("_th"), F.col("_key").alias("_tk"))
+
+
+def select_smallest(df: DataFrame, strata: Sequence[str], quota: Quota, key: str, seed: int,
+                    flag: str = "selected", bits: int = 12) -> DataFrame:
+    """Add boolean ``flag``: row is among the ``quota(n_stratum, n_total, n_least)``
+    smallest-hash rows of its stratum.  All input rows are returned, rows with a
+    null key too."""
+    strata = list(strata)
+    base = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.shiftright(F.col("_h"), HASH_BITS - bits))
+    limits = _thresholds(base, strata, quota, key)
+    few = limits.limit(BROADCAST_STRATA + 1).collect()
+    if len(few) <= BROADCAST_STRATA:
+        limits = F.broadcast(df.sparkSession.createDataFrame(few, limits.schema))
+    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(strata)] or F.lit(True)
+    # nulls order first, as in the ranking
+    up_to = F.col(key).isNull() | F.coalesce(F.col(key) <= F.col("_tk"), F.lit(False))
+    chosen = (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & up_to)
+    return base.join(limits, on=cond, how="left").select(*df.columns, F.coalesce(chosen, F.lit(False)).alias(flag))
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str], test_frac: float, key: str, seed: int = 42,
@@ -66,7 +81,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str], test_frac: float, key
     side.  The reference's Bernoulli ``sampleBy`` changes with partitioning;
     this does not.
     """
-    return select_smallest(df, strata, lambda n, N: F.round(F.lit(float(test_frac)) * n), key, seed, flag)
+    return select_smallest(df, strata, lambda n, N, m: F.round(F.lit(float(test_frac)) * n), key, seed, flag)
 
 
 def split(df: DataFrame, strata: Sequence[str], test_frac: float, key: str, seed: int = 42,
@@ -94,19 +109,15 @@ def sample_to(df: DataFrame, strata: Sequence[str], target: int, key: str, seed:
     Stratum quota = ``round(target * n / N)`` clamped to the stratum size
     (the reference fails when the data is smaller than the target).
     """
-    return select_smallest(df, strata, lambda n, N: F.round(F.lit(float(target)) * n / N), key, seed, flag)
+    return select_smallest(df, strata, lambda n, N, m: F.round(F.lit(float(target)) * n / N), key, seed, flag)
 
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42, flag: str = "kept") -> DataFrame:
     """Every class cut to the minority-class size, without replacement."""
-    hist_min = Window.partitionBy()
-
-    def quota(n: Column, _N: Column) -> Column:
-        return F.min(n).over(hist_min)
-    return select_smallest(df, [label], quota, key, seed, flag)
+    return select_smallest(df, [label], lambda n, N, m: m, key, seed, flag)
 
 
-def dense_index(df: DataFrame, key: str, seed: int, out: str = "idx", bits: int = 12) -> DataFrame:
+def dense_index(df: DataFrame, key: str, seed: int, out: str = "idx", bits: int = 16) -> DataFrame:
     """0-based dense index in (seeded hash, key) order without a one-task window.
 
     Bucket counts (2**bits rows) are prefix-summed on one small table and
@@ -153,16 +164,17 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42, keep_origina
     ``keep_originals=False`` (E9a, bootstrap): each minority class is replaced
     by n_major draws with replacement.  ``keep_originals=True`` (E9b): all
     originals stay and n_major - n_class draws are added.  Majority rows pass
-    once.  ``draw_col`` numbers the draws (null for original rows).
+    once.  ``draw_col`` numbers the draws (null for original rows).  Rows without
+    a label are a class of their own.
     """
     counts = class_counts(df, label)
     major = max(counts, key=lambda c: (counts[c], str(c)))
     n_major = counts[major]
-    parts = [df.where(F.col(label) == F.lit(major)).withColumn(draw_col, F.lit(None).cast("bigint"))]
+    parts = [df.where(F.col(label).eqNullSafe(F.lit(major))).withColumn(draw_col, F.lit(None).cast("bigint"))]
     for cls, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
-        if cls == major or cls is None:
+        if cls == major:
             continue
-        minority = df.where(F.col(label) == F.lit(cls))
+        minority = df.where(F.col(label).eqNullSafe(F.lit(cls)))
         if keep_originals:
             parts.append(minority.withColumn(draw_col, F.lit(None).cast("bigint")))
             parts.append(bootstrap_draws(minority, n_major - n, key, seed, draw_col, n_rows=n))

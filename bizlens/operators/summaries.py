@@ -57,12 +57,12 @@ def survival_summary(df: DataFrame, dims: Sequence[str], start_col: str, end_col
 def quarterly_trend(df: DataFrame, dims: Sequence[str], date_col: str,
                     value_col: str | None = None) -> DataFrame:
     """Per group and quarter, the value (count or sum) and its change vs
-    the previous quarter present for the group."""
+    the quarter before (null when the group has no rows in that quarter)."""
     q = F.trunc(F.col(date_col), "quarter").alias("quarter")
     val = F.count(F.lit(1)) if value_col is None else F.sum(F.col(value_col))
     agg = df.groupBy(*dims, q).agg(val.cast("bigint").alias("value"))
     w = Window.partitionBy(*dims).orderBy("quarter")
-    prev = F.lag("value").over(w)
+    prev = F.when(F.add_months(F.lag("quarter").over(w), 3) == F.col("quarter"), F.lag("value").over(w))
     return agg.select(*dims, "quarter", "value", prev.alias("prev_value"),
                       (F.col("value") - prev).alias("change"),
                       F.round((F.col("value") - prev) / prev, 6).alias("change_rate"))

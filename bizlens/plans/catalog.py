@@ -55,7 +55,7 @@ def with_lic(body: str, names: bool = False, extra: str = "") -> str:
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
-    return nm.final_name_table(licences(spark, sf), top_n=PIPE_TOP_N, min_freq=MIN_BRAND_FREQ)
+    return nm.final_name_table(licences(spark, sf, by_key=True), top_n=PIPE_TOP_N, min_freq=MIN_BRAND_FREQ)
 
 
 # ---------------------------------------------------------------- flagship --

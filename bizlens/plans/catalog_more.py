@@ -41,6 +41,7 @@ DUCK_PARSED = f"""
 , rp AS (SELECT uid, regexp_replace({duck.py_strip('payload')}, '^\\((.*)\\)$', '\\1', 's') AS j FROM responses),
 rj AS (SELECT uid, j, unnest(json_extract(j, '$.results.juso[*]')) AS js FROM rp
        WHERE json_array_length(json_extract(j, '$.results.juso')) > 0
+         AND json_type(j, '$.results.common') = 'OBJECT'
          AND json_extract_string(j, '$.results.common.totalCount') IS DISTINCT FROM '0'),
 parsed AS (SELECT uid, {', '.join(f"json_extract_string(j, '$.results.common.{c}') AS {c}" for c in ad.COMMON_FIELDS)},
    {', '.join(f"json_extract_string(js, '$.{c}') AS {c}" for c in ad.JUSO_FIELDS)} FROM rj)
@@ -240,7 +241,8 @@ cum AS (SELECT score, pos, neg,
 
 @register("confusion", with_lic(f"""{DUCK_PRED}
 SELECT y AS label, CAST(sum(CASE WHEN yhat = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pred_0,
-       CAST(sum(CASE WHEN yhat = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1 FROM pred GROUP BY y"""))
+       CAST(sum(CASE WHEN yhat = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1,
+       CAST(sum(CASE WHEN yhat NOT IN (0, 1) THEN 1 ELSE 0 END) AS BIGINT) AS pred_other FROM pred GROUP BY y"""))
 def confusion(spark, sf):
     """Confusion matrix with explicit labels."""
     return mt.confusion_matrix(_pred(spark, sf), "y", "yhat", (0, 1))
@@ -286,7 +288,7 @@ def roc_points(spark, sf):
 @register("pr_points", with_lic(f"""{DUCK_PRED}
 SELECT score AS threshold, CAST(P - pos_below AS DOUBLE) / ((P - pos_below) + (N - neg_below)) AS precision,
        CAST(P - pos_below AS DOUBLE) / P AS recall
-FROM cum WHERE score >= (SELECT max(score) FROM cum WHERE pos_below = 0)
+FROM cum
 UNION ALL SELECT NULL, 1.0, 0.0"""))
 def pr_points(spark, sf):
     """A10: precision-recall curve points."""
@@ -358,10 +360,9 @@ def survival(spark, sf):
 @register("quarterly_trend", with_lic("""
 , q AS (SELECT sido, CAST(date_trunc('quarter', license_date) AS DATE) AS quarter, count(*) AS value
         FROM lic GROUP BY 1, 2)
-SELECT sido, quarter, CAST(value AS BIGINT) AS value, CAST(lag(value) OVER w AS BIGINT) AS prev_value,
-       CAST(value - lag(value) OVER w AS BIGINT) AS change,
-       round((value - lag(value) OVER w) / lag(value) OVER w, 6) AS change_rate
-FROM q WINDOW w AS (PARTITION BY sido ORDER BY quarter)"""))
+SELECT q.sido, q.quarter, CAST(q.value AS BIGINT) AS value, CAST(b.value AS BIGINT) AS prev_value,
+       CAST(q.value - b.value AS BIGINT) AS change, round((q.value - b.value) / b.value, 6) AS change_rate
+FROM q LEFT JOIN q b ON b.sido = q.sido AND b.quarter + INTERVAL 3 MONTH = q.quarter"""))
 def quarterly_trend(spark, sf):
     """New licences per region and quarter, change vs previous quarter."""
     return sm.quarterly_trend(licences(spark, sf), ["sido"], "license_date")

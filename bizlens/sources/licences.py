@@ -50,43 +50,27 @@ FROM {lic}
 """
 
 
-_MEMO: dict = {}
-
-
-def _memo(kind: str, spark: SparkSession, sf_dir: str, build):
-    """One analysed DataFrame per (session, folder): queries built on the same
-    source share its plan instead of re-parsing and re-analysing the SQL."""
-    key = (kind, spark, sf_dir, spark.conf.get("spark.sql.shuffle.partitions"))
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
-
-
-def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def licences(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
     """The licence register derived from orders/customer/nation/region.
 
     Plan shape: orders and customer are the only large inputs and meet in one
-    shuffle join on the customer key; nation (25 rows) and region (5 rows) are
-    left to the planner, which broadcasts them from their file statistics.
-    The inputs are bound as query parameters, so no temp view of the caller's
-    session is created or replaced.
+    join on the customer key; nation (25 rows) and region (5 rows) are left to
+    the planner, which broadcasts them from their file statistics.  The inputs
+    are bound as query parameters, so no temp view of the caller's session is
+    created or replaced.
 
-    The register is hash-partitioned by licence id once, at the source: the row-local work that follows (regex
-    name cleaning, JSON parsing, coordinate maths) then spreads over all
-    cores even when the input is a single file, and per-licence joins
-    downstream find one side already partitioned by the key.
+    ``by_key`` hash-partitions the register by licence id, for pipelines that
+    join on it several times; row-local work keeps the partitions of the scan.
     """
-    def build():
-        t = {n: read_source(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region")}
-        # no explicit count: AQE sizes the partitions from the data (many for
-        # a large register, few for a small one)
-        return spark.sql(LIC_SQL, **t).repartition("unique_id")
-    return _memo("lic", spark, sf_dir, build)
+    t = {n: read_source(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region")}
+    out = spark.sql(LIC_SQL, **t)
+    # no explicit count: AQE sizes the partitions from the data
+    return out.repartition("unique_id") if by_key else out
 
 
 def address_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored lookup payloads ``(uid, payload)`` keyed by licence id."""
-    return _memo("responses", spark, sf_dir, lambda: spark.sql(RESPONSES_SQL, lic=licences(spark, sf_dir)))
+    return spark.sql(RESPONSES_SQL, lic=licences(spark, sf_dir))
 
 
 def oracle_prelude() -> str:

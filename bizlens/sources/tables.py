@@ -35,12 +35,6 @@ def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLES) -> None:
-    """Expose the driver's tables as temp views for SQL-text sources."""
-    for name in names:
-        read_source(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def write_table(df: DataFrame, ref: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: Iterable[str] | None = None) -> None:
     """Overwrite or append.  A path writes files, a name saves a table."""

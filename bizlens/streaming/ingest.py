@@ -1,7 +1,7 @@
 """Incremental address-feed ingest (Y1) on Structured Streaming.
 
 New feed files (uid, id, raw address, stored lookup payload) are read with
-``maxFilesPerTrigger`` bounding each micro-batch; each row is parsed in place
+``maxFilesPerTrigger``, when set, bounding each micro-batch; each row is parsed in place
 (one row per returned address, or one row of nulls on a miss), deduplicated
 first-wins on (uid, full_address) across all batches (``dropDuplicates``
 keeps one key per licence in the state store; use
@@ -30,17 +30,12 @@ FEED_SCHEMA = T.StructType([
 ])
 
 
-def parse_in_place(feed: DataFrame) -> DataFrame:
-    """J7 for rows that carry their own payload (see ``operators.address``)."""
-    return ad.parse_in_place(feed)
-
-
 def _stamp(df: DataFrame, now: Column | None) -> DataFrame:
     return df.withColumn("created_at", ad.ingest_stamp(now))
 
 
 def start_address_ingest(spark: SparkSession, feed_dir: str, bronze_dir: str, silver_dir: str,
-                         checkpoint_dir: str, max_files_per_trigger: int = 1,
+                         checkpoint_dir: str, max_files_per_trigger: int | None = None,
                          available_now: bool = True, now: Column | None = None,
                          state_partitions: int | None = None):
     """Start the Y1 stream; returns the ``StreamingQuery``.
@@ -49,9 +44,11 @@ def start_address_ingest(spark: SparkSession, feed_dir: str, bronze_dir: str, si
     checkpoint (default: the session's shuffle partitions).  It is recorded
     in the checkpoint at first start and kept on restarts.
     """
-    feed = (spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(feed_dir))
-    rows = parse_in_place(feed).dropDuplicates(["uid", "full_address"])
+    reader = spark.readStream.schema(FEED_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    feed = reader.parquet(feed_dir)
+    rows = ad.parse_in_place(feed).dropDuplicates(["uid", "full_address"])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         stamped = _stamp(batch, now)
@@ -77,4 +74,4 @@ def start_address_ingest(spark: SparkSession, feed_dir: str, bronze_dir: str, si
 
 def batch_equivalent(feed: DataFrame) -> DataFrame:
     """What the stream produces for a static feed (used to check stream = batch)."""
-    return parse_in_place(feed).dropDuplicates(["uid", "full_address"])
+    return ad.parse_in_place(feed).dropDuplicates(["uid", "full_address"])
