@@ -40,5 +40,9 @@ def test_embedding_export_schema_and_zero_default(spark):
     assert all(x == 0.0 for x in vecs[2])                  # not in the vocabulary
     assert any(x != 0.0 for x in vecs[1]) and vecs[1] == vecs[3]
     assert any(x != 0.0 for x in vecs[4])                  # looked up with the script-joined key
-    strict = {r.unique_id: r.embedding_array for r in md.export_embeddings(names, model, strict_reference=True).collect()}
+    # whole names as tokens: looked up by the script-joined key, or strictly by the raw one
+    whole = md.train_name_embedding(names.where("unique_id <> 2"), iters=2, tokens="whole")
+    joined = {r.unique_id: r.embedding_array for r in md.export_embeddings(names, whole, tokens="whole").collect()}
+    assert any(x != 0.0 for x in joined[4]) and all(x == 0.0 for x in joined[2])
+    strict = {r.unique_id: r.embedding_array for r in md.export_embeddings(names, whole, strict_reference=True, tokens="whole").collect()}
     assert all(x == 0.0 for x in strict[4])                # the reference's key mismatch

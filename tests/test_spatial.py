@@ -26,7 +26,8 @@ def test_region_fallback_prefers_spatial(spark):
     spatial = spark.createDataFrame([(1, "S", "s", "d")], "unique_id long, sido string, sigungu string, dong string")
     lookup = spark.createDataFrame([(1, "L", "l", "d"), (2, "L2", "l2", "d2"), (3, None, None, None)],
                                    "unique_id long, sido string, sigungu string, dong string")
-    out = {r.unique_id: (r.sido, r.region_source) for r in jn.merge_region(spatial, lookup, "unique_id").collect()}
+    lic = spark.createDataFrame([(1,), (2,), (3,)], "unique_id long")
+    out = {r.unique_id: (r.sido, r.region_source) for r in jn.merge_region(lic, spatial, lookup, "unique_id").collect()}
     assert out == {1: ("S", "spatial"), 2: ("L2", "lookup"), 3: (None, None)}
 
 
