@@ -16,8 +16,9 @@ windows always meet in the shard of their anchor.
    own is reported.  Segments stand in document order, so the earliest place is
    the least suffix in the interval.
 3. An anchor of more than ``HOT_SEGMENTS`` segments (a passage that many
-   documents share) would make an unbounded shard: its windows are grouped by
-   their 128-bit hash instead, with map-side minima, and joined back.
+   documents share) would make an unbounded shard: equal segments are grouped
+   first, then the windows of the distinct ones by their 128-bit hash, with
+   map-side minima, and joined back.
 4. Reported intervals are merged per document and the words outside them kept.
 
 Edge cases: null text has no words; documents of fewer than ``WINDOW`` words
@@ -262,11 +263,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cold = (segs.where("NOT hot").select("h", "doc_id", "key", "start", "seg").repartition(n, "h").sortWithinPartitions("h")
             .mapInArrow(index, _RANGES))
-    wide = segs.where("hot").select("doc_id", "key", "start", "seg").mapInArrow(windows, "w binary, doc_id bigint, key bigint, start bigint")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "key", "start")
+    frequent = segs.where("hot").select("doc_id", "key", "start", "seg", place.alias("p"), F.md5("seg").alias("s"))
+    # a segment that stands earlier as a whole goes as a whole; the windows of the others are counted
+    same = stored(frequent.join(frequent.groupBy("s").agg(F.min("p").alias("m")), "s"), "frequent")
+    copies = same.where("m < p").select("key", F.col("start").alias("lo"), (F.col("start") + F.size(F.split(F.col("seg").cast("string"), " "))).alias("hi"))
+    wide = same.where("m = p").select("doc_id", "key", "start", "seg").mapInArrow(windows, "w binary, doc_id bigint, key bigint, start bigint")
     wide = stored(wide.withColumn("p", place), "windows")
     least = wide.groupBy("w").agg(F.min("p").alias("m"), F.count("*").alias("n")).where("n > 1")
     warm = wide.join(least, "w").where("m < p").select("key", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
+    warm = warm.unionAll(copies.select("key", "lo", F.col("hi").cast("bigint")))
     return cold.unionAll(warm)
 
 
