@@ -41,7 +41,7 @@ SLICE_CHARS = 600_000
 #: Bounds of a block of step 4: classes and shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 150_000
 #: Star rounds go on while at least this share of the confirmed pairs are links.
-STAR_YIELD, MAX_STAR_ROUNDS = 0.1, 8
+STAR_YIELD, MAX_STAR_ROUNDS = 0.1, 3
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -281,10 +281,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_P
     for turn in range(MAX_STAR_ROUNDS):
         labelled = _labelled(members, roots)
         pivots = _pivots(labelled, turn)
-        # each member of another group meets the least and the greatest of its buckets' pivots
-        pairs = labelled.join(pivots, "key").where("root <> pivot_root").groupBy("cls").agg(
-            F.min("pivot").alias("p"), F.max("pivot").alias("q"))
-        pairs = pairs.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
+        # each member of another group meets the least and the greatest of its buckets' pivots, by two orders
+        met = labelled.join(pivots, "key").where("root <> pivot_root").groupBy("cls").agg(
+            F.min("pivot").alias("p"), F.max("pivot").alias("q"),
+            F.min(F.struct(F.xxhash64("pivot"), "pivot"))["pivot"].alias("r"), F.max(F.struct(F.xxhash64("pivot"), "pivot"))["pivot"].alias("s"))
+        pairs = met.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array("p", "q", "r", "s"))).alias("b"))
         flagged = stored(_confirm(pairs, sets, pct), "star")
         count = flagged.agg(F.count("*").alias("n"), F.count(F.when(F.col("linked"), 1)).alias("k")).first()
         if not count["n"]:
