@@ -3,16 +3,16 @@
 State: items (unplaced pieces) and gaps (open sequences with free places).
 A round does, for all rows at once:
 
-1. *Open*: as many sequences as the unplaced tokens need beyond the free
-   places (or one, when the last round matched nothing), by the largest items.
-2. *Range-sort* items and gaps together by size (items before gaps of the same size).
-3. *Successor sweep* in every range: gaps in ascending order take the largest
+1. *Range-sort* items and gaps together by size (items before gaps of the same size).
+2. *Successor sweep* in every range: gaps in ascending order take the largest
    unused items that fit, repeatedly.  Two items that want one gap, or two
    gaps that want one item, are settled by rank in the sort order.
-4. *Carry* between ranges: what ranges leave over is matched by rank.  The
-   driver sees two counts and sizes a range, never rows, and hands back
+3. *Carry* between ranges: what ranges leave over is matched by rank.  The
+   driver sees a row of counts and sums a range, never items, and hands back
    intervals of ranks; gaps of a higher range take the largest leftovers below,
    several each when they fit by size.
+4. *Open*: as many sequences as the unplaced tokens need beyond the free
+   places (or one, when nothing was matched), by the largest leftovers.
 5. *Update* the gaps, drop those smaller than any unplaced item, and repeat.
 
 Every round is checkpointed to the shared folder.  Equal sizes are split by the
@@ -69,13 +69,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: i
         cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-_SWEPT = "pid int, kind int, id bigint, size bigint, gap bigint, mate bigint, place bigint, rank bigint, top bigint"
-#: Kinds of swept rows.
-PLACED, ITEM_LEFT, GAP_LEFT, GAP_USED = 0, 1, 2, 3
+_SWEPT = "pid int, kind int, id bigint, size bigint, mate bigint, place bigint, rank bigint, a bigint, b bigint, c bigint, d bigint, e bigint, f bigint"
+#: Kinds of swept rows; ABOUT is one row a range: items left (a), their largest (b), gaps left (c),
+#: the smallest gap (d), tokens left less free places (e), items placed (f), smallest item left (size).
+PLACED, ITEM_LEFT, GAP_LEFT, GAP_USED, ABOUT = range(5)
 
 
-def _sweep(open_from: dict[int, int], limit: int):
-    """Sweep of one sorted range.  ``open_from``: items of this rank (among the range's items) and above open sequences."""
+def _sweep(limit: int):
+    """Sweep of one sorted range."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -85,13 +86,7 @@ def _sweep(open_from: dict[int, int], limit: int):
         if not parts:
             return
         size, kind, ids = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(3))
-        items, item_ids = size[kind == 0], ids[kind == 0]
-        cut = open_from.get(pid, len(items))
-        rows: list[tuple] = []
-        for s, i in zip(items[cut:].tolist(), item_ids[cut:].tolist()):  # the item's own number names the new sequence
-            rows.append((pid, PLACED, i, s, None, i, 0, None, None))
-            rows.append((pid, GAP_USED, i, limit - s, None, None, None, None, None))
-        sizes = items[:cut].tolist()
+        sizes, item_ids = size[kind == 0].tolist(), ids[kind == 0].tolist()
         below = list(range(-1, len(sizes)))  # below[k + 1]: last unused item at or before k
 
         def unused(k: int) -> int:
@@ -103,27 +98,31 @@ def _sweep(open_from: dict[int, int], limit: int):
                 below[p] = k
             return k
 
+        rows: list[tuple] = []  # (kind, id, size, mate, place, rank)
         used = bytearray(len(sizes))
-        n_left = 0
+        gaps_left, least_gap, free_all = 0, None, 0
         for g, b in zip(size[kind == 1].tolist(), ids[kind == 1].tolist()):
             free = g
             while free > 0 and (k := unused(bisect.bisect_right(sizes, free) - 1)) >= 0:
-                rows.append((pid, PLACED, int(item_ids[k]), sizes[k], None, b, limit - free, None, None))
+                rows.append((PLACED, item_ids[k], sizes[k], b, limit - free, None))
                 used[k] = 1
                 below[k + 1] = k - 1
                 free -= sizes[k]
+            free_all += free
             if free == g:
-                rows.append((pid, GAP_LEFT, b, g, None, None, None, n_left, None))
-                n_left += 1
+                rows.append((GAP_LEFT, b, g, None, None, gaps_left))
+                least_gap = g if least_gap is None else least_gap
+                gaps_left += 1
             elif free:
-                rows.append((pid, GAP_USED, b, free, None, None, None, None, None))
+                rows.append((GAP_USED, b, free, None, None, None))
         left = [k for k in range(len(sizes)) if not used[k]]
-        for r, k in enumerate(left):
-            rows.append((pid, ITEM_LEFT, int(item_ids[k]), sizes[k], None, None, None, r, None))
-        names = _SWEPT.replace(",", "").split(" ")[::2]
-        cols = list(zip(*rows)) if rows else [()] * len(names)
-        kinds = {"pid": pa.int32(), "kind": pa.int32()}
-        yield pa.RecordBatch.from_pydict({n: pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols)})
+        rows += [(ITEM_LEFT, item_ids[k], sizes[k], None, None, r) for r, k in enumerate(left)]
+        rows.append((ABOUT, None, sizes[left[0]] if left else None, None, None, None))
+        about = (len(left), sizes[left[-1]] if left else None, gaps_left, least_gap, sum(sizes[k] for k in left) - free_all, sum(used))
+        cols = dict(zip(("kind", "id", "size", "mate", "place", "rank"), zip(*rows)))
+        out = {"pid": pa.array([pid] * len(rows), pa.int32())} | {n: pa.array(c, pa.int32() if n == "kind" else pa.int64()) for n, c in cols.items()}
+        out |= {n: pa.array([None] * (len(rows) - 1) + [v], pa.int64()) for n, v in zip("abcdef", about)}
+        yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -160,64 +159,53 @@ def pack(items: DataFrame, limit: int = 2048, range_rows: int = RANGE_ROWS) -> D
     whole = items.where(F.col("size") == limit).select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     placed = [whole]
     state = items.where(F.col("size") < limit).select("size", F.lit(0).alias("kind"), "id")
-    matched = 1
-    while True:
-        about = state.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("least")).collect()
-        now = {r["kind"]: r for r in about}
-        if 0 not in now:
-            break
-        tokens, n_items = now[0]["total"], now[0]["n"]
-        free = now[1]["total"] if 1 in now else 0
-        n_open = max(-(-(tokens - free) // limit), 0)
-        if not n_open and not matched:
-            n_open = 1
-        n_open = min(n_open, n_items)
-        parts = -(-sum(r["n"] for r in about) // range_rows)
-        ranged = checkpointed(state.repartitionByRange(parts, "size", "kind", "id").sortWithinPartitions("size", "kind", "id"))
-        # items a range, to find the rank from which the largest items open sequences
-        open_from, want = {}, n_open
-        if n_open:
-            per = ranged.where("kind = 0").groupBy(F.spark_partition_id().alias("pid")).count().collect()
-            for r in sorted(per, reverse=True):
-                take = min(want, r["count"])
-                open_from[r["pid"]] = r["count"] - take
-                want -= take
-                if not want:
-                    break
-        swept = checkpointed(ranged.mapInArrow(_sweep(open_from, limit), _SWEPT))
-        left = swept.where(F.col("kind").isin(ITEM_LEFT, GAP_LEFT)).groupBy("pid").agg(
-            F.count(F.when(F.col("kind") == ITEM_LEFT, 1)).alias("items"), F.max(F.when(F.col("kind") == ITEM_LEFT, F.col("size"))).alias("largest"),
-            F.count(F.when(F.col("kind") == GAP_LEFT, 1)).alias("gaps"), F.min(F.when(F.col("kind") == GAP_LEFT, F.col("size"))).alias("least")).collect()
-        spans = _carry(sorted(left, key=lambda r: r["pid"]))
-        here = swept.where(F.col("kind") == PLACED).select("id", F.col("mate").alias("sequence_id"), F.col("place").alias("offset"))
-        placed.append(here)
+    n_rows = state.count()
+    while n_rows:
+        ranged = state.repartitionByRange(-(-n_rows // range_rows), "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
+        swept = checkpointed(ranged.mapInArrow(_sweep(limit), _SWEPT))
+        about = sorted((r.asDict() for r in swept.where(F.col("kind") == ABOUT).collect()), key=lambda r: r["pid"])  # a row a range
+        spans = _carry([{"pid": r["pid"], "items": r["a"], "largest": r["b"], "gaps": r["c"], "least": r["d"]} for r in about])
+        left = {r["pid"]: r["a"] for r in about}
+        taken = {}
+        for pid, lo, hi, each, _, _ in spans:
+            left[pid] -= hi - lo
+            taken[pid] = taken.get(pid, 0) + -(-(hi - lo) // each)
+        matched = sum(r["f"] for r in about) + sum(taken.values())
+        want = max(-(-sum(r["e"] for r in about) // limit), 0 if matched else 1)
+        opens = []
+        for pid in sorted(left, reverse=True):  # the largest leftovers open sequences
+            if (take := min(want, left[pid])) > 0:
+                opens.append((pid, left[pid] - take, left[pid], 1, None, None))
+                want, left[pid] = want - take, left[pid] - take
+        placed.append(swept.where(F.col("kind") == PLACED).select("id", F.col("mate").alias("sequence_id"), F.col("place").alias("offset")))
         item_left = swept.where(F.col("kind") == ITEM_LEFT).select("pid", "id", "size", "rank")
         gap_left = swept.where(F.col("kind") == GAP_LEFT).select("pid", "id", "size", "rank")
         gaps = swept.where(F.col("kind") == GAP_USED).select("size", F.lit(1).alias("kind"), "id")
+        # at most three intervals a range of the sort
+        iv = F.broadcast(spark.createDataFrame(spans + opens, "ipid int, lo bigint, hi bigint, each bigint, gap_pid int, gap_rank bigint"))
+        tagged = item_left.join(iv, (F.col("pid") == F.col("ipid")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left").select(
+            "id", "size", "ipid", "gap_pid", (F.col("gap_rank") + F.floor((F.col("hi") - 1 - F.col("rank")) / F.col("each"))).cast("bigint").alias("gap_rank"))
+        opened = tagged.where("ipid IS NOT NULL AND gap_pid IS NULL")
+        placed.append(opened.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("bigint")))
+        gaps = gaps.unionAll(opened.select(limit - F.col("size"), F.lit(1), "id"))
         if spans:
-            # at most two intervals a range of the sort
-            iv = F.broadcast(spark.createDataFrame(spans, "pid int, lo bigint, hi bigint, each bigint, gap_pid int, gap_rank bigint"))
-            tagged = item_left.join(iv, (item_left["pid"] == iv["pid"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left").select(
-                "id", "size", F.col("gap_pid").alias("pid"),
-                (F.col("gap_rank") + F.floor((F.col("hi") - 1 - F.col("rank")) / F.col("each"))).cast("bigint").alias("rank"))
-            mates = tagged.where("pid IS NOT NULL").groupBy("pid", "rank").agg(F.collect_list(F.struct("id", "size")).alias("take"))  # at most limit each
-            joined = gap_left.select("pid", "rank", F.col("id").alias("sequence_id"), F.col("size").alias("gap")).join(mates, ["pid", "rank"], "left")
-            joined = checkpointed(joined.select("sequence_id", "gap", "take"))
-            filled = joined.where("take IS NOT NULL")
-            placed.append(filled.select("sequence_id", F.posexplode(F.transform("take", lambda x, i: F.struct(
+            mates = tagged.where("gap_pid IS NOT NULL").groupBy("gap_pid", "gap_rank").agg(F.collect_list(F.struct("id", "size")).alias("take"))  # at most limit each
+            joined = gap_left.join(mates, (F.col("pid") == F.col("gap_pid")) & (F.col("rank") == F.col("gap_rank")), "left").select(
+                gap_left["id"].alias("sequence_id"), gap_left["size"].alias("gap"), "take")
+            joined = checkpointed(joined)
+            placed.append(joined.where("take IS NOT NULL").select("sequence_id", F.explode(F.transform("take", lambda x, i: F.struct(
                 x["id"].alias("id"), (F.lit(limit) - F.col("gap") + F.aggregate(F.slice("take", 1, i), F.lit(0).cast("bigint"), lambda a, y: a + y["size"])).alias("offset"))))
             ).select("col.id", "sequence_id", "col.offset"))
             gaps = gaps.unionAll(joined.select((F.col("gap") - F.coalesce(F.aggregate("take", F.lit(0).cast("bigint"), lambda a, y: a + y["size"]), F.lit(0))).alias("size"), F.lit(1), "sequence_id"))
-            rest = tagged.where("pid IS NULL").select("size", F.lit(0).alias("kind"), "id")
-            matched = filled.count() + here.where("sequence_id <> id").count()
         else:
             gaps = gaps.unionAll(gap_left.select("size", F.lit(1), "id"))
-            rest = item_left.select("size", F.lit(0).alias("kind"), "id")
-            matched = here.where("sequence_id <> id").count()
-        least = rest.agg(F.min("size").alias("m")).first()["m"]
-        if least is None:
+        n_items = sum(left.values())
+        if not n_items:
             break
-        state = rest.unionAll(gaps.where(F.col("size") >= least))
+        # gaps below every item left over are full
+        least = min(r["size"] for r in about if r["a"])
+        state = tagged.where("ipid IS NULL").select("size", F.lit(0).alias("kind"), "id").unionAll(gaps.where(F.col("size") >= least))
+        n_rows = n_items + sum(r["c"] + r["f"] for r in about) + sum(o[2] - o[1] for o in opens)
     out = placed[0]
     for p in placed[1:]:
         out = out.unionAll(p)
