@@ -16,7 +16,7 @@ from bizlens.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_
 from bizlens.llm.secrets import scan
 from bizlens.llm.substring_dedup import FMIndex, remove_repeats
 from bizlens.llm.toxicity import Scorer, held_out, reject_toxic, score_documents, toxic_scores, train
-from conftest import edge_rows, make_docs, vocabulary_words
+from llm_cases import edge_rows, edges, make_docs, no_docs, vocabulary_words  # noqa: F401
 
 
 def words(t):

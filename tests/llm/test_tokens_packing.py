@@ -12,7 +12,7 @@ from bizlens.llm.packing import _carry, pack, pack_documents
 from bizlens.llm.queries import vocabulary
 from bizlens.llm.token_output import BLOCK, decode_blocks, encode_blocks, pack_segment, token_table, unpack_segment
 from bizlens.llm.tokens import PieceEncoder
-from conftest import edge_rows  # noqa: F401  (tests/llm/conftest.py)
+from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 
 FILES = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
 ODD = ["", "  a", "a   b", "a \n b\n\n\nc  \n", "a ", "\n", " \n", "it's 'll x", "a\xa0 b", "x\x1fy z", "<|endoftext|> a", "é ́x", "ΣΑΣ Σ İ", "\t\ta\tb\r\nc", "0 10 0", "A" * 5000]
