@@ -163,11 +163,11 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        step = label.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("next"), "root")
+        near = both.join(label, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root", F.lit(None).cast(label.schema["root"].dataType).alias("old"))
+        step = label.select("node", "root", F.col("root").alias("old")).unionAll(near).groupBy("node").agg(F.min("root").alias("next"), F.max("old").alias("old"))
         up = label.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         new = stored(step.join(up, F.col("next") == F.col("n2"), "left").select(
-            "node", F.least("next", F.coalesce("r2", "next")).alias("root"), F.col("root").alias("old")), "labels")
+            "node", F.least("next", F.coalesce("r2", "next")).alias("root"), "old"), "labels")
         changed = new.where("root <> old").limit(1).count()
         label = new.select("node", "root")
         if not changed:
