@@ -8,9 +8,10 @@ ends) is boilerplate when it stands on at least ``min_sites`` distinct sites.
 2. Lines whose estimate is near the threshold (``margin``) get an exact
    distinct count; far estimates decide by themselves.
 3. Every occurrence of a boilerplate line goes.  A document of which more than
-   ``max_share`` of the characters would go is a copy of a whole text rather
-   than a carrier of boilerplate: it is left whole, for the document-level
-   stages to judge (``whole_copy`` is true).
+   ``max_share`` of the characters would go, and whose lines that are not blank
+   are those of another document (another doc_id) in the same order, is a copy
+   of a whole text: it is left whole, for the document-level stages to judge
+   (``whole_copy`` is true).  With ``copies_only=False`` the share decides alone.
 
 Edge cases: blank lines are never counted or removed; null text is an empty
 text (``text`` stays null); a null site counts for no line, yet its documents
@@ -61,17 +62,28 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
     return sure.unionAll(exact)
 
 
+def copied(docs: DataFrame, text: str = "text") -> DataFrame:
+    """row of the documents whose lines, blank ones aside, stand in the same order in a document of another id."""
+    lines = F.filter(F.transform(F.split(text, "\n"), _norm), lambda x: F.length(x) > 0)
+    own = docs.select(_row_key(docs, text).alias("row"), lines.alias("lines")).where(F.size("lines") > 0)
+    # rows of one doc_id and text are one document; the ends of a group tell whether it has two
+    own = own.select("row", F.xxhash64("lines").alias("a"), F.hash("lines").alias("b"), F.size("lines").alias("n"))
+    twice = own.groupBy("a", "b", "n").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("a", "b", "n")
+    return own.join(twice, ["a", "b", "n"], "left_semi").select("row").distinct()
+
+
 def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES,
-                       margin: float = MARGIN, max_share: float = MAX_SHARE) -> DataFrame:
+                       margin: float = MARGIN, max_share: float = MAX_SHARE, copies_only: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, plus n_lines, n_removed and whole_copy."""
     hits = (line_keys(docs, site, text).join(boilerplate(docs, site, text, min_sites, margin), ["a", "b"], "left_semi")
             .groupBy("row").agg(F.collect_set("pos").alias("hit")))
+    hits = hits.join(copied(docs, text).withColumn("copy", F.lit(True)), "row", "left") if copies_only else hits.withColumn("copy", F.lit(True))
     rows = docs.select(_row_key(docs, text).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(hits, "row", "left")
     own = F.col(f"doc.`{text}`")
     rows = rows.withColumn("lines", F.coalesce(F.split(own, "\n"), F.array().cast("array<string>")))
     gone = F.aggregate(F.coalesce("hit", F.array().cast("array<int>")), F.lit(0), lambda n, p: n + F.length(F.element_at("lines", p + 1)))
     chars = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
-    rows = rows.withColumn("whole", gone > max_share * chars)
+    rows = rows.withColumn("whole", (gone > max_share * chars) & F.coalesce("copy", F.lit(False)))
     act = F.col("hit").isNotNull() & ~F.col("whole")
     kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("hit", i)), "\n")
     return rows.select(

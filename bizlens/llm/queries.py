@@ -71,7 +71,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .line_dedup import remove_boilerplate
 
-    return remove_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "whole_copy", F.md5("text").alias("text_md5"))
+    # as in this query's SQL, the share alone decides whole_copy
+    return remove_boilerplate(read(spark, sf_dir, "documents"), copies_only=False).select("doc_id", "n_lines", "n_removed", "whole_copy", F.md5("text").alias("text_md5"))
 
 
 def _op3_sql() -> str:

@@ -158,6 +158,20 @@ def test_line_dedup(spark, edges, no_docs):
     assert remove_boilerplate(no_docs).count() == 0
 
 
+def test_short_pages_lose_their_menus_and_copies_stay(spark):
+    rnd, vocab = random.Random(12), vocabulary_words()
+    text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    menu, story = [text(12) for _ in range(4)], "\n".join(text(20) for _ in range(3))
+    rows = [(k, "\n".join([menu[0], f"own words {k}", "", *menu[1:]]), f"site{k}") for k in range(12)]
+    rows += [(100 + k, story, f"site{k}") for k in range(12)]  # a text that was copied
+    rows += [(200, "\n".join(menu), "site1"), (200, "\n".join(menu), "site1"), (None, "\n".join(menu[:2]), "site2")]  # repeated rows are no copies
+    rows += [(201, "own\n" + story, "site3")]
+    got = {(r["doc_id"], r["text"]): r for r in remove_boilerplate(make_docs(spark, rows)).collect()}
+    want = {(k, f"own words {k}\n", 4, False) for k in range(12)} | {(100 + k, story, 0, True) for k in range(12)}
+    want |= {(200, "", 4, False), (None, "", 2, False), (201, "own", 3, False)}
+    assert {(r["doc_id"], r["text"], r["n_removed"], r["whole_copy"]) for r in got.values()} == want
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(k, f"line {n}", f"site{k}") for n in range(1, 16) for k in range(n)]
     docs = make_docs(spark, rows)
