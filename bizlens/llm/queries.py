@@ -120,7 +120,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
     return scan(read(spark, sf_dir, "documents")).select(
-        "doc_id", "place", "length", F.md5("value").alias("value_md5"), F.round("score", 6).alias("score"), "is_secret")
+        "doc_id", "place", "offset", "length", F.md5("value").alias("value_md5"), F.round("score", 6).alias("score"), "is_secret")
 
 
 #: DuckDB twin of op5: every window by its word list.

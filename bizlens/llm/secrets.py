@@ -2,7 +2,10 @@
 
 Everything is DataFrame expressions and Spark's own forest; no Python runs on executors.
 
-1. *Candidates*: words of at least ``MIN_LEN`` characters that hold a digit.
+1. *Candidates*: the runs of value characters of a word, split at quotes and
+   assignment signs, of at least ``MIN_LEN`` characters in a word that holds a
+   digit; and every quoted literal after a credential name, whatever its
+   characters and length.
 2. *Features*: length; character transitions (letter-digit, case, runs of
    consonants, share of hexadecimal digits, distinct characters); dictionary
    coverage (share of the letters that are words frequent in the corpus); path
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, words_column
@@ -44,16 +47,74 @@ _IP = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?$"
 _NUMBER = r"^[0-9][0-9.,:/-]*$"
 
 
+_SIGN = r"(?:=>|:=|=|:)"
+_NAME = r"(?<![A-Za-z])(?:" + "|".join(NAMES) + r")\\?[\"'`]?"
+_RUN = r"[A-Za-z0-9][A-Za-z0-9+/_.@:-]*"
+#: Runs of value characters: a padded literal, a name before a colon (not the four digits of an address), any other run with its padding.
+_RUNS = (r"(?<=[\"'`])" + _RUN + r"={1,2}(?=[\"'`])"
+         r"|(?![0-9A-Fa-f]{1,4}:)[A-Za-z][A-Za-z0-9_-]*(?=:(?!//))"
+         r"|" + _RUN + r"(?:={1,2}(?![A-Za-z0-9+/_.@:=\"'`-]))?")
+
+
+def _literal(before: str) -> str:
+    """The characters of a literal up to its own kind of quote; ``before`` is what stands before the quote."""
+    return "|".join(f"(?<={before}{q})[^{q}]+" for q in "\"'`")
+
+
+#: A literal that a name of this word, or (``_NEXT``) of the words before, is assigned.
+_HERE = "(?i:" + _literal(_NAME + _SIGN + r"\\?") + ")"
+_NEXT = _literal(f"^{_SIGN}?" + r"\\?")
+
+
+def _pieces(word: Column, pattern: str) -> Column:
+    """Gaps (even places) and matches (odd places) of a word; words hold no line end."""
+    return F.split(F.regexp_replace(word, pattern, "\n$0\n"), "\n")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, place, raw, value, quoted, before, before2, after): candidate words with their neighbours."""
+    """(row, doc_id, place, offset, value, quoted, assigned, before, before2, after): candidates with their neighbours.
+
+    ``offset`` is the candidate's first character in its word; ``assigned`` marks
+    a quoted literal after a credential name.  The name and the sign of an
+    assignment are neighbours like words of their own.
+    """
     d = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", words_column(F.col("text")).alias("w")).where(F.size("w") > 0)
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= MIN_LEN) & F.get("w", i).rlike("[0-9]"))
     low = lambda i: F.coalesce(F.lower(F.get("w", i)), F.lit(""))
+    lead = lambda i: F.regexp_extract(F.get("w", i), f"^{_SIGN}", 0)
+    named = lambda i: F.get("w", i).rlike(f"^{_SIGN}?" + r"\\?[\"'`]") & F.rtrim(F.concat(low(i - 2), F.lit(" "), low(i - 1), F.lit(" "), lead(i))).rlike(_NAME + r"\s*" + _SIGN + "$")
+    open_ = lambda i: F.get("w", i).rlike("[\"'`]") & (named(i) | F.get("w", i).rlike(_HERE))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ((F.length(F.get("w", i)) >= MIN_LEN) & F.get("w", i).rlike("[0-9]")) | open_(i))
+    # the words after one that may open a literal of several words
+    rest = lambda i: F.when(open_(i), F.array_join(F.slice("w", i + 2, F.size("w")), " ")).otherwise("")
     found = F.transform(at, lambda i: F.struct(
-        i.alias("place"), F.get("w", i).alias("raw"), low(i - 1).alias("before"), low(i - 2).alias("before2"), low(i + 1).alias("after")))
+        i.cast("long").alias("place"), F.get("w", i).alias("raw"), named(i).alias("named"), rest(i).alias("rest"),
+        low(i - 1).alias("b1"), low(i - 2).alias("b2"), low(i + 1).alias("a1")))
     d = d.select("row", "doc_id", F.explode(found).alias("f")).select("row", "doc_id", "f.*")
-    return d.withColumn("value", F.regexp_extract("raw", r"[A-Za-z0-9][A-Za-z0-9+/=_.@:-]*", 0)).withColumn(
-        "quoted", F.col("raw").rlike("^[\"'`]")).where(F.length("value") >= MIN_LEN).withColumn("place", F.col("place").cast("long"))
+    d = d.withColumn("p", F.when(F.col("named"), _pieces(F.col("raw"), f"{_NEXT}|{_HERE}|{_RUNS}")).otherwise(_pieces(F.col("raw"), f"{_HERE}|{_RUNS}")))
+    d = d.where(F.size("p") > 1).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("p") - 1, F.lit(2))))
+    part = lambda k: F.coalesce(F.get("p", k), F.lit(""))
+    k = F.col("k")
+    d = d.withColumns({"run": part(k), "gap": part(k - 1), "offset": F.aggregate(F.slice("p", 1, k), F.lit(0), lambda n, x: n + F.length(x))})
+    head = F.substring(F.col("raw"), F.lit(1), F.col("offset"))
+    quote = F.regexp_extract("gap", "([\"'`])$", 1)
+    first = k == 1
+    d = d.withColumn("quote", quote).withColumn("assigned", (F.col("quote") != "") & (
+        (F.col("named") & first & head.rlike(f"^{_SIGN}?" + r"\\?[\"'`]$")) | head.rlike("(?i)" + _NAME + _SIGN + r"\\?[\"'`]$")))
+    # a literal that its word does not close goes on to its quote in the words after, for at most 200 characters
+    more = F.when(F.col("assigned") & (k == F.size("p") - 2) & (part(k + 1) == ""),
+                  F.coalesce(*[F.when(F.col("quote") == q, F.regexp_extract("rest", f"^([^{q}]{{0,200}}){q}", 1)) for q in "\"'`"], F.lit("")))
+    d = d.withColumn("more", F.coalesce(more, F.lit("")))
+    d = d.withColumn("value", F.regexp_replace(F.when(F.col("more") != "", F.concat("run", F.lit(" "), "more")).otherwise(F.col("run")), r"\\+$", ""))
+    sign = F.regexp_replace("gap", "[\"'`\\\\]", "")
+    split = first & (sign == "") & F.col("b1").rlike(r"[\p{L}\p{N}].*[=:]$") & (F.col("quote") != "")
+    d = d.withColumns({
+        "before": F.when(~first | (sign != ""), F.when(sign.rlike("[=:]"), sign).when(first, F.col("b1")).otherwise(sign)).when(split, F.regexp_extract("b1", _SIGN + "$", 0)).otherwise(F.col("b1")),
+        "before2": F.when(~first, F.lower(part(k - 2))).when((sign != "") & sign.rlike("^[=:]"), F.col("b1")).when(split, F.regexp_replace("b1", _SIGN + "$", "")).otherwise(F.col("b2")),
+        "after": F.when(k + 2 < F.size("p"), F.lower(part(k + 2))).otherwise(F.col("a1"))})
+    name = part(k + 1).rlike("^\\\\?[\"'`]?[=:]")
+    shaped = (F.length("value") >= MIN_LEN) & (F.col("value").rlike("[0-9]") | (F.col("raw").rlike("[0-9]") & ~name))
+    return d.where((F.length("value") > 0) & (shaped | F.col("assigned"))).select(
+        "row", "doc_id", "place", F.col("offset").cast("long").alias("offset"), "value", (F.col("quote") != "").alias("quoted"), "assigned", "before", "before2", "after")
 
 
 def dictionary(docs: DataFrame, min_docs: int = DICT_DOCS) -> DataFrame:
@@ -69,9 +130,9 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     """``found`` with an array of features."""
     n = F.length("value")
     share = lambda c: c / n
-    pieces = found.select("row", "place", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
-    cover = pieces.join(words, "word").groupBy("row", "place").agg(F.sum(F.length("word")).alias("covered"))
-    out = found.join(cover, ["row", "place"], "left").withColumns({
+    pieces = found.select("row", "place", "offset", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    cover = pieces.join(words, "word").groupBy("row", "place", "offset").agg(F.sum(F.length("word")).alias("covered"))
+    out = found.join(cover, ["row", "place", "offset"], "left").withColumns({
         "length": n.cast("double"),
         "letter_digit": share(F.regexp_count("value", F.lit("[A-Za-z](?=[0-9])"))),
         "digit_letter": share(F.regexp_count("value", F.lit("[0-9](?=[A-Za-z])"))),
@@ -90,36 +151,39 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """``found`` with ``label``: 1, 0 or null by the rules in the module text."""
-    assigned = F.col("quoted") & F.col("before").isin("=", ":", ":=") & F.regexp_replace("before2", r"[^\p{L}_]", "").isin(*NAMES)
+    assigned = F.col("assigned") | (F.col("quoted") & F.col("before").isin("=", ":", ":=") & F.regexp_replace("before2", r"[^\p{L}_]", "").isin(*NAMES))
     other = F.col("value").rlike(_EMAIL) | F.col("value").rlike(_IP) | F.col("value").rlike(_NUMBER)
     return found.withColumn("label", F.when(assigned, 1).when(other, 0))
 
 
 def fit(labelled: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, trees: int = 40, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel | None:
-    """A forest on rows (row, place, features, label); None unless both labels occur."""
+    """A forest on rows (row, place, offset, features, label); None unless both labels occur."""
     rows = labelled.where("label IN (0, 1)")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
     total = sum(counts.values())
-    sample = rows.where(F.pmod(F.xxhash64("row", "place"), F.lit(total)) < max_fit_rows)
+    sample = rows.where(F.pmod(F.xxhash64("row", "place", "offset"), F.lit(total)) < max_fit_rows)
     # one partition of the bounded sample in a fixed order: the same forest on any cluster
-    sample = sample.select("row", "place", array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
-    sample = sample.repartition(1).sortWithinPartitions("row", "place").select("features", "label")
+    sample = sample.select("row", "place", "offset", array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
+    sample = sample.repartition(1).sortWithinPartitions("row", "place", "offset").select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(sample)
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, min_docs: int = DICT_DOCS, max_fit_rows: int = MAX_FIT_ROWS, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, place, value, length, label, score, is_secret) of every candidate.
+    """(doc_id, place, offset, value, length, label, score, is_secret) of every candidate.
 
-    ``place`` is the candidate's word number; ``labels``: (doc_id, place, label)
-    of reviewed findings, in place of the weak labels.
+    ``place`` is the candidate's word number and ``offset`` its place in the word;
+    ``labels``: (doc_id, place, label) or (doc_id, place, offset, label) of reviewed
+    findings, in place of the weak labels; without ``offset`` a label holds for
+    every candidate of the word.
     """
     found = stored(candidates(docs), "candidates")
     feats = weak_labels(featured(found, dictionary(docs, min_docs)))
     if labels is not None:
-        feats = feats.withColumnRenamed("label", "weak").join(labels.select("doc_id", "place", "label").dropDuplicates(["doc_id", "place"]), ["doc_id", "place"], "left")
-    feats = stored(feats.select("row", "doc_id", "place", "value", "features", "label"), "findings")
+        key = ["doc_id", "place", *(["offset"] if "offset" in labels.columns else [])]
+        feats = feats.withColumnRenamed("label", "weak").join(labels.select(*key, "label").dropDuplicates(key), key, "left")
+    feats = stored(feats.select("row", "doc_id", "place", "offset", "value", "features", "label"), "findings")
     training = feats.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     model = fit(training, max_fit_rows)
     if model is None:
@@ -127,4 +191,4 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, min_docs: int = DICT_
     else:
         out = model.transform(feats.withColumnRenamed("features", "f").withColumn("features", array_to_vector("f")))
         out = out.withColumn("score", vector_to_array("probability")[1])
-    return out.select("doc_id", "place", "value", F.length("value").cast("long").alias("length"), "label", "score", (F.col("score") >= threshold).alias("is_secret"))
+    return out.select("doc_id", "place", "offset", "value", F.length("value").cast("long").alias("length"), "label", "score", (F.col("score") >= threshold).alias("is_secret"))

@@ -13,7 +13,7 @@ from bizlens.llm.decontamination import contaminated, decontaminate, myers, norm
 from bizlens.llm.html_text import extract, main_text
 from bizlens.llm.line_dedup import boilerplate, remove_boilerplate
 from bizlens.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_sets, superminhash
-from bizlens.llm.secrets import scan
+from bizlens.llm.secrets import candidates, scan, weak_labels
 from bizlens.llm.substring_dedup import FMIndex, remove_repeats
 from bizlens.llm.toxicity import Scorer, held_out, reject_toxic, score_documents, toxic_scores, train
 from llm_cases import edge_rows, edges, make_docs, no_docs, vocabulary_words  # noqa: F401
@@ -308,6 +308,24 @@ def test_secret_scan(spark, edges, no_docs):
     assert scan(make_docs(spark, rows), labels=reviewed, min_docs=3).count() == len(got)
 
 
+@pytest.mark.parametrize("text,want", [
+    ('password="9f3a8b7c6d5e4f3a2b1c"', {("9f3a8b7c6d5e4f3a2b1c", 1)}),
+    ('{"token":"ghp_9f3a8b7c6d5e4f3a","id":"4929123412341234"}', {("ghp_9f3a8b7c6d5e4f3a", 1), ("4929123412341234", 0)}),
+    ("api_key='abcdef0123456789'", {("abcdef0123456789", 1)}), ('a {"token": "ghp_9f3a8b7c6d5e4f3a"}', {("ghp_9f3a8b7c6d5e4f3a", 1)}),
+    ('SECRET_ACCESS_KEY="wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"', {("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 1)}),
+    ("TOKEN=9f3a8b7c6d5e4f3a", {("9f3a8b7c6d5e4f3a", None)}), ('password = "hunter"', {("hunter", 1)}), ("pwd: 'p$w!'", {("p$w!", 1)}),
+    ('secret ="correct horse battery" x', {("correct horse battery", 1)}), ('auth="ZGVhZGJlZWYxMjM0NQ=="', {("ZGVhZGJlZWYxMjM0NQ==", 1)}),
+    ("https://host1.example.com/a", {("https://host1.example.com/a", None)}), ("DE:AD:BE:EF:12:34:56", {("DE:AD:BE:EF:12:34:56", None)}),
+    ("mail.12@host3.example.com,192.168.100.201", {("mail.12@host3.example.com", 0), ("192.168.100.201", 0)}), ('monkey="banana" say "hello"', set()),
+])
+def test_candidates_of_compact_assignments(spark, text, want):
+    got = weak_labels(candidates(make_docs(spark, [(1, text, "s")]))).collect()
+    assert {(r["value"], r["label"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        word = text.split()[r["place"]]
+        assert word[r["offset"]:].startswith(r["value"].split()[0])
+
+
 # --- op9 ------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def toxic_rows():
