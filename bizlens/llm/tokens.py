@@ -23,7 +23,9 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 def cut_byte_level(text: str) -> list[str]:
     """Cut before single white space between non-spaces; other runs of white space stay inside a piece."""
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # runs of white space, or other kinds of it
+    words, n = text.split(), text.count(" ") + text.count("\n")
+    # all white space is blanks and line ends, and there is one of it between two words and none at the ends
+    if len(words) != n + 1 or sum(map(len, words)) + n != len(text):
         return _SAFE_CUT.split(text)
     return text.replace("\n", "\x1f\n\x1f").replace(" ", "\x1f ").split("\x1f")
 

@@ -34,6 +34,18 @@ def test_pieces_equal_whole_text(kind, limit):
             assert got.tolist() == whole.encode(t, add_special_tokens=False).ids + [1]
 
 
+@pytest.mark.parametrize("kind", FILES)
+def test_other_separators_do_not_cancel_runs(kind):
+    path = vocabulary(FILES[kind])
+    enc, whole = PieceEncoder(path, kind), Tokenizer.from_file(path)
+    seps = ["\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000"]
+    texts = ["name\tvalue\tmore\n\n", "col\xa0x\xa0y\n\n", "a\tb\tc\n\n\nd", "a\x1fb\n"]
+    texts += [t.replace("~", s) for s in seps for t in ("a~b\n", "a~ b", "a~b  c", " a~b", "a~b~c \n d", "a~b~c~d\n\n\ne", "a~\nb~c")]
+    ids, lens = enc.encode(texts, 1)
+    for t, got in zip(texts, np.split(ids, np.cumsum(lens)[:-1])):
+        assert got.tolist() == whole.encode(t, add_special_tokens=False).ids + [1], t
+
+
 @pytest.mark.parametrize("ids", [
     [], [0], [7] * 3000, list(range(BLOCK)), [2 ** 32 - 1, 0], [5] * 1000 + [2 ** 31] * 24 + [9],
     np.random.default_rng(0).integers(0, 50_000, 5000).tolist(), np.random.default_rng(1).geometric(0.001, 2500).tolist()])
