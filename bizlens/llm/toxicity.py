@@ -182,8 +182,9 @@ def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> li
     """Tokens and word beginnings (``begi*``) of the strongest toxic evidence: (token, a, b, odds, z).
 
     First by the documents of each label that have them; then, for at most ten
-    times ``max_lexicon`` of them, by the distinct longest words of those
-    documents, so that copies of one text do not look like evidence from many.
+    times ``max_lexicon`` of them, by the distinct texts of those documents (their
+    tokens in order), so that copies of one text do not look like evidence from
+    many and every other document counts.
     Counts are distributed; at most that many rows reach the driver.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
@@ -203,9 +204,10 @@ def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> li
         for batch in batches:
             out = []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = set(_tokens(t))
+                toks = _tokens(t)
+                own = set(toks)
                 if own:
-                    mark = xxhash.xxh3_64_intdigest(max(own, key=lambda w: (len(w), w))) - (1 << 63)
+                    mark = xxhash.xxh3_64_intdigest(" ".join(toks).encode("utf-8", "surrogatepass")) - (1 << 63)
                     out.append(("", mark, y))  # the mark itself, for the totals
                     out += [(k, mark, y) for k in {k for w in own for k in _keys(w)} & known]
             c = list(zip(*out)) or [(), (), ()]

@@ -15,7 +15,7 @@ from bizlens.llm.line_dedup import boilerplate, remove_boilerplate
 from bizlens.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_sets, superminhash
 from bizlens.llm.secrets import candidates, scan, weak_labels
 from bizlens.llm.substring_dedup import FMIndex, remove_repeats
-from bizlens.llm.toxicity import Scorer, held_out, reject_toxic, score_documents, toxic_scores, train
+from bizlens.llm.toxicity import Scorer, held_out, reject_toxic, score_documents, token_evidence, toxic_scores, train
 from llm_cases import edge_rows, edges, make_docs, no_docs, vocabulary_words  # noqa: F401
 
 
@@ -393,3 +393,14 @@ def test_toxicity_edges(spark, edges, no_docs, toxic_rows):
     kept = reject_toxic(make_docs(spark, rows), frame)
     assert kept.columns == edges.columns and 0 < kept.count() < len(rows)
     assert spark.range(3).select(held_out(F.col("id"))).count() == 3
+
+
+def test_documents_that_share_a_long_word_count_each(spark, toxic_rows):
+    rows, labels = toxic_rows
+    truth = {i: y for i, _, y in labels}
+    footer = [(f"{t} footeridentifier20240101", truth[i]) for i, t, _ in rows]
+    copies = [("Only Here, stands unheardof!" if k % 2 else "only here stands  UNHEARDOF", 1) for k in range(60)]
+    got = {r["token"]: r for r in token_evidence(spark.createDataFrame(footer + copies, "text string, toxic int"), 4.0, 2000)}
+    assert {"fooey", "blast", "cursed"} <= set(got) and "unheardof" not in got
+    for w in ("fooey", "blast", "cursed"):
+        assert got[w]["a"] == len({t for t, y in footer if y and w in t.split()}) and got[w]["b"] == 0
