@@ -7,7 +7,8 @@ the centre of the article; the least density on its path to ``body`` is the
 threshold that siblings along the path must reach to belong to it.  An
 enclosing ``article`` or ``main`` is taken whole.  Menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are pruned by tag, role and class words before densities are computed.
+are pruned by tag, role and class words before densities are computed.  A class
+or id word alone does not prune what holds the article (``_settle``).
 
 A page is parsed inside a task by the standard library's tolerant parser: end
 tags that match nothing are ignored, unclosed elements end with their parent,
@@ -42,15 +43,33 @@ CLOSES_P = frozenset(
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
               "thead": ("tr", "td", "th", "thead", "tbody", "tfoot"), "tbody": ("tr", "td", "th", "thead", "tbody", "tfoot"), "tfoot": ("tr", "td", "th", "thead", "tbody", "tfoot")}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
+#: Words that make the rest of a compound the name of a layout ("has-sidebar").
+LAYOUT_WORDS = frozenset("has no not with without".split())
+#: Share of an element's characters in links from which its compound class name is believed.
+LINK_SHARE = 1 / 3
 _WORD = re.compile(r"[a-z]+")
 
 
+def _skip_name(attrs) -> int:
+    """2 where a class or id is a skip word, 1 where a compound holds one, 0 otherwise; layout compounds hold none."""
+    found = 0
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for own in value.lower().split():
+                words = _WORD.findall(own)
+                at = next((i for i, w in enumerate(words) if w in LAYOUT_WORDS), len(words))
+                if not SKIP_WORDS.isdisjoint(words[:at]):
+                    found = max(found, 2 if len(words) == 1 else 1)
+    return found
+
+
 class _Dom(HTMLParser):
     """Nodes as parallel lists and the text in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.skip = ["#page"], [-1], [False]
+        self.named = [0]  # 2 where a class or id is a skip word, 1 where a compound holds one
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.open = [0]
 
@@ -75,6 +94,7 @@ class _Dom(HTMLParser):
         self.tag.append(tag)
         self.parent.append(up)
         self.skip.append(self.skip[up] or self._pruned(tag, attrs, up))
+        self.named.append(0 if tag in ("html", "body", "article", "main", "header") else _skip_name(attrs))
         if tag not in INLINE:
             self.events.append((node, None))
         if tag not in VOID:
@@ -88,8 +108,6 @@ class _Dom(HTMLParser):
         if tag == "header":  # a page header; the header of an article holds its title
             return not any(self.tag[i] in ("article", "main") for i in self.open)
         for name, value in attrs:
-            if name in ("class", "id") and value and not SKIP_WORDS.isdisjoint(_WORD.findall(value.lower())):
-                return True
             if name == "role" and value and value.strip().lower() in SKIP_ROLES:
                 return True
             if name == "hidden":
@@ -114,6 +132,48 @@ class _Dom(HTMLParser):
             self.events.append((self.open[-1], data))
 
 
+def _settle(dom: _Dom) -> None:
+    """Prune the elements of skip names, but for those whose content speaks against it.
+
+    An element stays that holds more than half of the page's characters, or an
+    ``article`` or ``main``, unless the page has an ``article`` or ``main``
+    outside all such elements (then it must hold both).  One that is named by a
+    compound alone also stays when its links are few and its characters per tag
+    are at least half of those of the page outside such elements.
+    """
+    if not any(dom.named):
+        return
+    n = len(dom.tag)
+    inside, in_link = [False] * n, [False] * n
+    chars, links, tags, articles = [0] * n, [0] * n, [1] * n, [0] * n
+    for i in range(1, n):
+        p = dom.parent[i]
+        inside[i] = inside[p] or dom.named[i] > 0
+        in_link[i] = in_link[p] or dom.tag[i] == "a"
+        articles[i] = int(dom.tag[i] in ("article", "main") and not dom.skip[i])
+    for node, text in dom.events:
+        if text and not dom.skip[node]:
+            k = len("".join(text.split()))
+            chars[node] += k
+            links[node] += k * in_link[node]
+    rest_chars = sum(c for c, x in zip(chars, inside) if not x)
+    rest_tags = sum(not x and not s for x, s in zip(inside, dom.skip))
+    for i in range(n - 1, 0, -1):
+        if not dom.skip[i]:
+            for sums in (chars, links, tags, articles):
+                sums[dom.parent[i]] += sums[i]
+    elsewhere = any(dom.tag[i] in ("article", "main") and not inside[i] and not dom.skip[i] and chars[i] for i in range(1, n))
+    for i in range(1, n):
+        if dom.skip[dom.parent[i]]:
+            dom.skip[i] = True
+        elif dom.named[i] and not dom.skip[i]:
+            holds, bulk = articles[i] > 0, 2 * chars[i] > chars[0]
+            stays = (holds and bulk) if elsewhere else (holds or bulk)
+            if dom.named[i] == 1 and not stays:
+                stays = links[i] < LINK_SHARE * chars[i] and 2 * chars[i] * rest_tags >= rest_chars * tags[i]
+            dom.skip[i] = not stays
+
+
 def densities(dom: _Dom) -> tuple[list[float], list[float], list[int]]:
     """(composite density, density sum, characters) of every node."""
     n = len(dom.tag)
@@ -192,6 +252,7 @@ def main_text(html: str | None) -> str:
     dom = _Dom()
     dom.feed(html)
     dom.close()
+    _settle(dom)
     kept = _chosen(dom)
     blocks, now = [], []
     for node, text in dom.events:

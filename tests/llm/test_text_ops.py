@@ -276,6 +276,29 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+STORY = "\n".join(["a sentence of the story, with words enough. " * 8] * 4)
+STORY_HTML = "".join(f"<p>{x}</p>" for x in STORY.split("\n"))
+STORY_TEXT = "\n".join(" ".join(x.split()) for x in STORY.split("\n"))
+LINKS = "<ul>" + "<li><a href=x>menu entry</a>" * 6 + "</ul>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<body><div id=m class='nav-menu'>{LINKS}</div><div class='content has-sidebar'>{STORY_HTML}</div></body>",
+    f"<body><div id=page class=no-sidebar><div class=sidebar>{LINKS}</div><article>{STORY_HTML}</article></div></body>",
+    f"<body><div class=elementor-widget-text-editor>{STORY_HTML}</div><div class=site-footer>foot</div></body>",
+    f"<body><div class=menu>{LINKS}</div><section class='post with-comments'>{STORY_HTML}<div id=comments><p>first!</p></div></section></body>",
+    f"<body><div class=widget><article>{STORY_HTML}</article></div><div class=related>{LINKS}</div></body>",
+    f"<body><article>{STORY_HTML}<div class=related-posts>{LINKS}</div><div class='comments'><article><p>{'a long reply ' * 9}</p></article></div></article></body>",
+])
+def test_wrappers_named_like_boilerplate_keep_the_article(html):
+    assert main_text(html) == STORY_TEXT
+
+
+def test_sections_named_like_boilerplate_stay_in_the_article():
+    section = "<div class=related-work><p>" + "earlier studies of this are many. " * 9 + "</p></div>"
+    assert main_text(f"<body><article>{STORY_HTML}{section}</article></body>") == STORY_TEXT + "\n" + ("earlier studies of this are many. " * 9).strip()
+
+
 def test_extract(spark):
     schema = "page_id bigint, url string, html string, text int"
     pages = spark.createDataFrame([(1, "u", "<p>a &amp; b</p>", 1), (None, None, None, 2), (1, "u", "<p>a &amp; b</p>", 1)], schema)
