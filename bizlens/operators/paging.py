@@ -2,46 +2,52 @@
 
 S9 replaces the reference's page loop (sort + limit + subtract per page,
 O(n^2 / page)) with one pass: a global 0-based row index in key order, then
-integer division.  The global index avoids a one-task ``row_number() over
-(order by key)``: approximate key quantiles cut the key range into balanced
-buckets, bucket counts are prefix-summed on a small table (broadcast, at most
-``buckets`` rows), and rows are numbered inside their bucket only.
+integer division.  The global index is a range partitioning of the keys, a
+sort inside each range, and one prefix sum over the row counts of the ranges:
+no one-task ``row_number() over (order by key)``, and nothing is cast, so texts,
+decimals, integers of any size and composite keys keep their own order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def global_index(df: DataFrame, key: str, out: str = "idx", buckets: int = 1024,
-                 rel_error: float = 1e-3) -> DataFrame:
-    """0-based row index in ``key`` order (keys should be unique; rows with a null key come first)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(float(v) for v in df.approxQuantile(key, probs, rel_error)))
-    splits = [float("-inf")] + cuts + [float("inf")]
-    keyed = df.withColumn("_kd", F.col(key).cast("double"))
-    bucketed = Bucketizer(splits=splits, inputCol="_kd", outputCol="_bk",
-                          handleInvalid="keep").transform(keyed)
-    bucketed = bucketed.withColumn("_bk", F.coalesce("_bk", F.lit(-1.0)))
-    counts = bucketed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.select("_bk", (F.sum("_c").over(Window.orderBy("_bk").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy("_bk").orderBy(key))
-    # offs has at most ``buckets`` + 1 rows: broadcast is bounded.
-    return (bucketed.join(F.broadcast(offs), on="_bk")
-            .withColumn(out, (F.col("_off") + rn - 1).cast("bigint"))
-            .drop("_kd", "_bk", "_off"))
-
-
-def assign_batches(df: DataFrame, key: str, batch: int = 10_000, sub: int = 5_000) -> DataFrame:
+from ..session import ensure_checkpoint_dir
+
+
+def global_index(df: DataFrame, key: str | Sequence[str], out: str = "idx", buckets: int | None = None) -> DataFrame:
+    """Rows of ``df`` with a 0-based bigint index in the order of ``key`` (one column or several).
+
+    Nulls come first; rows of equal keys are numbered in some order, without
+    gaps.  The number of ranges is ``buckets`` or else the session's shuffle
+    partitions, so it follows the cluster; a key that many rows share is split
+    over ranges by the row's number in the input.  The ranges are checkpointed in the shared folder,
+    so the numbers stay the same when an executor is lost.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    ensure_checkpoint_dir(df.sparkSession)
+    # the input is one column, so no name of it can clash
+    rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("tie"),
+                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    order = [f"k{i}" for i in range(len(keys))] + ["tie"]
+    dealt = rows.repartitionByRange(buckets, *order) if buckets else rows.repartitionByRange(*order)
+    ranges = dealt.sortWithinPartitions(*order).select("row").checkpoint()
+    place = F.monotonically_increasing_id()  # partition number, then the row's place in it
+    placed = ranges.select("row", F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # a row a range: the window and the broadcast are bounded by the number of shuffle partitions
+    first = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    return placed.join(F.broadcast(first), "part").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != out], (F.col("first") + F.col("place")).alias(out))
+
+
+def assign_batches(df: DataFrame, key: str | Sequence[str], batch: int = 10_000, sub: int = 5_000) -> DataFrame:
     """Add ``idx``, ``batch_no`` = idx div batch, ``sub_no`` = (idx mod batch) div sub."""
     idx = global_index(df, key, "idx")
-    return idx.withColumn("batch_no", F.floor(F.col("idx") / batch).cast("bigint")).withColumn(
-        "sub_no", F.floor(F.pmod(F.col("idx"), F.lit(batch)) / sub).cast("bigint"))
+    return idx.withColumn("batch_no", F.expr(f"idx div {int(batch)}")).withColumn("sub_no", F.expr(f"(idx % {int(batch)}) div {int(sub)}"))
 
 
 def top_n(df: DataFrame, n: int, by: Sequence[Column]) -> DataFrame:

@@ -416,6 +416,16 @@ def assign_batches(spark, sf):
     return pg.assign_batches(licences(spark, sf).select("unique_id"), "unique_id", batch=1000, sub=500)
 
 
+@register("assign_batches_composite", with_lic("""
+SELECT service, unique_id, bizname, idx, CAST(idx // 700 AS BIGINT) AS batch_no, CAST((idx % 700) // 100 AS BIGINT) AS sub_no
+FROM (SELECT service, CAST(unique_id AS VARCHAR) AS unique_id, bizname,
+             row_number() OVER (ORDER BY service NULLS FIRST, bizname NULLS FIRST, CAST(unique_id AS VARCHAR)) - 1 AS idx FROM lic) t"""))
+def assign_batches_composite(spark, sf):
+    """Pages in the order of a composite text key that a few values dominate."""
+    lic = licences(spark, sf).select("service", F.col("unique_id").cast("string").alias("unique_id"), "bizname")
+    return pg.assign_batches(lic, ["service", "bizname", "unique_id"], batch=700, sub=100)
+
+
 @register("set_difference", with_lic("""
 SELECT sigungu, dong FROM lic EXCEPT SELECT sigungu, dong FROM lic WHERE closed = 1 AND license_date < DATE '1995-01-01'"""))
 def set_difference(spark, sf):

@@ -53,6 +53,25 @@ def test_paging_numbers_null_keys_first(gaps):
     assert all(r["idx"] < 4 for r in rows if r["unique_id"] is None)
 
 
+def test_paging_orders_any_key(spark):
+    """Text keys, composite keys, integers beyond 2**53 and a key of half the rows, split over ranges."""
+    big = 1 << 60
+    rows = [(f"k{k % 7}" if k % 2 else "hot", big + k, None if k % 11 == 0 else k % 5) for k in range(600)]
+    df = spark.createDataFrame(rows, "t string, b bigint, c int")
+    assert [r["b"] for r in pg.global_index(df, "b", buckets=5).orderBy("idx").collect()] == [big + k for k in range(600)]
+    got = [(r["t"], r["c"], r["b"]) for r in pg.global_index(df, ["t", "c", "b"], buckets=9).orderBy("idx").collect()]
+    assert got == sorted(((t, c, b) for t, b, c in rows), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    hot = pg.global_index(df, "t", buckets=6)
+    assert [r["t"] for r in hot.orderBy("idx").collect()] == sorted(r[0] for r in rows)
+    assert sorted(r["idx"] for r in hot.collect()) == list(range(600))
+
+
+def test_paging_keeps_clashing_names_and_empty_tables(spark):
+    df = spark.createDataFrame([(3, "x", 1), (1, "y", 2)], "part int, row string, idx int")
+    assert [(r["part"], r["row"], r["idx"]) for r in pg.global_index(df, "part").orderBy("idx").collect()] == [(1, "y", 0), (3, "x", 1)]
+    assert pg.assign_batches(df.limit(0), "part").collect() == []
+
+
 def test_oversample_keeps_unlabelled_rows(gaps):
     out = sp.oversample(gaps, "y", "unique_id", keep_originals=True)
     assert out.where("draw IS NULL").count() == 20 and out.where("y IS NULL AND draw IS NULL").count() == 5
