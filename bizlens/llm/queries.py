@@ -147,6 +147,42 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _op11_sql() -> str:
+    from .manifest import sql
+
+    return sql()
+
+
+@_query(_op11_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, and every document of a tampered delivery checked against it."""
+    from .manifest import verify
+
+    return verify(read(spark, sf_dir, "documents")).drop("lang", "position")
+
+
+def _op12_sql() -> str:
+    from .reversed_search import SQL
+
+    return SQL
+
+
+@_query(_op12_sql())
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    from .reversed_search import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+@_query()
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts, uniformly shuffled."""
+    from .sharding import digest
+
+    return digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
