@@ -37,6 +37,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch of rows that a Python task gets at a time (a longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: Spark reuses workers, and what one keeps adds up."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, not rows alone; the worker's memory is given back when a task ends.
+
+    The bound is a setting of the session (Spark reads it when the plan runs); a lower one is left as it is.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "0b").lower()
+    if not held.endswith("b") or not held[:-1].isdigit() or not 0 < int(held[:-1]) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def words_column(text) -> "F.Column":
     """Array of words of a text column; null and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 _WORD = re.compile(r"\w+")
 ERROR_RATE = 1 / 16
 MIN_CHARS = 32
@@ -144,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
                 found = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for f in finder.find(normal(t))]
                 cols = list(zip(*found)) if found else [()] * 5
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "item_id", "distance", "allowed", "end"), cols)})
-        return texts.mapInArrow(run, schema)
+        return map_batches(texts, run, schema)
 
     parts = [search(items) for items in _blocks(benchmark, min_chars, block_chars)]
     if not parts:
@@ -165,5 +167,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
         return run
 
     for items in _blocks(benchmark, min_chars, block_chars):
-        docs = docs.mapInArrow(clean(items), docs.schema)
+        docs = map_batches(docs, clean(items), docs.schema)
     return docs

@@ -11,7 +11,10 @@ ends) is boilerplate when it stands on at least ``min_sites`` distinct sites.
    ``max_share`` of the characters would go, and whose lines that are not blank
    are those of another document (another doc_id) in the same order, is a copy
    of a whole text: it is left whole, for the document-level stages to judge
-   (``whole_copy`` is true).  With ``copies_only=False`` the share decides alone.
+   (``whole_copy`` is true).
+
+Boilerplate lines are joined back in ``SALTS`` copies each, so the occurrences
+of one very common line are dealt to as many tasks.
 
 Edge cases: blank lines are never counted or removed; null text is an empty
 text (``text`` stays null); a null site counts for no line, yet its documents
@@ -33,6 +36,8 @@ LG_K = 12
 _ENDS = " \t\r"
 #: Columns that the operator adds; columns of these names in the input are replaced.
 ADDED = ("n_lines", "n_removed", "whole_copy")
+#: Tasks that share the occurrences of one line.
+SALTS = 32
 
 
 def _norm(line: Column) -> Column:
@@ -40,7 +45,9 @@ def _norm(line: Column) -> Column:
 
 
 def _row_key(docs: DataFrame, text: str) -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col(text))
+    """128 bits of the row's id and text."""
+    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("-")))
+    return F.unhex(F.md5(F.concat_ws("|", *parts)))
 
 
 def line_keys(docs: DataFrame, site: str, text: str = "text") -> DataFrame:
@@ -50,6 +57,13 @@ def line_keys(docs: DataFrame, site: str, text: str = "text") -> DataFrame:
     return lines.select("row", "site", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
 
 
+def _standing(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose line is in ``keys`` (distinct, few beside the lines)."""
+    salt = F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", salt).join(salted, ["a", "b", "salt"], "left_semi").drop("salt")
+
+
 def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """(a, b) hashes of the lines on at least ``min_sites`` sites."""
     lines = line_keys(docs, site, text)
@@ -57,7 +71,7 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
     far = spread.where(F.col("sites") >= min_sites * (1 - margin))  # the rest is below the threshold beyond the sketch's error
     sure = far.where(F.col("sites") > min_sites * (1 + margin)).select("a", "b")
     near = far.where(F.col("sites") <= min_sites * (1 + margin)).select("a", "b")
-    exact = (lines.where("site IS NOT NULL").join(near, ["a", "b"], "left_semi").select("a", "b", "site").distinct()
+    exact = (_standing(lines.where("site IS NOT NULL"), near).select("a", "b", "site").distinct()
              .groupBy("a", "b").count().where(F.col("count") >= min_sites).select("a", "b"))
     return sure.unionAll(exact)
 
@@ -73,11 +87,11 @@ def copied(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES,
-                       margin: float = MARGIN, max_share: float = MAX_SHARE, copies_only: bool = True) -> DataFrame:
+                       margin: float = MARGIN, max_share: float = MAX_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, plus n_lines, n_removed and whole_copy."""
-    hits = (line_keys(docs, site, text).join(boilerplate(docs, site, text, min_sites, margin), ["a", "b"], "left_semi")
+    hits = (_standing(line_keys(docs, site, text), boilerplate(docs, site, text, min_sites, margin))
             .groupBy("row").agg(F.collect_set("pos").alias("hit")))
-    hits = hits.join(copied(docs, text).withColumn("copy", F.lit(True)), "row", "left") if copies_only else hits.withColumn("copy", F.lit(True))
+    hits = hits.join(copied(docs, text).withColumn("copy", F.lit(True)), "row", "left")
     rows = docs.select(_row_key(docs, text).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(hits, "row", "left")
     own = F.col(f"doc.`{text}`")
     rows = rows.withColumn("lines", F.coalesce(F.split(own, "\n"), F.array().cast("array<string>")))
@@ -85,7 +99,8 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text"
     chars = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
     rows = rows.withColumn("whole", (gone > max_share * chars) & F.coalesce("copy", F.lit(False)))
     act = F.col("hit").isNotNull() & ~F.col("whole")
-    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("hit", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "hit")  # hashed: no search of the hits for every line
+    kept = F.array_join(F.transform(left, lambda p: F.element_at("lines", p + 1)), "\n")
     return rows.select(
         *[F.when(act, kept).otherwise(own).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED],
         F.size("lines").cast("long").alias("n_lines"), F.when(act, F.size("hit")).otherwise(0).cast("long").alias("n_removed"), F.col("whole").alias("whole_copy"))
@@ -98,8 +113,11 @@ ln AS (SELECT r, source, unnest(range(len(lines))) AS pos, unnest(lines) AS raw
 nl AS (SELECT r, source, pos, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM ln WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
 bp AS (SELECT line FROM nl GROUP BY line HAVING count(DISTINCT source) >= {min_sites}),
 hit AS (SELECT r, list(pos) AS hit, sum(length(raw)) AS gone FROM nl WHERE line IN (SELECT line FROM bp) GROUP BY r),
-j AS (SELECT s.*, h.hit, coalesce(h.gone, 0) > {max_share} * coalesce(list_sum(list_transform(s.lines, lambda x: length(x))), 0) AS whole_copy
-      FROM split s LEFT JOIN hit h USING (r))
+body AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS body FROM nl GROUP BY r),
+twice AS (SELECT body FROM body JOIN split USING (r) GROUP BY body HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || text) > 1),
+j AS (SELECT s.*, h.hit, coalesce(b.body IN (SELECT body FROM twice), false)
+             AND coalesce(h.gone, 0) > {max_share} * coalesce(list_sum(list_transform(s.lines, lambda x: length(x))), 0) AS whole_copy
+      FROM split s LEFT JOIN hit h USING (r) LEFT JOIN body b USING (r))
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines,
        CAST(CASE WHEN hit IS NOT NULL AND NOT whole_copy THEN len(hit) ELSE 0 END AS BIGINT) AS n_removed, whole_copy,
        CASE WHEN hit IS NOT NULL AND NOT whole_copy

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import map_batches, slices, stored
 
 WORDS = 5
 SIMILARITY_PCT = 75
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                     "cls": pa.array([_class(p) if len(p) else None for p in parts], pa.binary()),
                     "bands": pa.array([list(k) if c else None for k, c in zip(keys, n)], pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -155,7 +155,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
                     "set": pa.array([p.view(np.int64) for _, p in got], pa.list_(pa.int64()))})
 
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "cls")
-    return rows.mapInArrow(run, "cls binary, n bigint, set array<bigint>").dropDuplicates(["cls"])
+    return map_batches(rows, run, "cls binary, n bigint, set array<bigint>").dropDuplicates(["cls"])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, stored
-from .tokens import SLICE_CHARS, encoder
+from .common import checkpointed, map_batches, slices, stored
+from .tokens import SLICE_CHARS, PieceEncoder
 
 #: Rows of a range of the sort.
 RANGE_ROWS = 50_000
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: i
     """
 
     def cut(batches):
-        enc = encoder(vocabulary, kind)
+        enc = PieceEncoder(vocabulary, kind)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in slices(texts, len, SLICE_CHARS):
@@ -65,8 +65,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: i
                     "doc_id": pa.array([doc_ids[lo + i] for i in row], pa.int64()), "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 _SWEPT = "pid int, kind int, id bigint, size bigint, mate bigint, place bigint, rank bigint, a bigint, b bigint, c bigint, d bigint, e bigint, f bigint"

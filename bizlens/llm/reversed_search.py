@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_batches, stored
 
 #: Most (item, term) pairs of a block's index, unless one item has more.
 BLOCK_TERMS = 250_000
@@ -80,7 +80,7 @@ def item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
     rows = items.where(F.col(f"`{text}`").isNotNull()).select(
         F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "item bigint, item_id bigint, term binary, times bigint")
+    return map_batches(rows, run, "item bigint, item_id bigint, term binary, times bigint")
 
 
 def item_blocks(terms: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -219,7 +219,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
     for (block,) in blocks.select("block").distinct().orderBy("block").toLocalIterator():
         # at most block_terms rows, or one item's
         index = spark.sparkContext.broadcast(Index(blocks.where(F.col("block") == block).select("item", "term", "times").toArrow()))
-        counted = stored(texts.mapInArrow(_count(index), _COUNTED), "search-counts")
+        counted = stored(map_batches(texts, _count(index), _COUNTED), "search-counts")
         n_docs, n_terms = counted.agg(F.sum("n_docs"), F.sum("n_terms")).first()
         if not n_terms:
             index.unpersist()
@@ -230,7 +230,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
         for t, x in zip(df.column("term").to_pylist(), df.column("df").to_pylist()):
             weight[t] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * x + 1)))
         stats = spark.sparkContext.broadcast((weight, n_docs, n_terms))
-        heaps = counted.where("n IS NOT NULL").select("doc_id", "n", "terms", "tfs").mapInArrow(_rank(index, stats, k), "item bigint, doc_id bigint, score bigint, task int")
+        heaps = map_batches(counted.where("n IS NOT NULL").select("doc_id", "n", "terms", "tfs"), _rank(index, stats, k), "item bigint, doc_id bigint, score bigint, task int")
         found.append(stored(heaps, "search-heaps"))
         index.unpersist()
         stats.unpersist()

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices
-from .tokens import SLICE_CHARS, encoder
+from .common import fresh_path, map_batches, slices
+from .tokens import SLICE_CHARS, PieceEncoder
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -141,7 +141,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, kind: str, end_id: int, path:
         from pyspark import TaskContext
 
         part, seg, local = TaskContext.get().partitionId(), 0, 0
-        enc = encoder(vocabulary, kind)
+        enc = PieceEncoder(vocabulary, kind)
         held_ids, held_lens, held_docs, n = [], [], [], 0
 
         def segment():
@@ -168,9 +168,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, kind: str, end_id: int, path:
 
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-     .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-     .mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    map_batches(rows, encode, SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:

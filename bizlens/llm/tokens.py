@@ -1,7 +1,7 @@
-"""Whole-text tokenisation inside tasks with a bounded per-worker piece cache.
+"""Whole-text tokenisation inside tasks with a piece cache bounded in bytes.
 
 Byte-pair models work piece by piece, and corpora repeat their pieces, so a
-worker keeps the ids of pieces it has met.  Cuts are made only where no
+task keeps the ids of pieces it has met; encoder and cache go when it ends.  Cuts are made only where no
 pre-token of the vocabulary can cross, so the ids equal those of encoding the
 whole text at once (tested against ``Tokenizer.encode``).
 """
@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Pieces kept per worker; beyond it the cache starts anew (memory bound, not a result bound).
-CACHE_PIECES = 3_000_000
+#: Bytes of the piece cache of a task; beyond it the cache starts anew (memory bound, not a result bound).
+CACHE_BYTES = 48 << 20
 #: Characters handled at a time in a worker.
 SLICE_CHARS = 1_500_000
 
@@ -52,11 +52,11 @@ MARKS = {"byte": ("\n", "\n"), "word": ("0", " 0 ")}
 class PieceEncoder:
     """Ids of texts by a tokenizers file; ``kind`` names the cutter."""
 
-    def __init__(self, path: str, kind: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, kind: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cut, self.limit = Tokenizer.from_file(path), CUTTERS[kind], cache_pieces
+        self.tok, self.cut, self.limit = Tokenizer.from_file(path), CUTTERS[kind], cache_bytes
         self.kind = kind
         self._reset()
 
@@ -106,7 +106,7 @@ class PieceEncoder:
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
         """Number of every piece; new ones are learnt."""
-        if len(self.keys) > self.limit:
+        if 24 * len(self.starts) + self.flat.nbytes > self.limit:  # keys, codes, starts and lengths, and the ids
             self._reset()
         hashes, first, inverse = np.unique(np.fromiter(map(hash, pieces), np.int64, len(pieces)), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, hashes)
@@ -137,15 +137,3 @@ class PieceEncoder:
         per = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
         out = np.insert(self.flat[src].astype(np.uint32), per, np.uint32(end_id)) if counts else np.zeros(0, np.uint32)
         return out, np.diff(np.concatenate([[0], per])) + 1
-
-
-_ENCODERS: dict[tuple, PieceEncoder] = {}
-
-
-def encoder(path: str, kind: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary; a fork or a new worker builds its own."""
-    key = (os.getpid(), path, kind)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(path, kind)
-    return _ENCODERS[key]

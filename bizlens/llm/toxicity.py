@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_batches, stored
 
 _TOKEN = re.compile(r"\w+")
 FOLDS = 5
@@ -213,7 +213,7 @@ def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> li
             c = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(("token", "mark", "toxic"), c, (pa.string(), pa.int64(), pa.int32()))})
 
-    once = labelled.select("text", "toxic").mapInArrow(marks, "token string, mark bigint, toxic int").distinct()
+    once = map_batches(labelled.select("text", "toxic"), marks, "token string, mark bigint, toxic int").distinct()
     once = once.groupBy("token").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).persist()
     try:
         whole = once.where("token = ''").first()
@@ -313,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 4000, max_lexi
                 "n": pa.array(list(map(len, own)), pa.int64()), "toxic": batch.column(1).cast(pa.int32())})
 
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(total["n"]))) < max_fit_docs).select("text", "toxic")
-    sample = [tuple(r) for r in picked.mapInArrow(reduce_docs, "places array<int>, toks array<string>, n bigint, toxic int").collect()]
+    sample = [tuple(r) for r in map_batches(picked, reduce_docs, "places array<int>, toks array<string>, n bigint, toxic int").collect()]
     if not sample:
         return flat
     sample.sort()
@@ -332,7 +332,7 @@ def _calibrate(rows: DataFrame, model: Model, steps: int = 25) -> list[float]:
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": batch.column(1).cast(pa.int32())})
 
     # features repeat a lot (no evidence at all): distinct feature rows with counts stay small and are summed on executors
-    table = rows.select("text", "toxic").mapInArrow(features, "x array<double>, y int")
+    table = map_batches(rows.select("text", "toxic"), features, "x array<double>, y int")
     table = table.select(F.transform("x", lambda v: F.round(v, 2)).alias("x"), "y").groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
     got = table.persist()
     try:
@@ -372,7 +372,7 @@ def score_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 "doc_id": batch.column(0).cast(pa.int64()), "score": pa.array(scores, pa.float64()), "n_tokens": pa.array(sizes, pa.int64()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, n_tokens bigint, spans array<struct<start:int,stop:int>>")
+    out = map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, score double, n_tokens bigint, spans array<struct<start:int,stop:int>>")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -387,7 +387,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             fine = [scorer.score(*scorer.document(t or "")) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
