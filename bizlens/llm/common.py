@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +63,8 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     The bound is a setting of the session (Spark reads it when the plan runs); a lower one is left as it is.
     """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, "0b").lower()
-    if not held.endswith("b") or not held[:-1].isdigit() or not 0 < int(held[:-1]) <= BATCH_BYTES:
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(name).lower())
+    if not held or int(held[1]) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
     def task(batches):

@@ -44,22 +44,26 @@ def _norm(line: Column) -> Column:
     return F.btrim(line, F.lit(_ENDS))
 
 
-def _row_key(docs: DataFrame, text: str) -> Column:
-    """128 bits of the row's id and text."""
-    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("-")))
-    return F.unhex(F.md5(F.concat_ws("|", *parts)))
+#: 128 bits that stand for a row, in two columns.
+ROW = ("r", "q")
+
+
+def _row_key(text: str) -> list[Column]:
+    return [F.xxhash64(F.col("doc_id"), F.col(text)).alias("r"), F.xxhash64(F.lit("q"), F.col(text), F.col("doc_id")).alias("q")]
 
 
 def line_keys(docs: DataFrame, site: str, text: str = "text") -> DataFrame:
-    """(row, site, pos, a, b) of every line that is not blank; (a, b) is its 96-bit key."""
-    lines = docs.select(_row_key(docs, text).alias("row"), F.col(site).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.select("row", "site", "pos", _norm(F.col("line")).alias("line")).where(F.length("line") > 0)
-    return lines.select("row", "site", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
+    """(r, q, site, pos, a, b) of every line that is not blank; (a, b) is its 96-bit key."""
+    # the row's key is made before its lines are, not once a line
+    rows = docs.select(*_row_key(text), F.col(site).alias("site"), F.split(text, "\n").alias("lines"))
+    lines = rows.select(*ROW, "site", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select(*ROW, "site", "pos", _norm(F.col("line")).alias("line")).where(F.length("line") > 0)
+    return lines.select(*ROW, "site", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
 
 
 def _standing(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``lines`` whose line is in ``keys`` (distinct, few beside the lines)."""
-    salt = F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("r", "pos"), F.lit(SALTS)).cast("int").alias("salt")
     salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return lines.withColumn("salt", salt).join(salted, ["a", "b", "salt"], "left_semi").drop("salt")
 
@@ -77,33 +81,33 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
 
 
 def copied(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row of the documents whose lines, blank ones aside, stand in the same order in a document of another id."""
+    """(r, q) of the documents whose lines, blank ones aside, stand in the same order in a document of another id."""
     lines = F.filter(F.transform(F.split(text, "\n"), _norm), lambda x: F.length(x) > 0)
-    own = docs.select(_row_key(docs, text).alias("row"), lines.alias("lines")).where(F.size("lines") > 0)
+    own = docs.select(*_row_key(text), lines.alias("lines")).where(F.size("lines") > 0)
     # rows of one doc_id and text are one document; the ends of a group tell whether it has two
-    own = own.select("row", F.xxhash64("lines").alias("a"), F.hash("lines").alias("b"), F.size("lines").alias("n"))
-    twice = own.groupBy("a", "b", "n").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("a", "b", "n")
-    return own.join(twice, ["a", "b", "n"], "left_semi").select("row").distinct()
+    own = own.select(*ROW, F.xxhash64("lines").alias("a"), F.hash("lines").alias("b"), F.size("lines").alias("n"))
+    twice = own.groupBy("a", "b", "n").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("a", "b", "n")
+    return own.join(twice, ["a", "b", "n"], "left_semi").select(*ROW).distinct()
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES,
                        margin: float = MARGIN, max_share: float = MAX_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, plus n_lines, n_removed and whole_copy."""
     hits = (_standing(line_keys(docs, site, text), boilerplate(docs, site, text, min_sites, margin))
-            .groupBy("row").agg(F.collect_set("pos").alias("hit")))
-    hits = hits.join(copied(docs, text).withColumn("copy", F.lit(True)), "row", "left")
-    rows = docs.select(_row_key(docs, text).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(hits, "row", "left")
-    own = F.col(f"doc.`{text}`")
-    rows = rows.withColumn("lines", F.coalesce(F.split(own, "\n"), F.array().cast("array<string>")))
+            .groupBy(*ROW).agg(F.collect_set("pos").alias("hit")))
+    hits = hits.join(copied(docs, text).withColumn("copy", F.lit(True)), list(ROW), "left")
+    # the lines stand for the text from here on: below a join they are a column, which no lambda splits again
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(*_row_key(text), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("doc"), F.split(text, "\n").alias("lines")).join(hits, list(ROW), "left")
     gone = F.aggregate(F.coalesce("hit", F.array().cast("array<int>")), F.lit(0), lambda n, p: n + F.length(F.element_at("lines", p + 1)))
     chars = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
-    rows = rows.withColumn("whole", (gone > max_share * chars) & F.coalesce("copy", F.lit(False)))
+    rows = rows.withColumn("whole", F.coalesce((gone > max_share * chars) & F.col("copy"), F.lit(False)))
     act = F.col("hit").isNotNull() & ~F.col("whole")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "hit")  # hashed: no search of the hits for every line
     kept = F.array_join(F.transform(left, lambda p: F.element_at("lines", p + 1)), "\n")
     return rows.select(
-        *[F.when(act, kept).otherwise(own).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED],
-        F.size("lines").cast("long").alias("n_lines"), F.when(act, F.size("hit")).otherwise(0).cast("long").alias("n_removed"), F.col("whole").alias("whole_copy"))
+        *[F.when(act, kept).otherwise(F.array_join("lines", "\n")).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.when(act, F.size("hit")).otherwise(0).cast("long").alias("n_removed"), F.col("whole").alias("whole_copy"))
 
 
 #: DuckDB twin of ``remove_boilerplate`` with plain distinct counts: a SELECT over ``{docs}``.
