@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -61,6 +61,45 @@ def brand_dictionary(df: DataFrame, col: str = "clean_result", top_n: int = 500)
         StorageLevel.MEMORY_AND_DISK)
 
 
+#: Dictionary entries up to which every row tries them in place.
+LOCAL_ENTRIES = 5000
+
+
+def _is_word(ch: Column) -> Column:
+    return F.coalesce(tx.is_word_char(ch), F.lit(False))
+
+
+def first_entry(df: DataFrame, text: str, dictionary: DataFrame, entry_col: str = "brand", order_col: str = "match_order") -> DataFrame:
+    """J5 in place: ``df`` with ``entry_col``, the first dictionary entry contained in the column ``text``, or null.
+
+    The dictionary is one sorted array from an uncorrelated scalar subquery, and
+    the rows try it with higher-order functions: no shuffle, no join, and no row
+    is taken apart.  For dictionaries of at most ``LOCAL_ENTRIES`` entries.
+    """
+    entries = dictionary.where(F.length(entry_col) > 0).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(entry_col).alias("e")))).alias("es")).scalar()
+    t = F.col(text)
+
+    def bounded(e: Column) -> Column:
+        """Some occurrence of ``e`` whose two ends are word borders."""
+        n = F.length(e)
+
+        def at(p: Column) -> Column:
+            before = F.when(p > 1, F.substring(t, p - 1, F.lit(1)))
+            after = F.when(p + n <= F.length(t), F.substring(t, p + n, F.lit(1)))
+            return ((F.substring(t, p, n) == e) & (_is_word(before) != _is_word(F.substring(e, F.lit(1), F.lit(1))))
+                    & (_is_word(F.substring(e, n, F.lit(1))) != _is_word(after)))
+
+        return F.exists(F.sequence(F.lit(1), F.length(t)), at)
+
+    def holds(x: Column) -> Column:
+        short = (F.length(x["e"]) <= 2) & x["e"].rlike("[a-z]")
+        return F.contains(t, x["e"]) & (~short | bounded(x["e"]))
+
+    # a subquery may not stand inside a higher-order function, so it is a column first
+    found = F.when(F.length(t) > 0, F.get(F.filter("_entries", holds), F.lit(0))["e"])
+    return df.withColumn("_entries", entries).withColumn(entry_col, found).drop("_entries")
+
+
 def match_dictionary(df: DataFrame, text_col: str, dictionary: DataFrame,
                      keep: Sequence[str] = ("unique_id",), entry_col: str = "brand",
                      order_col: str = "match_order") -> DataFrame:
@@ -69,7 +108,19 @@ def match_dictionary(df: DataFrame, text_col: str, dictionary: DataFrame,
     Entries of at most two characters that contain ``a-z`` must sit on word
     boundaries (Python ``\\b`` semantics); longer ones are plain substrings.
     Only rows with a match are returned (``keep`` columns + ``entry_col``);
-    ``keep`` must identify a row.
+    ``keep`` must identify a row.  Dictionaries beyond ``LOCAL_ENTRIES`` go
+    through ``match_by_position``, with the same result.
+    """
+    if dictionary.limit(LOCAL_ENTRIES + 1).count() <= LOCAL_ENTRIES:
+        return first_entry(df.select(*keep, F.col(text_col).alias("_t")), "_t", dictionary, entry_col, order_col).drop("_t").where(F.col(entry_col).isNotNull())
+    return match_by_position(df, text_col, dictionary, keep, entry_col, order_col)
+
+
+def match_by_position(df: DataFrame, text_col: str, dictionary: DataFrame, keep: Sequence[str] = ("unique_id",),
+                      entry_col: str = "brand", order_col: str = "match_order") -> DataFrame:
+    """J5 for large dictionaries: an index of the entries by their first characters meets the characters of the texts.
+
+    Work is linear in the texts; nothing is broadcast by force.
     """
     d = dictionary.select(
         F.col(entry_col).alias("_e"), F.col(order_col).alias("_o"),
@@ -80,24 +131,19 @@ def match_dictionary(df: DataFrame, text_col: str, dictionary: DataFrame,
            .where(F.length(t) > 0)
            .select("*", F.explode(F.sequence(F.lit(1), F.length(t))).alias("_p"))
            .select("*", F.substring(t, F.col("_p"), 1).alias("_k")))
-    # Bounded by the dictionary size (top_n), hence an explicit broadcast.
-    cand = pos.join(F.broadcast(d), on="_k", how="inner")
+    cand = pos.join(d, on="_k", how="inner")
     cand = cand.where(F.expr("substring(_t, _p, _el)") == F.col("_e"))
 
-    def isw(ch):
-        return F.coalesce(tx.is_word_char(ch), F.lit(False))
-
     prev_ch = F.when(F.col("_p") > 1, F.expr("substring(_t, _p - 1, 1)"))
     next_ch = F.when(F.col("_p") + F.col("_el") <= F.length(t), F.expr("substring(_t, _p + _el, 1)"))
     first_ch = F.substring("_e", 1, 1)
     last_ch = F.expr("substring(_e, _el, 1)")
-    bounded = (isw(prev_ch) != isw(first_ch)) & (isw(last_ch) != isw(next_ch))
+    bounded = (_is_word(prev_ch) != _is_word(first_ch)) & (_is_word(last_ch) != _is_word(next_ch))
     cand = cand.where(~F.col("_short") | bounded)
     # min over the integer order keeps the aggregation hash-based (a string
-    # min_by would force a sort aggregate); the entry is looked up afterwards
-    # in the same bounded, broadcast dictionary.
+    # min_by would force a sort aggregate); the entry is looked up afterwards.
     best = cand.groupBy(*keep).agg(F.min("_o").alias("_o"))
-    return best.join(F.broadcast(d.select("_o", F.col("_e").alias(entry_col))), on="_o").select(*keep, entry_col)
+    return best.join(d.select("_o", F.col("_e").alias(entry_col)), on="_o").select(*keep, entry_col)
 
 
 def keep_frequent(df: DataFrame, col: str, min_count: int) -> DataFrame:

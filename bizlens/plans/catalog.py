@@ -184,10 +184,17 @@ def brand_dictionary(spark, sf):
 SELECT h.unique_id, h.hold_text, b.brand FROM n2hold h LEFT JOIN n2best b ON h.unique_id = b.unique_id""",
                                           names=True))
 def dictionary_match(spark, sf):
+    """J5 in place: no row moves."""
     _, held, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), PIPE_TOP_N)
-    best = nm.match_dictionary(held, "hold_text", dictionary, keep=("unique_id",))
-    return held.select("unique_id", "hold_text").join(best, on="unique_id", how="left").select(
-        "unique_id", "hold_text", "brand")
+    return nm.first_entry(held.select("unique_id", "hold_text"), "hold_text", dictionary)
+
+
+@register("dictionary_match_indexed", with_lic("""
+SELECT h.unique_id, h.hold_text, b.brand FROM n2hold h JOIN n2best b ON h.unique_id = b.unique_id""", names=True))
+def dictionary_match_indexed(spark, sf):
+    """J5 by the position index, the way of large dictionaries."""
+    _, held, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), PIPE_TOP_N)
+    return nm.match_by_position(held, "hold_text", dictionary, keep=("unique_id", "hold_text"))
 
 
 @register("frequent_brands", with_lic(f"""

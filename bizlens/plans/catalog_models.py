@@ -229,12 +229,33 @@ def append_table(spark, sf):
 
 @register("rebuild_table", with_lic("SELECT unique_id, bizname, service FROM lic WHERE closed = 1"))
 def rebuild_table(spark, sf):
-    """A table of all licences rebuilt with the closed ones, read back."""
-    def write(lic, path):
-        from ..sources.tables import rebuild_table as rebuild
-        rebuild(lic, path)
-        rebuild(licences(spark, sf).where("closed = 1").select(*lic.columns), path)
-    return _written_names(spark, sf, write)
+    """A table of all licences rebuilt with the closed ones; a rebuild that fails half way then changes nothing."""
+    from ..sources.tables import read_table, rebuild_table as rebuild
+    path = scratch_path(spark, f"rebuilt-{uuid.uuid4().hex}")
+    rows = licences(spark, sf).select("unique_id", "bizname", "service")
+    rebuild(rows, path)
+    rebuild(licences(spark, sf).where("closed = 1").select(*rows.columns), path)
+    broken = F.when(F.col("unique_id") % 3 == 0, F.raise_error(F.lit("half way"))).otherwise(F.col("service")).alias("service")
+    try:
+        rebuild(rows.select("unique_id", "bizname", broken), path)
+    except Exception as exc:
+        if "half way" not in str(exc):
+            raise
+    return read_table(spark, path)
+
+
+@register("published_fan_out", with_lic("""
+SELECT unique_id, service, 'silver' AS sink FROM lic WHERE closed = 1
+UNION ALL SELECT unique_id, service, 'bronze' AS sink FROM lic WHERE closed = 1"""))
+def published_fan_out(spark, sf):
+    """Two sinks published as one version, twice; both show the second."""
+    from ..sources.tables import fan_out_together, read_table
+    root = scratch_path(spark, f"fan-out-{uuid.uuid4().hex}")
+    rows = licences(spark, sf)
+    for part in (rows, rows.where("closed = 1")):
+        fan_out_together(part, root, {"bronze": None, "silver": ["unique_id", "service"]})
+    silver, bronze = (read_table(spark, root, name=n) for n in ("silver", "bronze"))
+    return silver.withColumn("sink", F.lit("silver")).unionByName(bronze.select("unique_id", "service", F.lit("bronze").alias("sink")))
 
 
 @register("embedding_coverage", with_lic(f"""
@@ -330,6 +351,28 @@ def point_in_polygon(spark, sf):
     return _spatial(spark, sf)
 
 
+def _duck_ring(corners) -> str:
+    return "[" + ", ".join(f"{{'x': CAST(190000.0 + 800.0 * n_nationkey + {dx}.0 AS DOUBLE), 'y': CAST({dy}.0 AS DOUBLE)}}" for dx, dy in corners) + "]"
+
+
+_ARROW = _duck_ring([(0, 440000), (790, 441100), (400, 450000), (790, 458900), (0, 459900)])
+_HOLE = _duck_ring([(50, 446050), (350, 446050), (350, 453950), (50, 453950)])
+_ISLAND = _duck_ring([(150, 448000), (250, 450000), (150, 452000)])
+
+
+@register("point_in_holed_polygon", with_lic(f"""
+, parts AS (SELECT CAST(n_nationkey AS BIGINT) AS poly_id, n_name AS sigungu, {_ARROW} AS ring FROM nation
+            UNION ALL SELECT n_nationkey, n_name, {_HOLE} FROM nation WHERE n_nationkey % 2 = 0
+            UNION ALL SELECT n_nationkey, n_name, {_ISLAND} FROM nation WHERE n_nationkey % 2 = 0),
+corner AS (SELECT *, unnest(range(1, len(ring) + 1)) AS i FROM parts),
+side AS (SELECT poly_id, sigungu, ring[i].x AS x1, ring[i].y AS y1, ring[(i % len(ring)) + 1].x AS x2, ring[(i % len(ring)) + 1].y AS y2 FROM corner)
+SELECT unique_id, poly_id, side.sigungu FROM lic JOIN side ON ((y1 > y_5174) <> (y2 > y_5174)) AND x_5174 < (x2 - x1) * (y_5174 - y1) / (y2 - y1) + x1
+GROUP BY unique_id, poly_id, side.sigungu HAVING count(*) % 2 = 1"""))
+def point_in_holed_polygon(spark, sf):
+    """J8 on concave polygons with holes and islands in them, cells smaller than the polygons."""
+    return spt.assign_region(licences(spark, sf), spt.holed_from_nations(read_source(spark, sf, "nation")), "x_5174", "y_5174", cell=130.0, attrs=("sigungu",))
+
+
 @register("region_fallback", with_lic(DUCK_POLY + DUCK_PARSED + """
 SELECT lic.unique_id, coalesce(s.sido, p.siNm) AS sido, CASE WHEN s.sido IS NULL THEN p.sggNm ELSE s.sigungu END AS sigungu,
        CASE WHEN s.sido IS NULL THEN p.emdNm ELSE s.dong END AS dong,

@@ -1,13 +1,17 @@
 """Table scans and sinks.
 
 Tables are addressed either by a path (parquet by default) or by a catalog
-name.  All writes are whole-job writes: an overwrite replaces the target
-atomically at job commit, so there is no window in which the table is gone
-(the reference drops the table first and appends page by page).
+name.  A plain overwrite is Spark's own: it deletes the old files before it
+writes, so a job that fails half way leaves no table.  Rebuilds are therefore
+*published*: the rows go to a fresh version folder, and only when all of them
+are written does one small marker make that version the current one.  A failed
+rebuild leaves the old rows readable, and tables published together appear
+together.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark import StorageLevel
@@ -23,10 +27,72 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, ref: str, fmt: str = "parquet") -> DataFrame:
-    """Scan a table by path (``fmt`` reader) or by catalog name."""
+#: Folder of the markers of a published table: ``<number>.<version>``; the greatest number is current.
+MARKERS = "_published"
+#: Versions that stay: the current one, and one for readers that have resolved the marker before.
+KEEP = 2
+
+
+def _folder(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a folder in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, version) of the published versions of ``root``, oldest first."""
+    fs, at = _folder(spark, f"{root}/{MARKERS}")
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted((int(n), v) for n, _, v in (x.partition(".") for x in names) if n.isdigit() and v)
+
+
+def published_path(spark: SparkSession, root: str, name: str = "data") -> str | None:
+    """Folder of the current version of a published table, or None."""
+    versions = _versions(spark, root.rstrip("/"))
+    return f"{root.rstrip('/')}/{versions[-1][1]}/{name}" if versions else None
+
+
+def publish(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", keep: int = KEEP) -> str:
+    """Write ``tables`` (name -> rows) as one new version below ``root``; returns the version.
+
+    Nothing of the current version is touched before every table is written.
+    The swap is the creation of one empty marker file, which is atomic in file
+    systems and object stores alike.  A failure on the way removes the new
+    version and leaves the old one current; so does a driver that dies (its
+    folder has no marker and no reader sees it).  Versions beyond ``keep`` go.
+    """
+    if not tables:
+        raise ValueError("nothing to publish")
+    root, version = root.rstrip("/"), f"_version-{uuid.uuid4().hex}"
+    spark = next(iter(tables.values())).sparkSession
+    fs, at = _folder(spark, f"{root}/{version}")
+    try:
+        for name, df in tables.items():
+            df.write.format(fmt).save(f"{root}/{version}/{name}")
+    except BaseException:
+        fs.delete(at, True)
+        raise
+    versions = _versions(spark, root)
+    number = versions[-1][0] + 1 if versions else 1
+    marker = _folder(spark, f"{root}/{MARKERS}/{number:012d}.{version}")[1]
+    fs.mkdirs(marker.getParent())
+    fs.create(marker, False).close()
+    for n, old in (versions + [(number, version)])[:-keep]:
+        fs.delete(_folder(spark, f"{root}/{MARKERS}/{n:012d}.{old}")[1], False)
+        fs.delete(_folder(spark, f"{root}/{old}")[1], True)
+    return version
+
+
+def read_table(spark: SparkSession, ref: str, fmt: str = "parquet", name: str = "data") -> DataFrame:
+    """Scan a table by path (``fmt`` reader) or by catalog name.
+
+    Of a published path, the current version is read; ``name`` picks one of the
+    tables that were published together.
+    """
     if "/" in ref or ref.endswith(f".{fmt}"):
-        return spark.read.format(fmt).load(ref)
+        return spark.read.format(fmt).load(published_path(spark, ref, name) or ref)
     return spark.table(ref)
 
 
@@ -37,7 +103,13 @@ def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def write_table(df: DataFrame, ref: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: Iterable[str] | None = None) -> None:
-    """Overwrite or append.  A path writes files, a name saves a table."""
+    """Overwrite or append.  A path writes files, a name saves a table.
+
+    An append to a published path adds to its current version.  An overwrite
+    that fails loses the old rows: use ``rebuild_table`` where they matter.
+    """
+    if "/" in ref and mode == "append":
+        ref = published_path(df.sparkSession, ref) or ref
     writer = df.write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -48,8 +120,38 @@ def write_table(df: DataFrame, ref: str, mode: str = "overwrite", fmt: str = "pa
 
 
 def rebuild_table(df: DataFrame, ref: str, fmt: str = "parquet") -> None:
-    """Drop-and-rebuild as one overwrite (no empty-table window)."""
-    write_table(df, ref, mode="overwrite", fmt=fmt)
+    """Replace all rows of a table; the old ones stay readable until the new ones are complete.
+
+    ``df`` may read the table that it replaces.  A path is published (read it
+    with ``read_table``).  A catalog name becomes an external table whose
+    location moves to the new version; its schema must stay as it is.
+    """
+    if "/" in ref:
+        publish({"data": df}, ref, fmt)
+        return
+    spark = df.sparkSession
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables/{ref}"
+    if not spark.catalog.tableExists(ref):
+        publish({"data": df}, root, fmt)
+        spark.read.format(fmt).load(published_path(spark, root)).limit(0).write.format(fmt).option("path", f"{root}/_schema").saveAsTable(ref)
+    elif [(f.name, f.dataType) for f in spark.table(ref).schema] != [(f.name, f.dataType) for f in df.schema]:
+        raise ValueError(f"the rows do not have the columns of {ref}")
+    else:
+        publish({"data": df}, root, fmt)
+    spark.sql(f"ALTER TABLE {ref} SET LOCATION '{published_path(spark, root)}'")
+    spark.catalog.refreshTable(ref)
+
+
+def fan_out_together(df: DataFrame, root: str, targets: Mapping[str, list[str] | None], fmt: str = "parquet") -> str:
+    """Publish the full row under one name and projections under others, so that all sinks appear at once.
+
+    The input is persisted so that every sink holds the same rows.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return publish({name: cached if cols is None else cached.select(*cols) for name, cols in targets.items()}, root, fmt)
+    finally:
+        cached.unpersist()
 
 
 def fan_out(df: DataFrame, targets: Mapping[str, list[str] | None], mode: str = "append",

@@ -22,6 +22,46 @@ def test_point_in_polygon_boundaries(spark):
     assert out == {1: 1, 2: 1, 3: 2, 4: 1, 6: 2, 10: 2}
 
 
+def _even_odd(px, py, rings):
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            odd ^= (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1
+    return odd
+
+
+def test_point_in_polygon_matches_even_odd_rule(spark):
+    """Random stars with holes and islands, negative coordinates, points on corners and edges, several cell sizes."""
+    import math
+    import random
+    rnd = random.Random(4)
+
+    def star(x, y, size, n):
+        return [(x + size * (f := rnd.uniform(0.3, 1)) * math.cos(2 * math.pi * k / n), y + size * f * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    polys = {k: [star(x := rnd.uniform(-50, 50), y := rnd.uniform(-50, 50), rnd.uniform(3, 60), rnd.randint(3, 40)), star(x, y, 3, 5), star(x, y, 1, 4)] for k in range(12)}
+    polys[99] = [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], [(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)], [(1.0, 1.0)]]
+    table = spark.createDataFrame([(k, f"p{k}", [[{"x": a, "y": b} for a, b in ring] for ring in rings]) for k, rings in polys.items()],
+                                  "poly_id long, name string, rings array<array<struct<x:double,y:double>>>")
+    pts = [(i, rnd.uniform(-110, 110), rnd.uniform(-110, 110)) for i in range(1500)]
+    pts += [(2000 + i, float(a), float(b)) for i, (a, b) in enumerate((a, b) for a in (-1, 0, 1, 2, 4, 6, 8, 9) for b in (-1, 0, 1, 2, 4, 6, 8, 9))]
+    df = spark.createDataFrame(pts, "unique_id long, x double, y double")
+    want = {(i, k) for i, px, py in pts for k, rings in polys.items() if _even_odd(px, py, [r for r in rings if len(r) > 2])}
+    for cell in (0.7, 5.0, 1000.0):
+        got = [(r.unique_id, r.poly_id) for r in spt.assign_region(df, table, "x", "y", cell=cell, attrs=("name",)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_index_copies_no_ring(spark):
+    """A ring of 400 corners over many cells: a cell lists only the edges that pass it, and cells inside list none."""
+    import math
+    ring = [{"x": 100 * math.cos(2 * math.pi * k / 400), "y": 100 * math.sin(2 * math.pi * k / 400)} for k in range(400)]
+    table = spark.createDataFrame([(1, ring)], "poly_id long, ring array<struct<x:double,y:double>>")
+    cells = spt.polygon_cells(table, 10.0).collect()
+    assert max(len(c.edges) for c in cells if c.edges is not None) < 20 and sum(c.edges is None for c in cells) > 200
+    assert sum(len(c.edges or ()) for c in cells) < 600
+
+
 def test_region_fallback_prefers_spatial(spark):
     spatial = spark.createDataFrame([(1, "S", "s", "d")], "unique_id long, sido string, sigungu string, dong string")
     lookup = spark.createDataFrame([(1, "L", "l", "d"), (2, "L2", "l2", "d2"), (3, None, None, None)],
