@@ -88,19 +88,20 @@ def resolve_address(requests: DataFrame, responses: DataFrame, uid_col: str = "u
     return parse_in_place(req.join(resp, on="uid", how="left"))
 
 
-def parse_in_place(rows: DataFrame) -> DataFrame:
+def parse_in_place(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """J7 for rows that carry their own payload (uid, id, raw address, payload):
     bronze layout, cleaned address, one row per returned address, misses kept
-    as one row of nulls.  Used by the batch lookup and the streaming ingest."""
+    as one row of nulls; the columns ``keep`` pass through.  Used by the batch
+    lookup and the streaming ingest."""
     parsed = rows.select(
-        "uid", "id", tx.clean_address(F.col("full_address")).alias("full_address"),
+        *keep, "uid", "id", tx.clean_address(F.col("full_address")).alias("full_address"),
         F.from_json(strip_jsonp(F.col("payload")), RESPONSE_SCHEMA).alias("_r"))
     hit, juso = _is_hit(), F.col("_r.results.juso")
-    out = parsed.select("uid", "id", "full_address",
+    out = parsed.select(*keep, "uid", "id", "full_address",
                         F.when(hit, F.col("_r.results.common")).alias("_c"),
                         F.explode_outer(F.when(hit, juso)).alias("_j"))
     return out.select(*[F.col(f"_c.{c}").alias(c) for c in COMMON_FIELDS], "uid", "id", "full_address",
-                      *[F.col(f"_j.{c}").alias(c) for c in JUSO_FIELDS])
+                      *[F.col(f"_j.{c}").alias(c) for c in JUSO_FIELDS], *keep)
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -426,6 +426,35 @@ def incremental_ingest(spark, sf):
     return spark.read.parquet(f"{base}/silver").select(*ad.SILVER_COLUMNS)
 
 
+@register("bounded_ingest", with_lic(f"""{DUCK_PARSED}{DUCK_REQ}
+, b AS (SELECT uid, id, full_address, siNm, sggNm, emdNm FROM ({_duck_bronze('req')}) b0)
+SELECT * FROM b
+UNION ALL SELECT 'n' || uid, id, full_address, siNm, sggNm, emdNm FROM b WHERE CAST(uid AS BIGINT) % 10 = 0
+UNION ALL SELECT * FROM b WHERE CAST(uid AS BIGINT) % 5 = 0"""))
+def bounded_ingest(spark, sf):
+    """Y1 with an event time: duplicates in a batch, in a later batch and beyond the watermark.
+
+    The feed comes in four waves, each ingested by a run of its own on one
+    checkpoint: all rows, a third of them twice; half of them again six hours
+    later; new keys after five days, which move the watermark; and a fifth of
+    the first keys again, whose time is over, so they count anew.
+    """
+    base = scratch_path(spark, f"bounded-{uuid.uuid4().hex}")
+    _feed(spark, sf).write.parquet(f"{base}/rows")
+    rows, n = spark.read.parquet(f"{base}/rows"), F.col("uid").cast("bigint")
+
+    def at(part, hours):
+        return part.withColumn("event_at", F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hours)))
+
+    waves = [at(rows, 0).unionByName(at(rows.where(n % 3 == 0), 0)), at(rows.where(n % 2 == 0), 6),
+             at(rows.where(n % 10 == 0).withColumn("uid", F.concat(F.lit("n"), "uid")), 120), at(rows.where(n % 5 == 0), 120)]
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{base}/feed")
+        ingest.start_address_ingest(spark, f"{base}/feed", f"{base}/bronze", f"{base}/silver", f"{base}/checkpoint",
+                                    state_partitions=spark.sparkContext.defaultParallelism, event_time="event_at").awaitTermination()
+    return spark.read.parquet(f"{base}/silver").select(*ad.SILVER_COLUMNS)
+
+
 @register("bulk_enrich", with_lic(f"""{DUCK_PARSED}{DUCK_REQ}
 SELECT * FROM ({_duck_bronze('req')}) b"""))
 def bulk_enrich(spark, sf):

@@ -36,3 +36,22 @@ def test_stream_equals_batch_and_rerun_is_idempotent(spark):
     # re-run with the same checkpoint: no new batches, no new rows
     ingest.start_address_ingest(*args, max_files_per_trigger=1).awaitTermination()
     assert spark.read.parquet(f"{base}/silver").count() == 40
+
+
+def test_state_is_bounded_by_the_watermark(spark):
+    """Duplicates inside a batch, across batches and beyond the watermark; the state forgets keys whose time is over."""
+    base = tempfile.mkdtemp(prefix="bizlens-stream-")
+    waves = [[(k, 0) for k in range(60)] + [(k, 1) for k in range(20)], [(k, 5) for k in range(60)], [(k, 100) for k in range(100, 110)],
+             [(k, 101) for k in range(30)], [(200, 101), (0, 1)]]
+    kept, states, dropped = [], [], []
+    for wave in waves:
+        rows = spark.createDataFrame([(str(k), str(k), f"addr {k}", HIT % k, h) for k, h in wave], "uid string, id string, full_address string, payload string, h int")
+        rows.select("uid", "id", "full_address", "payload", F.timestamp_seconds(F.lit(1_700_000_000) + 3600 * F.col("h")).alias("event_at")).write.mode("append").parquet(f"{base}/feed")
+        q = ingest.start_address_ingest(spark, f"{base}/feed", f"{base}/bronze", f"{base}/silver", f"{base}/ckpt", state_partitions=2, event_time="event_at", delay="10 hours")
+        q.awaitTermination()
+        kept.append(spark.read.parquet(f"{base}/silver").count())
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        dropped.append(sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress))
+    assert kept == [60, 60, 70, 100, 101]  # wave 2 is all duplicates; wave 4 counts anew
+    assert states[1] == 60 and states[2] == 10 and states[-1] <= 41  # the 60 first keys are forgotten
+    assert dropped[-1] == 1  # 100 hours late
