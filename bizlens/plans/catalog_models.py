@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.hashing import duck_hash
 from ..operators import address as ad
+from ..operators import embedding as em
 from ..operators import features as feat
 from ..operators import filters as flt
 from ..operators import joins as jn
@@ -267,6 +268,17 @@ def embedding_coverage(spark, sf):
     return out.select("unique_id", F.size("embedding_array").alias("dims"), F.exists("embedding_array", lambda v: v != 0).alias("has_vector"))
 
 
+@register("embedding_factored", with_lic(f"""
+, tok AS (SELECT unique_id, list_filter(string_split({duck.collapse(duck.script_boundary('clean_name'))}, ' '), lambda w: w <> '') AS ws FROM n3),
+near AS (SELECT list(DISTINCT word) AS words FROM (SELECT unnest(ws) AS word FROM tok WHERE len(ws) > 1) t)
+SELECT unique_id, CAST({md.W2V_DIM} AS INTEGER) AS dims, coalesce(list_has_any(ws, (SELECT words FROM near)), false) AS has_vector FROM tok""", names=True))
+def embedding_factored(spark, sf):
+    """E3 + E4 + J6 without a driver vocabulary: names of words with neighbours get a vector, all others zeros."""
+    names = _names(spark, sf)
+    out = em.export_name_vectors(names, em.word_vectors(names))
+    return out.select("unique_id", F.size("embedding_array").alias("dims"), F.exists("embedding_array", lambda v: v != 0).alias("has_vector"))
+
+
 # Fixed rule of the planted label: three of the five industries close.
 PLANTED = "CASE WHEN service IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN 1 ELSE 0 END"
 

@@ -46,3 +46,36 @@ def test_embedding_export_schema_and_zero_default(spark):
     assert any(x != 0.0 for x in joined[4]) and all(x == 0.0 for x in joined[2])
     strict = {r.unique_id: r.embedding_array for r in md.export_embeddings(names, whole, strict_reference=True, tokens="whole").collect()}
     assert all(x == 0.0 for x in strict[4])                # the reference's key mismatch
+
+
+def test_factored_embedding_finds_synonyms(spark):
+    """Words used in the same places are nearer than any others; names without a known word get zeros."""
+    import random
+
+    import numpy as np
+    from bizlens.operators import embedding as em
+    rnd, rows = random.Random(3), []
+    for i in range(1200):
+        words = [f"t{i % 4}w{rnd.randrange(10)}" for _ in range(3)]
+        if i % 4 < 2:
+            words.insert(1, rnd.choice([["syna", "synb"], ["sync", "synd"]][i % 4]))
+        rows.append((i, " ".join(words)))
+    rows += [(9000, "alone"), (9001, None), (9002, ""), (9003, "t1w1 unheard")] + [(10_000 + k, "t2w1 t2w2") for k in range(600)]
+    names = spark.createDataFrame([(i, t, t) for i, t in rows], "unique_id long, bizname string, clean_name string").repartition(5)
+    vectors = em.word_vectors(names, dim=16)
+    v = {r.word: np.array(r.vector) for r in vectors.collect()}
+    near = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
+    for a, b in (("syna", "synb"), ("sync", "synd")):
+        assert near(a, b) > 0.9 and near(a, b) > max(near(a, w) for w in v if w not in (a, b))
+    out = em.export_name_vectors(names, vectors, 16)
+    got = {r.unique_id: r.embedding_array for r in out.collect()}
+    assert out.columns == ["unique_id", "business_name", "cleaned_business_name", "embedding_array"] and out.count() == len(rows)
+    assert not any(got[9000]) and not any(got[9001]) and not any(got[9002]) and any(got[9003]) and {len(x) for x in got.values()} == {16}
+    assert em.word_vectors(names.limit(0), dim=4).count() == 0
+
+
+def test_word_pairs_count_both_directions(spark):
+    from bizlens.operators import embedding as em
+    names = spark.createDataFrame([("a b c",), ("a b c",), ("c",), ("a a",)], "clean_name string")
+    got = {(r.a, r.b): r.n for r in em.word_pairs(names, window=1).collect()}
+    assert got == {("a", "b"): 2, ("b", "a"): 2, ("b", "c"): 2, ("c", "b"): 2, ("a", "a"): 2}
