@@ -30,8 +30,13 @@ from pyspark.sql import DataFrame
 
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIP_TAGS = frozenset("applet aside audio button canvas datalist dialog embed footer form head iframe input math menu nav noscript object optgroup option script select style svg template textarea title video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
+SKIP_TAGS = frozenset("annotation applet aside audio button canvas datalist embed footer head iframe input menu nav noscript optgroup option script select style svg template textarea title video".split())
+#: Elements that go like those of skip names: not when they wrap the page or its article.
+WRAPPERS = frozenset("dialog form object".split())
+#: Names of fields, which go with their form or without it.
+FIELD_NAMES = frozenset("label legend".split())
 SKIP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
@@ -48,6 +53,7 @@ LAYOUT_WORDS = frozenset("has no not with without".split())
 #: Share of an element's characters in links from which its compound class name is believed.
 LINK_SHARE = 1 / 3
 _WORD = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 def _skip_name(attrs) -> int:
@@ -94,14 +100,14 @@ class _Dom(HTMLParser):
         self.tag.append(tag)
         self.parent.append(up)
         self.skip.append(self.skip[up] or self._pruned(tag, attrs, up))
-        self.named.append(0 if tag in ("html", "body", "article", "main", "header") else _skip_name(attrs))
+        self.named.append(0 if tag in ("html", "body", "article", "main", "header") else 2 if tag in WRAPPERS else _skip_name(attrs))
         if tag not in INLINE:
             self.events.append((node, None))
         if tag not in VOID:
             self.open.append(node)
 
     def _pruned(self, tag, attrs, up) -> bool:
-        if tag in SKIP_TAGS:
+        if tag in SKIP_TAGS or (tag in FIELD_NAMES and any(self.tag[i] == "form" for i in self.open)):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
@@ -110,7 +116,7 @@ class _Dom(HTMLParser):
         for name, value in attrs:
             if name == "role" and value and value.strip().lower() in SKIP_ROLES:
                 return True
-            if name == "hidden":
+            if name == "hidden" or (name == "style" and value and _HIDDEN.search(value.lower())):
                 return True
         return False
 

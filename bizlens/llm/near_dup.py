@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizlens.operators.paging import global_index
+
 from .common import map_batches, slices, stored
 
 WORDS = 5
@@ -312,12 +314,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_P
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one with the least id.  Rows with a null doc_id stay; repeated rows of an id become one."""
-    groups = stored(near_duplicates(docs, **options), "groups")
-    out = docs.join(groups.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(out.where("doc_id IS NULL"))
-    return out
+    """One row of each group: the one with the least id, a null id last; rows without words are in no group and stay.
+
+    Rows are told apart by themselves, not by their ids: where ids repeat or are
+    null, the rows are numbered in their order first.
+    """
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("some")).first()
+    repeated = ids["some"] < ids["n"] or docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        groups = stored(near_duplicates(docs, **options), "groups")
+        return docs.join(groups.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("own"), F.md5("text").alias("mark"), whole)
+    rows = stored(global_index(rows, ["last", "own", "mark"], "doc_id").select("doc_id", "doc"), "rows")
+    groups = stored(near_duplicates(rows.select("doc_id", "doc.text"), **options), "groups")
+    kept = rows.join(groups.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 #: DuckDB twin of ``near_duplicates`` by counting shared shingles.

@@ -83,6 +83,19 @@ def test_near_duplicates(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_go_by_row(spark):
+    """An id on two texts loses only the copy; null ids are in groups like others."""
+    rnd, vocab = random.Random(17), vocabulary_words()
+    text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    a, b, c = text(80), text(70), text(60)
+    rows = [(1, a, "s"), (2, a + " tail", "s"), (2, b, "s"), (None, c, "s"), (None, c + " end", "s"), (None, b + " x", "s"), (3, None, "s"), (3, None, "s")]
+    docs = make_docs(spark, rows)
+    out = drop_near_duplicates(docs)
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns and (1, a) in left and (2, b) in left and (2, a + " tail") not in left
+    assert len([t for i, t in left if i is None]) == 1 and left.count((3, None)) == 2 and len(left) == 5
+
+
 def test_superminhash_estimates_jaccard():
     rnd = random.Random(2)
     a = [str(rnd.random()) for _ in range(300)]
@@ -272,6 +285,7 @@ def test_decontamination(spark, edges, no_docs):
      ("long words of text " * 30).strip() + "\nshort"),
     ("<article><p>cut off in <b>the mid", "cut off in the mid"), ("<body><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></body>", "a\nb\n1\n2"),
 ])
+
 def test_main_text(html, want):
     assert main_text(html) == want
 
@@ -427,3 +441,23 @@ def test_documents_that_share_a_long_word_count_each(spark, toxic_rows):
     assert {"fooey", "blast", "cursed"} <= set(got) and "unheardof" not in got
     for w in ("fooey", "blast", "cursed"):
         assert got[w]["a"] == len({t for t, y in footer if y and w in t.split()}) and got[w]["b"] == 0
+
+
+ARTICLE = "<article><h1>Head line</h1>" + "".join(f"<p>Sentence number {k} of the article, with a few words more.</p>" for k in range(9)) + "</article>"
+
+
+@pytest.mark.parametrize("page, extra", [
+    ("<body><form action='/x'><input name=q><label>Search</label>{}</form></body>", None),
+    ("<body><div><dialog open>{}</dialog></div></body>", None),
+    ("<body><object>{}</object></body>", None),
+    ("<body>{}<form><p>Sign up to our letter now</p><label>Mail</label></form></body>", None),
+    ("<body><div style='display: none'><p>We use cookies on this page</p></div>{}</body>", None),
+    ("<body>{}<dialog><p>Please accept all of it</p></dialog></body>", None)])
+def test_wrappers_keep_the_article(page, extra):
+    want = "Head line\n" + "\n".join(f"Sentence number {k} of the article, with a few words more." for k in range(9))
+    assert main_text("<html>" + page.format(ARTICLE) + "</html>") == want
+
+
+def test_formulas_stay_in_their_paragraph():
+    html = "<body><article><p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> the sum of all the values is known.</p><p>More words follow here.</p></article></body>"
+    assert main_text(html) == "With x=2 the sum of all the values is known.\nMore words follow here."
