@@ -1,7 +1,7 @@
 """Whole-text tokenisation inside tasks with a piece cache bounded in bytes.
 
 Byte-pair models work piece by piece, and corpora repeat their pieces, so a
-task keeps the ids of pieces it has met; encoder and cache go when it ends.  Cuts are made only where no
+worker keeps the ids of pieces it has met, in a cache of bounded bytes.  Cuts are made only where no
 pre-token of the vocabulary can cross, so the ids equal those of encoding the
 whole text at once (tested against ``Tokenizer.encode``).
 """
@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-#: Bytes of the piece cache of a task; beyond it the cache starts anew (memory bound, not a result bound).
+#: Bytes of the piece cache of a worker; beyond it the cache starts anew (memory bound, not a result bound).
 CACHE_BYTES = 48 << 20
 #: Characters handled at a time in a worker.
 SLICE_CHARS = 1_500_000
@@ -137,3 +137,15 @@ class PieceEncoder:
         per = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
         out = np.insert(self.flat[src].astype(np.uint32), per, np.uint32(end_id)) if counts else np.zeros(0, np.uint32)
         return out, np.diff(np.concatenate([[0], per])) + 1
+
+
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def encoder(path: str, kind: str) -> PieceEncoder:
+    """One encoder per worker process and vocabulary, so that its tasks share the bounded cache; another vocabulary takes its place."""
+    key = (os.getpid(), path, kind)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(path, kind)
+    return _ENCODERS[key]
