@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def confusion_matrix(pred: DataFrame, y: str, yhat: str, labels: Sequence[int] | None = None) -> DataFrame:
     """rows = true class, one ``pred_<label>`` column per predicted class, 0-filled.
@@ -95,13 +97,16 @@ def score_counts(pred: DataFrame, y: str, p: str, buckets: int = SCORE_BUCKETS)
     """Per distinct score: positives, negatives, and the counts strictly below it.
 
     Rows without a label or a score count for neither class.  Buckets are cut at
-    quantiles of the distinct scores (found when called), so however close the
-    scores lie no task gets more than its share of them.
+    quantiles of the distinct scores, so however close the scores lie no task gets
+    more than its share of them.  The counts of the distinct scores are written
+    once when called: ``pred`` is read a single time.
     """
     known = pred.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     s = (known.groupBy(F.col(p).cast("double").alias("score"))
          .agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
               F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
+    ensure_checkpoint_dir(pred.sparkSession)
+    s = s.checkpoint(eager=True)
     cuts = sorted(set(s.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
     if cuts:
         s = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="score", outputCol="_b").transform(s)

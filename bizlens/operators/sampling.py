@@ -5,19 +5,21 @@ with the smallest seeded hash (ties by key), where k is a function of the
 stratum size.  A per-stratum ``row_number`` window would put a whole stratum
 - possibly a third of all rows - into one task, so instead:
 
-1. every row gets a hash and a bucket = its top ``bits`` bits;
-2. a histogram counts rows per (stratum, bucket) with map-side combine;
-3. prefix sums over that histogram name the one bucket per stratum that holds
-   the cut and how many of its rows are needed;
-4. only rows of cut buckets (about 1/2**bits of each stratum) are ranked, which
-   gives the exact (hash, key) threshold of every stratum;
-5. one map-side filter compares each row with the threshold of its stratum: the
+1. one scan counts every stratum and keeps a KLL sketch of its hashes (one row
+   per stratum leaves the scan); the sketch brackets the hash of row k;
+2. a second scan counts the rows below the bracket and lists those inside it
+   (about one in a hundred), dealt by hash, not by stratum, and written once;
+3. a prefix sum over ``SUB`` sub-ranges of each bracket names the one that holds
+   row k; only its rows are ranked.  A sketch errs with some probability: where
+   the counts prove that its bracket missed row k, the stratum is listed again
+   with the whole range of hashes, so the threshold is always exact;
+4. one map-side filter compares each row with the threshold of its stratum: the
    base is never shuffled while the thresholds, one row per stratum, are few
    enough to send to the tasks (``BROADCAST_STRATA``); more are joined by key.
 
-Steps 2-4 run when the operator is called.  Results depend only on keys and the
-seed, never on partitioning, so a test set and its complement (J3) agree on
-recompute.  Rows that share a key share their fate.
+Steps 1-3 run when the operator is called.  Results depend only on keys and the
+seed, never on partitioning or the sketch, so a test set and its complement (J3)
+agree on recompute.  Rows that share a key share their fate.
 """
 
 from __future__ import annotations
@@ -28,49 +30,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_BITS, seeded_hash
+from ..session import ensure_checkpoint_dir
 
 Quota = Callable[[Column, Column, Column], Column]   # (stratum size, total size, smallest stratum) -> k
 
 
 #: Strata whose thresholds are sent to the tasks (some 50 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_STRATA = 100_000
-
-
-def _thresholds(base: DataFrame, strata: list[str], quota: Quota, key: str) -> DataFrame:
-    """Per stratum: (_k<i>..., _th, _tk) - rows up to (hash, key) are selected; a null hash selects none."""
-    hist = base.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    by_stratum = Window.partitionBy(*strata)
-    cum = by_stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = hist.groupBy(*strata).agg(F.sum("_c").alias("_n")).agg(F.sum("_n").alias("tot"), F.min("_n").alias("least")).first()
-    hist = hist.withColumn("_cum", F.sum("_c").over(cum)).withColumn("_n", F.sum("_c").over(by_stratum))
-    k = quota(F.col("_n"), F.lit(sizes["tot"] or 0), F.lit(sizes["least"] or 0))
-    hist = hist.withColumn("_k", F.least(F.greatest(k.cast("bigint"), F.lit(0)), F.col("_n")))
-    before = F.col("_cum") - F.col("_c")
-    cut = hist.where((before < F.col("_k")) & (F.col("_cum") >= F.col("_k"))).select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(strata)], F.col("_b").alias("_hb"), (F.col("_k") - before).alias("_need"))
-    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(strata)] + [F.col("_b") == F.col("_hb")]
-    near = base.select(*strata, "_b", "_h", F.col(key).alias("_key")).join(cut, on=cond, how="inner")
-    rank = F.row_number().over(Window.partitionBy(*[f"_k{i}" for i in range(len(strata))]).orderBy("_h", "_key"))
-    return near.withColumn("_r", rank).where(F.col("_r") == F.col("_need")).select(
-        *[f"_k{i}" for i in range(len(strata))], F.col("_h").alias("_th"), F.col("_key").alias("_tk"))
-
-
-def select_smallest(df: DataFrame, strata: Sequence[str], quota: Quota, key: str, seed: int,
-                    flag: str = "selected", bits: int = 12) -> DataFrame:
+#: Size of the sketches (at most some 100 kB a stratum) and how far around row k their bracket reaches, in ranks of the
+#: stratum: three times the error that a sketch of this size exceeds once in a hundred times.
+SKETCH_K, SKETCH_REACH = 4096, 0.004
+#: Steps of the ranks that a sketch is asked for.
+GRID = 1000
+#: Sub-ranges of a bracket; a power of two.
+SUB = 4096
+
+
+def _fixed(df: DataFrame, few: bool) -> tuple[DataFrame, int]:
+    """``df`` as rows that no recomputation can change, and their number: sent along with the plan if ``few``, else written once."""
+    if few:
+        rows = df.collect()
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), len(rows)
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    return out, out.count()
+
+
+def _listed(base: DataFrame, wanted: DataFrame, match: Column, key: str) -> DataFrame:
+    """Per stratum in ``wanted``: one row of ``_sub`` -1 that counts what lies below the bracket, and the rows inside, written once."""
+    inside = F.col("_h") >= F.col("_lo")
+    sub = F.least(((F.col("_h") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * SUB).cast("int"), F.lit(SUB - 1))
+    near = base.join(wanted, on=match).where(F.col("_h") <= F.col("_hi")).select(
+        "_id", "_k", F.when(inside, sub).otherwise(-1).alias("_sub"), F.when(inside, F.col("_h")).alias("_h"), F.when(inside, F.col(key)).alias("_key"))
+    ensure_checkpoint_dir(base.sparkSession)
+    return near.groupBy("_id", "_k", "_sub", "_h", "_key").agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+
+
+def _kth(listed: DataFrame, few: bool) -> DataFrame:
+    """(_id, _th, _tk) of every stratum whose row k is inside its bracket."""
+    by = Window.partitionBy("_id").orderBy("_sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = listed.groupBy("_id", "_k", "_sub").agg(F.sum("_c").alias("_n")).withColumn("_cum", F.sum("_n").over(by))
+    before = F.col("_cum") - F.col("_n")
+    cut = hist.where((F.col("_sub") >= 0) & (before < F.col("_k")) & (F.col("_cum") >= F.col("_k"))).select("_id", "_sub", (F.col("_k") - before).alias("_need"))
+    # one row per stratum
+    rows = listed.join(F.broadcast(cut) if few else cut, ["_id", "_sub"])
+    upto = F.sum("_c").over(Window.partitionBy("_id").orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_r", upto).where((F.col("_r") >= F.col("_need")) & (F.col("_r") - F.col("_c") < F.col("_need")))
+    return rows.select("_id", F.col("_h").alias("_th"), F.col("_key").alias("_tk"))
+
+
+def _thresholds(base: DataFrame, strata: list[str], quota: Quota, key: str) -> tuple[DataFrame, Column]:
+    """Per stratum that selects any row: (_k<i>..., _th, _tk) - rows up to (hash, key) are selected - and the join condition."""
+    names = [f"_k{i}" for i in range(len(strata))]
+    match = F.lit(True)
+    for c, k in zip(strata, names):
+        match = match & F.col(c).eqNullSafe(F.col(k))
+    stats = base.groupBy(*[F.col(c).alias(k) for c, k in zip(strata, names)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_bigint("_h", F.lit(SKETCH_K)).alias("_s")).where("_n > 0")
+    ensure_checkpoint_dir(base.sparkSession)
+    stats = stats.checkpoint(eager=True)
+    sizes = stats.agg(F.sum("_n").alias("tot"), F.min("_n").alias("least"), F.count(F.lit(1)).alias("strata")).first()
+    few = sizes["strata"] <= BROADCAST_STRATA
+    k = F.least(F.greatest(quota(F.col("_n"), F.lit(sizes["tot"] or 0), F.lit(sizes["least"] or 0)).cast("bigint"), F.lit(0)), F.col("_n"))
+    # the sketch answers constant ranks only: a grid of them, from which the bracket takes the nearest outside
+    grid = F.kll_sketch_get_quantile_bigint("_s", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    q = F.col("_k") / F.col("_n")
+    low, high = F.floor((q - SKETCH_REACH) * GRID).cast("int"), F.ceil((q + SKETCH_REACH) * GRID).cast("int")
+    brackets = stats.withColumn("_k", k).where("_k > 0").select(
+        *names, "_k", F.monotonically_increasing_id().alias("_id"),
+        F.when(low > 0, F.get(grid, low)).otherwise(F.lit(0)).alias("_lo"),
+        F.when(high < GRID, F.get(grid, high)).otherwise(F.lit((1 << HASH_BITS) - 1)).alias("_hi"))
+    brackets, wanted = _fixed(brackets, few)
+    got, found = _fixed(_kth(_listed(base, brackets, match, key), few), few)
+    if found < wanted:
+        whole = brackets.join(got, "_id", "left_anti").withColumns({"_lo": F.lit(0).cast("bigint"), "_hi": F.lit((1 << HASH_BITS) - 1).cast("bigint")})
+        got, _ = _fixed(got.unionByName(_kth(_listed(base, F.broadcast(whole) if few else whole, match, key), few)), few)
+    limits = brackets.join(got, "_id").select(*names, "_th", "_tk")
+    return F.broadcast(limits) if few else limits, match
+
+
+def select_smallest(df: DataFrame, strata: Sequence[str], quota: Quota, key: str, seed: int, flag: str = "selected") -> DataFrame:
     """Add boolean ``flag``: row is among the ``quota(n_stratum, n_total, n_least)``
     smallest-hash rows of its stratum.  All input rows are returned, rows with a
     null key too."""
     strata = list(strata)
-    base = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.shiftright(F.col("_h"), HASH_BITS - bits))
-    limits = _thresholds(base, strata, quota, key)
-    few = limits.limit(BROADCAST_STRATA + 1).collect()
-    if len(few) <= BROADCAST_STRATA:
-        limits = F.broadcast(df.sparkSession.createDataFrame(few, limits.schema))
-    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(strata)] or F.lit(True)
+    base = df.withColumn("_h", seeded_hash(key, seed))
+    limits, match = _thresholds(base.select(*dict.fromkeys([*strata, key]), "_h"), strata, quota, key)
     # nulls order first, as in the ranking
     up_to = F.col(key).isNull() | F.coalesce(F.col(key) <= F.col("_tk"), F.lit(False))
     chosen = (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & up_to)
-    return base.join(limits, on=cond, how="left").select(*df.columns, F.coalesce(chosen, F.lit(False)).alias(flag))
+    return base.join(limits, on=match, how="left").select(*df.columns, F.coalesce(chosen, F.lit(False)).alias(flag))
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str], test_frac: float, key: str, seed: int = 42,
@@ -96,7 +145,6 @@ def split(df: DataFrame, strata: Sequence[str], test_frac: float, key: str, seed
     """
     flagged = stratified_split(df, strata, test_frac, key, seed, "_is_test")
     if materialize:
-        from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         flagged = flagged.checkpoint(eager=True)
     return flagged.where(~F.col("_is_test")).drop("_is_test"), flagged.where("_is_test").drop("_is_test")

@@ -1,4 +1,8 @@
 """Sampling properties: exact quotas, partition independence, complement, balance."""
+import hashlib
+from collections import defaultdict
+
+import pytest
 from pyspark.sql import functions as F
 
 from bizlens.operators import sampling as sp
@@ -70,3 +74,64 @@ def test_class_weights(spark):
     w = {r.y: r.weight for r in sp.class_weights(df, "y").collect()}
     n1 = df.where("y = 1").count()
     assert abs(w[1] - 3000 / (2 * n1)) < 1e-12 and abs(w[0] - 3000 / (2 * (3000 - n1))) < 1e-12
+
+
+def _hash(key, seed):
+    return int(hashlib.md5(f"{'' if key is None else key}|{seed}".encode()).hexdigest()[:15], 16)
+
+
+def _smallest(rows, quota, seed):
+    """Brute force: rows (key, stratum) whose (hash, key) is not above that of row k of their stratum."""
+    strata = defaultdict(list)
+    for key, s in rows:
+        strata[s].append((_hash(key, seed), key is not None, key or 0))
+    sizes = {s: len(r) for s, r in strata.items()}
+    out = []
+    for s, r in strata.items():
+        k = min(quota(sizes[s], len(rows), min(sizes.values())), sizes[s])
+        top = sorted(r)[k - 1] if k else None
+        out += [(s, x[2] if x[1] else None) for x in r if k and x <= top]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("reach", [sp.SKETCH_REACH, 0.0])
+def test_smallest_rows_match_brute_force(spark, monkeypatch, reach):
+    # a hot stratum, a null one, keys that repeat and null keys; without reach most brackets miss and are listed whole
+    monkeypatch.setattr(sp, "SKETCH_REACH", reach)
+    monkeypatch.setattr(sp, "SKETCH_K", 16 if reach == 0.0 else sp.SKETCH_K)
+    rows = [(None if i % 301 == 0 else i // (1 + (i % 50 == 0)), "hot" if i % 3 else (None if i % 7 == 0 else f"s{i % 5}")) for i in range(9000)]
+    df = spark.createDataFrame(rows, "unique_id long, s string").repartition(5)
+    got = sp.select_smallest(df, ["s"], lambda n, N, m: F.round(n * 0.25), "unique_id", 11).where("selected")
+    assert sorted([(r.s, r.unique_id) for r in got.collect()], key=str) == _smallest(rows, lambda n, N, m: int(0.25 * n + 0.5), 11)
+
+
+def test_smallest_rows_of_many_strata_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(sp, "BROADCAST_STRATA", 3)
+    rows = [(i, str(i % 40)) for i in range(4000)]
+    got = sp.select_smallest(spark.createDataFrame(rows, "unique_id long, s string"), ["s"], lambda n, N, m: F.lit(7), "unique_id", 2)
+    assert got.count() == 4000
+    assert sorted([(r.s, r.unique_id) for r in got.where("selected").collect()], key=str) == _smallest(rows, lambda n, N, m: 7, 2)
+
+
+def test_smallest_rows_without_strata_or_rows(spark):
+    df = spark.range(100).withColumnRenamed("id", "unique_id")
+    assert sp.select_smallest(df, [], lambda n, N, m: F.lit(9), "unique_id", 1).where("selected").count() == 9
+    assert sp.select_smallest(df.limit(0), [], lambda n, N, m: F.lit(9), "unique_id", 1).collect() == []
+    assert sp.stratified_split(_data(spark).limit(0), ["s"], 0.1, "unique_id").collect() == []
+
+
+def test_base_is_read_three_times_and_never_shuffled(spark):
+    """Two scans to find the thresholds, one that compares: the accumulator counts every evaluation of a row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = _data(spark).mapInArrow(count, "unique_id long, s string, y int")
+    out = sp.stratified_split(df, ["s", "y"], 0.1, "unique_id", 42)
+    assert seen.value <= 2 * 3000
+    out.collect()
+    assert seen.value <= 3 * 3000
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
