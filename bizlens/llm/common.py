@@ -32,6 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, which cannot be read afterwards; files elsewhere stay."""
+    spark = df.sparkSession
+    base = scratch_path(spark, "")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        root = fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(base))
+        if fs.makeQualified(path.getParent()).equals(root):
+            fs.delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (shared folder); partitions and their order are kept."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -18,6 +18,9 @@ Everything is DataFrame expressions and Spark's own forest; no Python runs on ex
    (crc32 of the id modulo 5), at most about ``max_fit_rows`` by hash (a documented
    bound); every candidate of every document is scored.
 
+The findings lie in clear text in the shared folder, since the result reads them:
+delete that folder after use; the candidates are deleted when the findings are written.
+
 Edge cases: null and empty texts have no candidates; a null doc_id or source is
 kept; repeated rows give their findings once a row; without labels of both kinds
 the weak label decides alone (score 1 or 0); empty tables give an empty result;
@@ -31,7 +34,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words_column
+from .common import discard, stored, words_column
 
 MIN_LEN = 12
 #: Documents a word must stand in to count as a dictionary word.
@@ -71,23 +74,39 @@ def _pieces(word: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(word, pattern, "\n$0\n"), "\n")
 
 
+def _holding(quote: str) -> Column:
+    """Numbers of the words that hold ``quote``."""
+    return F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.contains(F.get("w", i), F.lit(quote)))
+
+
+def _next_of(at: str) -> Column:
+    """For every word the least number in the column ``at`` that is not below its own; ends with the last."""
+    return F.flatten(F.transform(at, lambda x, k: F.array_repeat(x, x - F.coalesce(F.get(at, k - 1), F.lit(-1)))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(row, doc_id, place, offset, value, quoted, assigned, before, before2, after): candidates with their neighbours.
 
     ``offset`` is the candidate's first character in its word; ``assigned`` marks
     a quoted literal after a credential name.  The name and the sign of an
-    assignment are neighbours like words of their own.
+    assignment are neighbours like words of their own.  A literal ends at its
+    quote, however many words on; without one it is its first word.
     """
     d = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", words_column(F.col("text")).alias("w")).where(F.size("w") > 0)
+    # per kind of quote: the words that hold it, and for every word the next of those from it on
+    kinds = dict(zip("\"'`", ("double", "single", "back")))
+    d = d.withColumns({f"at_{n}": _holding(q) for q, n in kinds.items()})
+    d = d.withColumns({f"next_{n}": _next_of(f"at_{n}") for n in kinds.values()})
     low = lambda i: F.coalesce(F.lower(F.get("w", i)), F.lit(""))
     lead = lambda i: F.regexp_extract(F.get("w", i), f"^{_SIGN}", 0)
     named = lambda i: F.get("w", i).rlike(f"^{_SIGN}?" + r"\\?[\"'`]") & F.rtrim(F.concat(low(i - 2), F.lit(" "), low(i - 1), F.lit(" "), lead(i))).rlike(_NAME + r"\s*" + _SIGN + "$")
     open_ = lambda i: F.get("w", i).rlike("[\"'`]") & (named(i) | F.get("w", i).rlike(_HERE))
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ((F.length(F.get("w", i)) >= MIN_LEN) & F.get("w", i).rlike("[0-9]")) | open_(i))
-    # the words after one that may open a literal of several words
-    rest = lambda i: F.when(open_(i), F.array_join(F.slice("w", i + 2, F.size("w")), " ")).otherwise("")
+    # the words after one that may open a literal of several words, up to the next with such a quote: literals of one kind do not overlap
+    closing = lambda i, n: F.get(f"next_{n}", i + 1)
+    rest = lambda i, q, n: F.when(F.contains(F.get("w", i), F.lit(q)) & closing(i, n).isNotNull() & open_(i), F.array_join(F.slice("w", i + 2, closing(i, n) - i), " "))
     found = F.transform(at, lambda i: F.struct(
-        i.cast("long").alias("place"), F.get("w", i).alias("raw"), named(i).alias("named"), rest(i).alias("rest"),
+        i.cast("long").alias("place"), F.get("w", i).alias("raw"), named(i).alias("named"), *[rest(i, q, n).alias(f"rest_{n}") for q, n in kinds.items()],
         low(i - 1).alias("b1"), low(i - 2).alias("b2"), low(i + 1).alias("a1")))
     d = d.select("row", "doc_id", F.explode(found).alias("f")).select("row", "doc_id", "f.*")
     d = d.withColumn("p", F.when(F.col("named"), _pieces(F.col("raw"), f"{_NEXT}|{_HERE}|{_RUNS}")).otherwise(_pieces(F.col("raw"), f"{_HERE}|{_RUNS}")))
@@ -100,9 +119,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     first = k == 1
     d = d.withColumn("quote", quote).withColumn("assigned", (F.col("quote") != "") & (
         (F.col("named") & first & head.rlike(f"^{_SIGN}?" + r"\\?[\"'`]$")) | head.rlike("(?i)" + _NAME + _SIGN + r"\\?[\"'`]$")))
-    # a literal that its word does not close goes on to its quote in the words after, for at most 200 characters
+    # a literal that its word does not close goes on to its quote in the words after
     more = F.when(F.col("assigned") & (k == F.size("p") - 2) & (part(k + 1) == ""),
-                  F.coalesce(*[F.when(F.col("quote") == q, F.regexp_extract("rest", f"^([^{q}]{{0,200}}){q}", 1)) for q in "\"'`"], F.lit("")))
+                  F.coalesce(*[F.when(F.col("quote") == q, F.regexp_extract(f"rest_{n}", f"^([^{q}]*){q}", 1)) for q, n in kinds.items()], F.lit("")))
     d = d.withColumn("more", F.coalesce(more, F.lit("")))
     d = d.withColumn("value", F.regexp_replace(F.when(F.col("more") != "", F.concat("run", F.lit(" "), "more")).otherwise(F.col("run")), r"\\+$", ""))
     sign = F.regexp_replace("gap", "[\"'`\\\\]", "")
@@ -127,12 +146,12 @@ FEATURES = ["length", "letter_digit", "digit_letter", "case", "consonants", "hex
 
 
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:
-    """``found`` with an array of features."""
+    """``found`` with an array of features; ``uid`` tells its rows apart, also those of repeated documents."""
     n = F.length("value")
     share = lambda c: c / n
-    pieces = found.select("row", "place", "offset", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
-    cover = pieces.join(words, "word").groupBy("row", "place", "offset").agg(F.sum(F.length("word")).alias("covered"))
-    out = found.join(cover, ["row", "place", "offset"], "left").withColumns({
+    pieces = found.select("uid", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    cover = pieces.join(words, "word").groupBy("uid").agg(F.sum(F.length("word")).alias("covered"))
+    out = found.join(cover, "uid", "left").withColumns({
         "length": n.cast("double"),
         "letter_digit": share(F.regexp_count("value", F.lit("[A-Za-z](?=[0-9])"))),
         "digit_letter": share(F.regexp_count("value", F.lit("[0-9](?=[A-Za-z])"))),
@@ -178,12 +197,14 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, min_docs: int = DICT_
     findings, in place of the weak labels; without ``offset`` a label holds for
     every candidate of the word.
     """
-    found = stored(candidates(docs), "candidates")
+    # numbered before they are written, so that the numbers stay
+    found = stored(candidates(docs).withColumn("uid", F.monotonically_increasing_id()), "candidates")
     feats = weak_labels(featured(found, dictionary(docs, min_docs)))
     if labels is not None:
         key = ["doc_id", "place", *(["offset"] if "offset" in labels.columns else [])]
         feats = feats.withColumnRenamed("label", "weak").join(labels.select(*key, "label").dropDuplicates(key), key, "left")
     feats = stored(feats.select("row", "doc_id", "place", "offset", "value", "features", "label"), "findings")
+    discard(found)  # holds secrets in clear text
     training = feats.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     model = fit(training, max_fit_rows)
     if model is None:

@@ -13,7 +13,7 @@ from bizlens.llm.decontamination import contaminated, decontaminate, myers, norm
 from bizlens.llm.html_text import extract, main_text
 from bizlens.llm.line_dedup import boilerplate, remove_boilerplate
 from bizlens.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_sets, superminhash
-from bizlens.llm.secrets import candidates, scan, weak_labels
+from bizlens.llm.secrets import candidates, featured, scan, weak_labels
 from bizlens.llm.substring_dedup import FMIndex, remove_repeats
 from bizlens.llm.toxicity import Scorer, held_out, reject_toxic, score_documents, token_evidence, toxic_scores, train
 from llm_cases import edge_rows, edges, make_docs, no_docs, vocabulary_words  # noqa: F401
@@ -363,6 +363,30 @@ def test_candidates_of_compact_assignments(spark, text, want):
         assert word[r["offset"]:].startswith(r["value"].split()[0])
 
 
+def test_literals_of_any_length(spark):
+    long = " ".join(f"word{i}" for i in range(300))
+    texts = [f'password = "{long}" and more', f"a key='{long}' b", f'token: `{long}` x "y"', 'secret = "open and never closed', 'auth = "it\'s fine" x']
+    got = {r["doc_id"]: r["value"] for r in candidates(make_docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).where("assigned").collect()}
+    assert got == {0: long, 1: long, 2: long, 3: "open", 4: "it's fine"}
+
+
+def test_many_openings_in_one_text(spark):
+    """Every opened literal is carried only up to its quote: the work grows with the text."""
+    text = " ".join(f'token = "a{i} b{i}"' for i in range(20_000)) + " key = 'x" + " x" * 20_000
+    got = candidates(make_docs(spark, [(1, text, "s")])).where("assigned")
+    assert got.count() == 20_001
+    assert got.agg(F.max(F.length("value"))).first()[0] == len("a19999 b19999")
+
+
+def test_repeated_documents_keep_their_features(spark):
+    rows = [(1, 'password="9f3a8b7c6dcloud5e4friverf3a2b1c"', "s"), (2, "cloud river", "s")]
+    words_ = spark.createDataFrame([("cloud",), ("river",)], "word string")
+    number = lambda d: d.withColumn("uid", F.monotonically_increasing_id())
+    once = featured(number(candidates(make_docs(spark, rows))), words_).collect()
+    twice = featured(number(candidates(make_docs(spark, rows + rows))), words_).collect()
+    assert len(twice) == 2 * len(once) and {tuple(r["features"]) for r in twice} == {tuple(r["features"]) for r in once}
+
+
 # --- op9 ------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def toxic_rows():
@@ -432,6 +456,38 @@ def test_toxicity_edges(spark, edges, no_docs, toxic_rows):
     assert spark.range(3).select(held_out(F.col("id"))).count() == 3
 
 
+def test_offsets_are_places_of_the_text_as_it_stands(spark, toxic_rows):
+    rows, labels = toxic_rows
+    model = train(make_docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    texts = {1: "\u0130stanbul fooey blast", 2: "FOOEY, \u0130\u0130 Cursed"}  # a letter that grows when lowered
+    for r in score_documents(make_docs(spark, [(i, t, "s") for i, t in texts.items()]), model).collect():
+        assert [texts[r["doc_id"]][x["start"]:x["stop"]].lower() for x in r["spans"]] == {1: ["fooey", "blast"], 2: ["fooey", "cursed"]}[r["doc_id"]]
+
+
+def test_words_with_combining_marks_are_evidence(spark, toxic_rows):
+    rows, labels = toxic_rows
+    truth = {i: y for i, _, y in labels}
+    bad = "\u0928\u093f\u0928\u094d\u0926\u093e"  # vowel signs and a virama
+    docs = [(f"{t} {bad}" if truth[i] else t, truth[i]) for i, t, _ in rows]
+    got = {r["token"] for r in token_evidence(spark.createDataFrame(docs, "text string, toxic int"), 4.0, 2000)}
+    assert bad in got
+
+
+def test_pure_words_of_a_small_language_are_toxic(spark):
+    """Words that few documents hold, none of them clean, count beside words that are ten times as frequent."""
+    rnd, vocab, other = random.Random(4), vocabulary_words(n=300), [f"{c}{i:03d}zu" for c in "klmnp" for i in range(100)]
+    rows, labels = [], []
+    for k in range(1500):
+        small, y = k % 12 == 0, int(rnd.random() < 0.12)
+        w = [rnd.choice(other if small else vocab) for _ in range(40)]
+        if y:
+            w += ["qarbat", "qorbit"] if small else ["fooey", "blast"]
+        rows.append((k, " ".join(w), "s"))
+        labels.append((k, 1, y))
+    got = toxic_scores(make_docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert all(r["predicted"] == labels[r["doc_id"]][2] for r in got)
+
+
 def test_documents_that_share_a_long_word_count_each(spark, toxic_rows):
     rows, labels = toxic_rows
     truth = {i: y for i, _, y in labels}
