@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,7 +43,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stored
 
-_TOKEN = re.compile(r"\w+")
+#: Combining marks are part of a word: the same tokens as ``_JAVA_TOKEN`` in Spark.
+_MARKS = "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M")
+_TOKEN = re.compile(rf"[\w{_MARKS}]+")
+_JAVA_TOKEN = r"[\p{L}\p{M}\p{N}_]+"
 FOLDS = 5
 #: Labels of at most so many rows (16 bytes each) are sent to the tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -62,7 +66,8 @@ class Model:
 
 
 def _tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Words of the text as it stands, each lowered by itself, so that places are places of the text."""
+    return [w.lower() for w in _TOKEN.findall(text)]
 
 
 def _marginals(model: Model, powers, found: list[tuple[int, float]], n: int) -> list[float]:
@@ -158,10 +163,7 @@ class Scorer:
         wanted = {i for i, p in marks if p >= least}
         if not wanted:
             return []
-        lowered = text.lower()
-        if len(lowered) != len(text):  # a few letters grow when lowered: offsets of the text as it stands
-            lowered = text
-        return [m.span() for i, m in enumerate(_TOKEN.finditer(lowered)) if i in wanted]
+        return [m.span() for i, m in enumerate(_TOKEN.finditer(text)) if i in wanted]
 
 
 def _evidence_columns(na: float, nb: float):
@@ -187,7 +189,7 @@ def token_evidence(labelled: DataFrame, min_docs: float, max_lexicon: int) -> li
     many and every other document counts.
     Counts are distributed; at most that many rows reach the driver.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_JAVA_TOKEN), F.lit(0)), F.lower))
     rows = labelled.select("toxic", words.alias("words"))
     begun = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
     counts = rows.select("toxic", F.explode(F.array_distinct(F.concat("words", *begun))).alias("token")).groupBy("token").agg(
@@ -251,12 +253,20 @@ def _training_segments(sample: list, feats: dict[str, list[float]], seeds: set[s
     return np.array(xs), np.array(ys), np.array([1.0] * (len(xs) - 1) + [float(blank)])
 
 
+#: Significance that labels a token toxic: relative to the strongest token, or, for tokens that hardly any clean text holds, by itself.
+SEED_Z, SEED_SHARE, PURE_Z, PURE = 4.5, 0.25, 4.0, 10
+
+
+def _is_seed(r, top: float) -> bool:
+    """A language with few documents has no token as significant as the strongest of all, but it has pure ones."""
+    return r["z"] >= max(SEED_Z, SEED_SHARE * top) or (r["z"] >= PURE_Z and r["a"] >= PURE * r["b"])
+
+
 def _fit_crf(sample: list, evidence: list, steps: int = 200, rate: float = 0.15) -> Model:
     """CRF weights by gradient ascent (Adam) on the conditional log-likelihood of the tag sequences."""
     top = max(float(r["z"]) for r in evidence)
-    strong = max(4.5, 0.25 * top)
-    feats = {r["token"]: [1.0, float(r["odds"]) / 4, float(r["z"]) / top, float(r["z"] >= strong)] for r in evidence}
-    seeds = {r["token"] for r in evidence if r["z"] >= strong}
+    seeds = {r["token"] for r in evidence if _is_seed(r, top)}
+    feats = {r["token"]: [1.0, float(r["odds"]) / 4, float(r["z"]) / top, float(r["token"] in seeds)] for r in evidence}
     x, y, weight = _training_segments(sample, feats, seeds)
     n = weight.sum()
     pair = y[:, :-1] * 2 + y[:, 1:]
