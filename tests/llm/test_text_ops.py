@@ -15,7 +15,7 @@ from bizlens.llm.line_dedup import boilerplate, remove_boilerplate
 from bizlens.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_sets, superminhash
 from bizlens.llm.secrets import candidates, featured, scan, weak_labels
 from bizlens.llm.substring_dedup import FMIndex, remove_repeats
-from bizlens.llm.toxicity import Scorer, held_out, reject_toxic, score_documents, token_evidence, toxic_scores, train
+from bizlens.llm.toxicity import _TOKEN, _tokens, Scorer, held_out, reject_toxic, score_documents, token_evidence, toxic_scores, train
 from llm_cases import edge_rows, edges, make_docs, no_docs, vocabulary_words  # noqa: F401
 
 
@@ -464,6 +464,14 @@ def test_offsets_are_places_of_the_text_as_it_stands(spark, toxic_rows):
         assert [texts[r["doc_id"]][x["start"]:x["stop"]].lower() for x in r["spans"]] == {1: ["fooey", "blast"], 2: ["fooey", "cursed"]}[r["doc_id"]]
 
 
+def test_tokens_of_a_text_lowered_first_are_the_same():
+    rnd = random.Random(3)
+    odd = "aZ9_ .'-\u00c9\u00df\u0130\u03a3\u03c3\u0301\u0915\u093f\u094d\u4e2d\u2014\u1e9e\U0001d400\U00010400"
+    for _ in range(5000):
+        t = "".join(rnd.choice(odd[:rnd.randint(8, len(odd))]) for _ in range(rnd.randint(0, 12)))
+        assert _tokens(t) == [w.lower() for w in _TOKEN.findall(t)]
+
+
 def test_words_with_combining_marks_are_evidence(spark, toxic_rows):
     rows, labels = toxic_rows
     truth = {i: y for i, _, y in labels}
