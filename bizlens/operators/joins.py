@@ -52,13 +52,22 @@ def overlay(a: DataFrame, b: DataFrame, key: str, cols: Mapping[str, str] | Sequ
     """Non-null values of ``b`` overwrite ``a`` at the same (unique) key.
 
     ``cols`` maps a column of ``a`` to the column of ``b`` that overrides it
-    (a list means the same names on both sides).
+    (a list means the same names on both sides).  A key of ``a`` that stands
+    twice in ``b`` raises an error when the row is computed: two values cannot
+    both win, and the rows of ``a`` never multiply.  The check groups ``b`` by
+    the key of the join, so it needs no shuffle of its own.  Null keys match nothing.
     """
     mapping = dict(cols) if isinstance(cols, Mapping) else {c: c for c in cols}
-    right = b.select(F.col(key).alias("_ok"), *[F.col(v).alias(f"_ov_{k}") for k, v in mapping.items()])
+    values = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(mapping.values())])
+    right = b.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_ok")).agg(F.first(values).alias("_ov"), F.count(F.lit(1)).alias("_on"))
     joined = a.join(right, a[key] == right["_ok"], "left")
-    out = [F.coalesce(F.col(f"_ov_{c}"), a[c]).alias(c) if c in mapping else a[c] for c in a.columns]
-    return joined.select(*out)
+    place = {c: i for i, c in enumerate(mapping)}
+    twice = F.raise_error(F.concat(F.lit("overlay: repeated key "), F.col("_ok").cast("string")))
+
+    def over(c: str):
+        return F.coalesce(F.when(F.col("_on") > 1, twice.cast(b.schema[mapping[c]].dataType)).otherwise(F.col(f"_ov.v{place[c]}")), a[c]).alias(c)
+
+    return joined.select(*[over(c) if c in mapping else a[c] for c in a.columns])
 
 
 def attach_embedding(df: DataFrame, vectors: DataFrame, name_col: str, word_col: str = "word",

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import frequent
 from .filters import is_hold
 
 NAME_COLS = ["unique_id", "bizname", "clean_name", "clean_result"]
@@ -42,18 +43,24 @@ def clean_names(df: DataFrame, id_col: str = "unique_id", name_col: str = "bizna
                         F.col("_clean").alias("clean_result"))
 
 
-def brand_dictionary(df: DataFrame, col: str = "clean_result", top_n: int = 500) -> DataFrame:
+def brand_dictionary(df: DataFrame, col: str = "clean_result", top_n: int = 500, sketched: bool = False) -> DataFrame:
     """A1 + T1/T2: the ``top_n`` most frequent names of length >= 2.
 
+    ``sketched`` finds them through frequent-items sketches (see ``frequent``),
+    for registers of so many different names that counting all of them costs
+    more than a second scan; the result is the same.
+
     Ties in frequency are broken by name (the reference leaves them
     unspecified).  ``match_order`` is the matching order: length desc, then
     count desc, then name.  The result has at most ``top_n`` rows, so the
     un-partitioned window below runs on a bounded input.
     """
-    counts = (df.where(F.length(F.col(col)) >= 2)
-              .groupBy(F.col(col).alias("brand"))
-              .agg(F.count(F.lit(1)).alias("cnt")))
-    top = counts.orderBy(F.desc("cnt"), F.asc("brand")).limit(top_n)
+    long = df.where(F.length(F.col(col)) >= 2)
+    if sketched:
+        top = frequent.most_frequent(long, col, top_n).withColumnRenamed("value", "brand")
+    else:
+        counts = long.groupBy(F.col(col).alias("brand")).agg(F.count(F.lit(1)).alias("cnt"))
+        top = counts.orderBy(F.desc("cnt"), F.asc("brand")).limit(top_n)
     order = Window.orderBy(F.length("brand").desc(), F.desc("cnt"), F.asc("brand"))
     # Bounded by top_n rows and read by several branches of the match:
     # cached so it is computed once.
@@ -146,10 +153,16 @@ def match_by_position(df: DataFrame, text_col: str, dictionary: DataFrame, keep:
     return best.join(d.select("_o", F.col("_e").alias(entry_col)), on="_o").select(*keep, entry_col)
 
 
-def keep_frequent(df: DataFrame, col: str, min_count: int) -> DataFrame:
-    """A2: keep rows whose ``col`` value occurs at least ``min_count`` times."""
-    frequent = df.groupBy(col).count().where(F.col("count") >= min_count).select(col)
-    return df.join(frequent, on=col, how="left_semi")
+def keep_frequent(df: DataFrame, col: str, min_count: int, sketched: bool = False) -> DataFrame:
+    """A2: keep rows whose ``col`` value occurs at least ``min_count`` times.
+
+    ``sketched`` finds the values through frequent-items sketches, with the same result.
+    """
+    if sketched:
+        often = frequent.at_least(df, col, min_count).select(F.col("value").alias(col))
+    else:
+        often = df.groupBy(col).count().where(F.col("count") >= min_count).select(col)
+    return df.join(often, on=col, how="left_semi")
 
 
 def hold_branches(stage1: DataFrame, top_n: int = 500, persist: bool = True

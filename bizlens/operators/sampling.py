@@ -246,3 +246,12 @@ def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") ->
     """Attach the E10 weight to every row (broadcast: one row per class)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
     return df.join(F.broadcast(w), on=label, how="left")
+
+
+def shuffle_rows(df: DataFrame, key: str, seed: int, out: str = "shuffle_key") -> DataFrame:
+    """Rows in a random order that depends on the key and the seed only.
+
+    A distributed sort by the seeded hash (``out``), ties by the key; rows of
+    one key stand together.
+    """
+    return df.withColumn(out, seeded_hash(key, seed)).orderBy(out, key)

@@ -169,17 +169,27 @@ def names_stage3(spark, sf):
     return _names(spark, sf)
 
 
-@register("brand_dictionary", with_lic(f"""
+_DICTIONARY = with_lic(f"""
 , v AS (SELECT clean_result AS brand, count(*) AS cnt FROM n2rest WHERE length(clean_result) >= 2
         GROUP BY clean_result ORDER BY cnt DESC, brand ASC LIMIT {DICT_TOP_N})
 SELECT brand, CAST(cnt AS BIGINT) AS cnt,
        CAST(row_number() OVER (ORDER BY length(brand) DESC, cnt DESC, brand ASC) AS INTEGER) AS match_order FROM v""",
-                                          names=True))
+                       names=True)
+
+
+@register("brand_dictionary", _DICTIONARY)
 def brand_dictionary(spark, sf):
     _, _, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), DICT_TOP_N)
     return dictionary
 
 
+@register("brand_dictionary_sketched", _DICTIONARY)
+def brand_dictionary_sketched(spark, sf):
+    """A1 + T2 through frequent-items sketches: the shuffle holds sketches, not the distinct names."""
+    rest, _, _ = nm.hold_branches(nm.clean_names(licences(spark, sf)), DICT_TOP_N)
+    return nm.brand_dictionary(rest, "clean_result", DICT_TOP_N, sketched=True)
+
+
 @register("dictionary_match", with_lic("""
 SELECT h.unique_id, h.hold_text, b.brand FROM n2hold h LEFT JOIN n2best b ON h.unique_id = b.unique_id""",
                                           names=True))
@@ -197,15 +207,26 @@ def dictionary_match_indexed(spark, sf):
     return nm.match_by_position(held, "hold_text", dictionary, keep=("unique_id", "hold_text"))
 
 
-@register("frequent_brands", with_lic(f"""
+_FREQUENT = with_lic(f"""
 SELECT unique_id, brand FROM n2best WHERE brand IN
-  (SELECT brand FROM n2best GROUP BY brand HAVING count(*) >= {MIN_BRAND_FREQ})""", names=True))
+  (SELECT brand FROM n2best GROUP BY brand HAVING count(*) >= {MIN_BRAND_FREQ})""", names=True)
+
+
+@register("frequent_brands", _FREQUENT)
 def frequent_brands(spark, sf):
     _, held, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), PIPE_TOP_N)
     best = nm.match_dictionary(held, "hold_text", dictionary, keep=("unique_id",))
     return nm.keep_frequent(best, "brand", MIN_BRAND_FREQ).select("unique_id", "brand")
 
 
+@register("frequent_brands_sketched", _FREQUENT)
+def frequent_brands_sketched(spark, sf):
+    """A2 through frequent-items sketches."""
+    _, held, dictionary = nm.hold_branches(nm.clean_names(licences(spark, sf)), PIPE_TOP_N)
+    best = nm.match_dictionary(held, "hold_text", dictionary, keep=("unique_id",))
+    return nm.keep_frequent(best, "brand", MIN_BRAND_FREQ, sketched=True).select("unique_id", "brand")
+
+
 # ----------------------------------------------------------------- features --
 @register("franchise_flag", with_lic(f"""
 SELECT n3.unique_id, CASE WHEN f.clean_name IS NOT NULL THEN 1 ELSE 0 END AS is_franchise

@@ -19,6 +19,7 @@ from ..operators import features as feat
 from ..operators import filters as flt
 from ..operators import joins as jn
 from ..operators import models as md
+from ..operators import paging as pg
 from ..operators import sampling as sp
 from ..operators import spatial as spt
 from ..session import scratch_path
@@ -131,12 +132,8 @@ def importance(spark, sf):
     return md.importance_table(md.fit_rf(md.training_input(over)), FEATURES, spark, 20)
 
 
-@register("experiment_table")
-def experiment_table(spark, sf):
-    """E10 + E8 + E9 + E13 + E15: four class-imbalance strategies compared on the
-    hold-out set: class weights, undersampling, oversampling, and oversampling
-    with the parameters tuned by cross-validation."""
-    sample, test = _train_test(spark, sf)
+def _strategies(sample: DataFrame, test: DataFrame, trees: int = md.RF_TREES, **grid) -> DataFrame:
+    """(strategy, metric, value) of four treatments of the rare class on one sample and one hold-out set."""
     sample = md.training_input(sample)
     runs = {
         "class_weights": (sp.with_class_weights(sample, "closed"), "weight"),
@@ -144,15 +141,19 @@ def experiment_table(spark, sf):
         "oversample": (sp.oversample(sample, "closed", "unique_id", SAMPLE_SEED), None),
     }
     models = md.fit_concurrently({
-        name: (lambda t=train, w=wcol: md.fit_rf(md.training_input(t), weight_col=w))
+        name: (lambda t=train, w=wcol: md.fit_rf(md.training_input(t), weight_col=w, trees=trees))
         for name, (train, wcol) in runs.items()})
     folded = sample.withColumn("fold", md.fold_column("unique_id"))
-    models["tuned"] = md.grid_search(md.training_input(sp.oversample(folded, "closed", "unique_id", SAMPLE_SEED))).bestModel
-    out = None
-    for name in models:
-        ev = md.evaluate(md.score(models[name], test)).select(F.lit(name).alias("strategy"), "metric", "value")
-        out = ev if out is None else out.unionByName(ev)
-    return out
+    models["tuned"] = md.grid_search(md.training_input(sp.oversample(folded, "closed", "unique_id", SAMPLE_SEED)), trees=trees, **grid).bestModel
+    return pg.union_all(*[md.evaluate(md.score(model, test)).select(F.lit(name).alias("strategy"), "metric", "value") for name, model in models.items()])
+
+
+@register("experiment_table")
+def experiment_table(spark, sf):
+    """E10 + E8 + E9 + E13 + E15: four class-imbalance strategies compared on the
+    hold-out set: class weights, undersampling, oversampling, and oversampling
+    with the parameters tuned by cross-validation."""
+    return _strategies(*_train_test(spark, sf))
 
 
 @register("grid_search")
@@ -168,6 +169,20 @@ def grid_search(spark, sf):
     return md.evaluate(md.score(best, test)).select(params.alias("best_params"), "metric", "value")
 
 
+def _feature_sets(variants: dict[str, DataFrame], strata=("service", "closed"), rounds: int = md.GBT_ROUNDS) -> DataFrame:
+    """(feature_set, metric, value): boosted trees on each variant of the features, same split and sample."""
+
+    def run(df):
+        train, test = sp.split(df, list(strata), 0.1, "unique_id", SPLIT_SEED, materialize=True)
+        sample = sp.sample_to(train, ["closed"], SAMPLE_TARGET, "unique_id", SAMPLE_SEED).where("sampled")
+        over = sp.oversample(sample.drop("sampled"), "closed", "unique_id", SAMPLE_SEED, keep_originals=True)
+        return md.fit_gbt(md.training_input(over), rounds=rounds), test
+
+    fitted = md.fit_concurrently({name: (lambda d=df: run(d)) for name, df in variants.items()})
+    return pg.union_all(*[md.evaluate(md.score(model, test)).select(F.lit(name).alias("feature_set"), "metric", "value")
+                          for name, (model, test) in fitted.items()])
+
+
 @register("feature_experiment")
 def feature_experiment(spark, sf):
     """E16 (+A3/J1, J2, C16): base features vs +franchise flag vs +name embedding, boosted trees."""
@@ -188,18 +203,7 @@ def feature_experiment(spark, sf):
             jn.left_join_prefix(base, flat, "unique_id", "embedding_", 0.0)).drop("features")
         .withColumnRenamed("f2", "features"),
     }
-    def run(df):
-        train, test = sp.split(df, ["service", "closed"], 0.1, "unique_id", SPLIT_SEED, materialize=True)
-        sample = sp.sample_to(train, ["closed"], SAMPLE_TARGET, "unique_id", SAMPLE_SEED).where("sampled")
-        over = sp.oversample(sample.drop("sampled"), "closed", "unique_id", SAMPLE_SEED, keep_originals=True)
-        return md.fit_gbt(md.training_input(over)), test
-
-    fitted = md.fit_concurrently({name: (lambda d=df: run(d)) for name, df in variants.items()})
-    out = None
-    for name, (model, test) in fitted.items():
-        ev = md.evaluate(md.score(model, test)).select(F.lit(name).alias("feature_set"), "metric", "value")
-        out = ev if out is None else out.unionByName(ev)
-    return out
+    return _feature_sets(variants)
 
 
 @register("embedding_export")
@@ -327,6 +331,37 @@ def grid_planted(spark, sf):
     return md.evaluate(md.score(cv.bestModel, test))
 
 
+_METRICS = "(SELECT unnest(['auc', 'accuracy', 'precision_1', 'recall_1', 'f1_1']) AS metric)"
+
+
+@register("experiment_planted", with_lic(DUCK_HOLDOUT + f"""
+SELECT strategy, metric, CAST(1.0 AS DOUBLE) AS value
+FROM (SELECT unnest(['class_weights', 'undersample', 'oversample', 'tuned']) AS strategy) s, {_METRICS} m WHERE (SELECT count(*) FROM held) > 0"""))
+def experiment_planted(spark, sf):
+    """E15 where the answer is known: every treatment of the rare class finds the planted rule."""
+    return _strategies(*_planted(spark, sf), trees=10, depths=(3,), min_leaf=(1,))
+
+
+@register("feature_planted", with_lic(f"""
+, flag AS (SELECT l.unique_id, coalesce(f.is_franchise, 0) AS closed FROM lic l LEFT JOIN (
+    SELECT n3.unique_id, 1 AS is_franchise FROM n3 JOIN (SELECT clean_name FROM n3 GROUP BY clean_name HAVING count(*) >= {FRANCHISE_MIN}) f
+    ON n3.clean_name = f.clean_name) f ON l.unique_id = f.unique_id),
+two AS (SELECT count(DISTINCT closed) > 1 AS has_both FROM flag)
+SELECT feature_set, metric, feature_set = 'franchise' AS perfect FROM (SELECT unnest(['base', 'franchise']) AS feature_set) s, {_METRICS} m
+WHERE (SELECT has_both FROM two)""", names=True))
+def feature_planted(spark, sf):
+    """E16 where the answer is known: the label is the franchise flag, so the features with the flag are right on every row and those without it are not."""
+    from pyspark.ml.feature import VectorAssembler
+    flag = feat.franchise_flag(_names(spark, sf), FRANCHISE_MIN)
+    rows = jn.left_join_default(licences(spark, sf).select("unique_id", "service"), flag, "unique_id", {"is_franchise": 0})
+    rows = md.label_encode(rows.withColumn("closed", F.col("is_franchise")), ["service"]).persist(StorageLevel.MEMORY_AND_DISK)
+    if rows.select("closed").distinct().count() < 2:
+        return spark.createDataFrame([], "feature_set string, metric string, perfect boolean")
+    variants = {name: VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
+                for name, cols in (("base", ["service_index"]), ("franchise", ["service_index", "is_franchise"]))}
+    return _feature_sets(variants, ["closed"], rounds=3).select("feature_set", "metric", (F.col("value") == 1.0).alias("perfect"))
+
+
 @register("importance_planted", with_lic("SELECT 'service_index' AS feature, CAST(1.0 AS DOUBLE) AS importance WHERE (SELECT count(*) FROM lic) > 0"))
 def importance_planted(spark, sf):
     """A12 where the answer is known: the one feature carries all the importance."""

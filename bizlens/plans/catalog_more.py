@@ -3,6 +3,8 @@ helpers.  See ``catalog`` for the conventions."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +13,15 @@ from ..functions.hashing import duck_hash, seeded_hash
 from ..operators import address as ad
 from ..operators import features as feat
 from ..operators import filters as flt
+from ..operators import frequent as fq
 from ..operators import joins as jn
 from ..operators import metrics as mt
 from ..operators import paging as pg
 from ..operators import sampling as sp
 from ..operators import summaries as sm
+from ..session import scratch_path
 from ..sources.licences import address_responses, licences
-from ..sources.tables import enforce_schema, read_source
+from ..sources.tables import enforce_schema, read_source, write_colocated
 from . import duck
 from .catalog import (FRANCHISE_MIN, RARE_CLOSURES, SAMPLE_TARGET, WINDOW_YEAR, _names, register,
                       with_lic)
@@ -396,6 +400,27 @@ def prefix_join(spark, sf):
     return jn.left_join_prefix(lic, flat, "unique_id", "embedding_", 0.0)
 
 
+@register("colocated_features", with_lic(f"""
+, flat AS (SELECT e.vec_id, {_duck_flat()} FROM embeddings e),
+flag AS (SELECT n3.unique_id, CASE WHEN f.clean_name IS NOT NULL THEN 1 ELSE 0 END AS is_franchise
+         FROM n3 LEFT JOIN (SELECT clean_name FROM n3 GROUP BY clean_name HAVING count(*) >= {FRANCHISE_MIN}) f ON n3.clean_name = f.clean_name)
+SELECT l.unique_id, l.service, l.closed, coalesce(g.is_franchise, 0) AS is_franchise,
+       {', '.join(f'coalesce(f.embedding_{i}, 0.0) AS embedding_{i}' for i in range(EMB_DIM))}
+FROM lic l LEFT JOIN flag g ON l.unique_id = g.unique_id LEFT JOIN flat f ON l.unique_id = f.vec_id""", names=True))
+def colocated_features(spark, sf):
+    """S3 + J1 + J2: licences, flags and vectors saved once in buckets of the licence id; their joins move no row."""
+    flags = feat.franchise_flag(_names(spark, sf), min_count=FRANCHISE_MIN)
+    lic = licences(spark, sf).select("unique_id", "service", "closed")
+    ident = F.col("vec_id").cast(lic.schema["unique_id"].dataType).alias("unique_id")
+    flat = feat.flatten_array(read_source(spark, sf, "embeddings"), "embedding", "embedding_", EMB_DIM, keep=[ident])
+    tag, saved = uuid.uuid4().hex, {}
+    for name, df in (("licences", lic), ("flags", flags), ("vectors", flat)):
+        table = f"colocated_{name}_{tag}"
+        saved[name] = write_colocated(df, table, "unique_id", path=scratch_path(spark, table))
+    flagged = jn.left_join_default(saved["licences"], saved["flags"], "unique_id", {"is_franchise": 0})
+    return jn.left_join_prefix(flagged, saved["vectors"], "unique_id", "embedding_", 0.0)
+
+
 @register("overlay", with_lic(f"""{DUCK_PARSED}
 SELECT l.unique_id, coalesce(p.siNm, l.sido) AS sido, coalesce(p.sggNm, l.sigungu) AS sigungu,
        coalesce(p.emdNm, l.dong) AS dong, l.service
@@ -454,6 +479,18 @@ def top_dongs(spark, sf):
     return pg.top_n(agg, 10, [F.desc("n_closed"), F.asc("dong")])
 
 
+TOP_TOKENS = 50
+
+
+@register("top_tokens", f"""
+SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS token FROM documents) t
+GROUP BY token ORDER BY cnt DESC, token ASC LIMIT {TOP_TOKENS}""")
+def top_tokens(spark, sf):
+    """T2 through sketches: the most frequent words of all documents (a top-k report: the limit is the feature)."""
+    words = read_source(spark, sf, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("token")).where("token <> ''")
+    return fq.most_frequent(words, "token", TOP_TOKENS).withColumnRenamed("value", "token")
+
+
 @register("distinct_strata", with_lic("""
 SELECT DISTINCT concat_ws('_', CAST(service AS VARCHAR), CAST(closed AS VARCHAR)) AS stratify_col FROM lic"""))
 def distinct_strata(spark, sf):
@@ -545,8 +582,7 @@ def keep_in(spark, sf):
 SELECT unique_id, {_h(11)} AS shuffle_key FROM lic"""))
 def shuffle_rows(spark, sf):
     """Seeded full shuffle = distributed sort by a seeded hash."""
-    lic = licences(spark, sf).select("unique_id", seeded_hash("unique_id", 11).alias("shuffle_key"))
-    return lic.orderBy("shuffle_key", "unique_id")
+    return sp.shuffle_rows(licences(spark, sf).select("unique_id"), "unique_id", 11)
 
 
 @register("closure_year", with_lic("""
