@@ -9,13 +9,20 @@ into one piece more than its error budget, so one piece stands there unchanged:
 2. Each hit gives a window where the item would stand; overlapping windows of an item are merged.
 3. Myers' bit-parallel algorithm computes the least edit distance of the item in each window.
 
+Items of fewer than ``min_chars`` characters are searched as well, without edits
+and on word borders only, since an edit would turn them into ordinary text.  Of a
+short formula or piece of code little is left without its signs: where they are
+at least a third of it, white space aside, the item is compared with all its
+characters, in lower case with runs of white space as one blank.  A short item that is an ordinary
+phrase therefore finds every document that holds the phrase; callers who do not
+want that take such items out of ``benchmark``.
+
 Items go to the tasks in blocks of bounded size (``block_chars``; the documents
 are read once a block), whatever the size of the benchmark.
 
-Edge cases: null or empty texts match nothing; items of fewer than
-``min_chars`` characters are too short to tell from ordinary text and match
-nothing; repeated documents and repeated items each give their own rows; empty
-tables give an empty result; extra columns are ignored.
+Edge cases: null, empty and blank texts match nothing, nor do such items; repeated
+documents and repeated items each give their own rows; empty tables give an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,10 +48,45 @@ def normal(text: str | None) -> str:
     return " ".join(_WORD.findall((text or "").lower()))
 
 
+def signs(text: str | None) -> str:
+    """The text with its signs: lower case, white space as single blanks."""
+    return " ".join((text or "").lower().split())
+
+
 def budget(n: int, rate: float) -> int:
     return int(n * rate)
 
 
+class Item(NamedTuple):
+    """An item as it is searched: in the signs form or the normal one, with ``errors`` edits, or exactly on word borders."""
+
+    item_id: int
+    text: str
+    errors: int
+    exact: bool
+    signs: bool
+
+
+def prepare(item_id: int, text: str | None, rate: float, min_chars: int) -> Item | None:
+    """The form in which an item is searched; None for a blank one."""
+    plain, whole = normal(text), signs(text)
+    if not whole:
+        return None
+    if len(plain) >= min_chars:
+        return Item(item_id, plain, budget(len(plain), rate), False, False)
+    if 3 * len(plain.replace(" ", "")) <= 2 * len(whole.replace(" ", "")):
+        return Item(item_id, whole, 0, True, True)
+    return Item(item_id, plain, 0, True, False)
+
+
+def on_borders(text: str, a: int, b: int) -> bool:
+    """Whether ``text[a:b]`` cuts no word at its ends."""
+    def inside(i: int) -> bool:
+        return 0 < i < len(text) and bool(_WORD.match(text[i - 1])) and bool(_WORD.match(text[i]))
+
+    return not inside(a) and not inside(b)
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """``errors + 1`` pieces (place, text) of nearly equal length."""
     cuts = [i * len(item) // (errors + 1) for i in range(errors + 2)]
@@ -80,36 +123,50 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
 class Finder:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[Item]):
+        self.items = items
+        #: the form of the texts and an automaton over the pieces of the items in that form; only what the block needs
+        self.autos = [(form, self._automaton([k for k, i in enumerate(items) if i.signs == kind])) for kind, form in ((False, normal), (True, signs))
+                      if any(i.signs == kind for i in items)]
+
+    def _automaton(self, own: list[int]):
         import ahocorasick
 
-        self.items = [(i, t, budget(len(t), rate)) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, t, e) in enumerate(self.items):
-            for at, p in pieces(t, e):
+        for k in own:
+            for at, p in pieces(self.items[k].text, self.items[k].errors):
                 places.setdefault(p, []).append((k, at))
-        self.auto = ahocorasick.Automaton()
-        for p, own in places.items():
-            self.auto.add_word(p, (len(p), own))
-        self.auto.make_automaton()
+        auto = ahocorasick.Automaton()
+        for p, hits in places.items():
+            auto.add_word(p, (len(p), hits))
+        auto.make_automaton()
+        return auto
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, errors allowed, end in the normal text) of every item that stands in the normal text."""
+        """(item_id, distance, errors allowed, end in the searched form of the text) of every item that stands in the text."""
+        return [f for form, auto in self.autos for f in self._search(auto, form(text))]
+
+    def _search(self, auto, text: str) -> list[tuple[int, int, int, int]]:
         windows: dict[int, list[list[int]]] = {}
-        for end, (n, own) in self.auto.iter(text):
+        exact: dict[int, int] = {}
+        for end, (n, own) in auto.iter(text):
             for k, at in own:
-                _, t, e = self.items[k]
-                a = max(end + 1 - n - at - e, 0)
-                b = end + 1 - n - at + len(t) + e
+                item = self.items[k]
+                if item.exact:
+                    if k not in exact and on_borders(text, end + 1 - n, end + 1):
+                        exact[k] = end + 1
+                    continue
+                a = max(end + 1 - n - at - item.errors, 0)
+                b = end + 1 - n - at + len(item.text) + item.errors
                 had = windows.setdefault(k, [])
                 if had and a <= had[-1][1]:
                     had[-1][0] = min(had[-1][0], a)
                     had[-1][1] = max(had[-1][1], b)
                 else:
                     had.append([a, b])
-        out = []
+        out = [(self.items[k].item_id, 0, 0, end) for k, end in exact.items()]
         for k, had in windows.items():
-            i, t, e = self.items[k]
+            i, t, e = self.items[k][:3]
             best, end = e + 1, -1
             for a, b in had:
                 d, j = myers(t, text[a:b], e)
@@ -122,14 +179,15 @@ class Finder:
         return out
 
 
-def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, error_rate: float, min_chars: int, block_chars: int) -> Iterator[list[Item]]:
     """Items in blocks of about ``block_chars`` characters (an item longer than that is a block of its own)."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // max(1, block_chars // 2)))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text", block.alias("block"))
     for b in range(n):
-        items = [(r["item_id"], t) for r in rows.where(F.col("block") == b).orderBy("item_id", "text").toLocalIterator() if len(t := normal(r["text"])) >= min_chars]
+        items = [i for r in rows.where(F.col("block") == b).orderBy("item_id", "text").toLocalIterator()
+                 if (i := prepare(r["item_id"], r["text"], error_rate, min_chars))]
         if items:
             yield items
 
@@ -141,14 +199,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 
     def search(items):
         def run(batches):
-            finder = Finder(items, error_rate)
+            finder = Finder(items)
             for batch in batches:
-                found = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for f in finder.find(normal(t))]
+                found = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for f in finder.find(t)]
                 cols = list(zip(*found)) if found else [()] * 5
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "item_id", "distance", "allowed", "end"), cols)})
         return map_batches(texts, run, schema)
 
-    parts = [search(items) for items in _blocks(benchmark, min_chars, block_chars)]
+    parts = [search(items) for items in _blocks(benchmark, error_rate, min_chars, block_chars)]
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, parts)
@@ -160,12 +218,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
 
     def clean(items):
         def run(batches):
-            finder = Finder(items, error_rate)
+            finder = Finder(items)
             for batch in batches:
-                fine = [not (t and finder.find(normal(t))) for t in batch.column(at).to_pylist()]
+                fine = [not (t and finder.find(t)) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(fine, pa.bool_()))
         return run
 
-    for items in _blocks(benchmark, min_chars, block_chars):
+    for items in _blocks(benchmark, error_rate, min_chars, block_chars):
         docs = map_batches(docs, clean(items), docs.schema)
     return docs

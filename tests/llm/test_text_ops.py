@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizlens.llm import quality
-from bizlens.llm.decontamination import contaminated, decontaminate, myers, normal
+from bizlens.llm.decontamination import contaminated, decontaminate, myers, normal, signs
 from bizlens.llm.html_text import extract, main_text
 from bizlens.llm.line_dedup import boilerplate, remove_boilerplate
 from bizlens.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_sets, superminhash
@@ -247,7 +247,7 @@ def test_myers_equals_dynamic_programme():
 def test_decontamination(spark, edges, no_docs):
     rnd, vocab = random.Random(9), vocabulary_words()
     text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
-    items = [(k, text(rnd.randint(12, 40))) for k in range(12)] + [(90, None), (91, ""), (92, "too short"), (0, text(20))]
+    items = [(k, text(rnd.randint(12, 40))) for k in range(12)] + [(90, None), (91, ""), (92, " \n"), (0, text(20))]
     rows, n = edge_rows(), 500
     for k, t in items[:12]:
         chars = list(t)
@@ -275,6 +275,41 @@ def test_decontamination(spark, edges, no_docs):
     assert contaminated(no_docs, bench).count() == 0 and decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_short_items_of_a_benchmark(spark):
+    """Items under the length that admits edits: exact, on word borders, with their signs where little else is left."""
+    bench = spark.createDataFrame([(1, "Ohm's law, briefly"), (2, "x^2 + y^2 = z^2"), (3, "cat"), (4, "!!! ???"), (5, "{ }"), (6, "Straße Ünal"), (3, "cat")], "item_id bigint, text string")
+    texts = {
+        10: "first OHM S LAW: briefly!", 11: "ohm's law briefl", 12: "so x^2 +  y^2\n= z^2 holds", 13: "x^2 + y^2 = z^22", 14: "max^2 + y^2 = z^2",
+        15: "x 2 y 2 z 2", 16: "concatenate category", 17: "a cat.", 18: "cat", 19: "what!!! ???", 20: "if (a) { } else", 21: "die straße ünal", 22: "STRASSE ÜNAL",
+        23: None, 24: "", 25: " ", 26: "cat " * 40_000,
+    }
+    docs = make_docs(spark, [(k, t, "s") for k, t in texts.items()])
+    want = {(10, 1), (12, 2), (17, 3), (18, 3), (26, 3), (19, 4), (20, 5), (21, 6)}
+    for block in (1_000_000, 8):
+        rows = contaminated(docs, bench, block_chars=block).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == want and all(r["distance"] == r["allowed"] == 0 for r in rows)
+        assert len(rows) == len(want) + 3  # the repeated item gives its own rows
+        assert {r["doc_id"] for r in decontaminate(docs, bench, block_chars=block).collect()} == set(texts) - {d for d, _ in want}
+
+
+def test_short_items_against_a_plain_search(spark):
+    import re
+
+    rnd = random.Random(15)
+    items = [(k, "".join(rnd.choice("ab +=") for _ in range(rnd.randint(1, 6)))) for k in range(60)]
+    texts = ["".join(rnd.choice("aab  +=") for _ in range(rnd.randint(0, 40))) for _ in range(80)]
+    want = set()
+    for k, item in items:
+        words = "".join(re.findall(r"\w", item))
+        form = signs if 3 * len(words) <= 2 * len(re.sub(r"\s", "", item)) else normal
+        if p := form(item):
+            border = (r"(?<!\w)" if p[0] in "ab" else "") + re.escape(p) + (r"(?!\w)" if p[-1] in "ab" else "")
+            want |= {(d, k) for d, t in enumerate(texts) if re.search(border, form(t))}
+    docs = make_docs(spark, [(d, t, "s") for d, t in enumerate(texts)])
+    got = contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 50
+
+
 # --- op7 ------------------------------------------------------------------
 @pytest.mark.parametrize("html,want", [
     (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a  b\n c<p>d &lt;e", "a b c\nd <e"),
