@@ -362,6 +362,32 @@ def feature_planted(spark, sf):
     return _feature_sets(variants, ["closed"], rounds=3).select("feature_set", "metric", (F.col("value") == 1.0).alias("perfect"))
 
 
+def _compare_models(rows: DataFrame, index_cols: list[str], trees: int = md.RF_TREES, rounds: int = md.GBT_ROUNDS) -> DataFrame:
+    """(model, metric, value): forest and boosted trees on the same 80:20 split of one-hot features, all training rows kept."""
+    vecs = [f"{c}_vec" for c in index_cols]
+    feats = md.assemble(md.one_hot(rows, index_cols), include=vecs).select("unique_id", "service", "closed", "features")
+    train, test = sp.split(feats, ["service", "closed"], 0.2, "unique_id", SPLIT_SEED, materialize=True)
+    fitted = md.fit_concurrently({"forest": lambda: md.fit_rf(train, trees=trees), "boosted": lambda: md.fit_gbt(train, rounds=rounds)})
+    return pg.union_all(*[md.evaluate(md.score(model, test)).select(F.lit(name).alias("model"), "metric", "value") for name, model in fitted.items()])
+
+
+@register("model_comparison")
+def model_comparison(spark, sf):
+    """E2 + E6 + E11 + E12 + E14: forest against boosted trees on one-hot region, industry and operating period, 80:20, all training rows."""
+    lic = flt.in_window(_with_bucket(licences(spark, sf)), "closure_date", WINDOW_YEAR)
+    cols = ["sido", "sigungu", "service", "operating_bucket"]
+    return _compare_models(md.label_encode(lic, cols), [f"{c}_index" for c in cols])
+
+
+@register("comparison_planted", with_lic(f"""
+SELECT model, metric, CAST(1.0 AS DOUBLE) AS value FROM (SELECT unnest(['forest', 'boosted']) AS model) s, {_METRICS} m
+WHERE (SELECT count(DISTINCT {PLANTED}) FROM lic) = 2"""))
+def comparison_planted(spark, sf):
+    """The same comparison where the answer is known: both models find the planted rule on every hold-out row."""
+    rows = licences(spark, sf).select("unique_id", "service").withColumn("closed", F.expr(PLANTED))
+    return _compare_models(md.label_encode(rows, ["service"]), ["service_index"], trees=20, rounds=5)
+
+
 @register("importance_planted", with_lic("SELECT 'service_index' AS feature, CAST(1.0 AS DOUBLE) AS importance WHERE (SELECT count(*) FROM lic) > 0"))
 def importance_planted(spark, sf):
     """A12 where the answer is known: the one feature carries all the importance."""
