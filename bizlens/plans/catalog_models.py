@@ -52,14 +52,23 @@ DUCK_LB = f"""
 """
 
 
-@register("label_encode", with_lic(DUCK_LB + f"""
-SELECT unique_id, {', '.join(f'{_duck_index(c)} AS {c}_index' for c in CAT_COLS)} FROM lb"""))
+_INDEXED = with_lic(DUCK_LB + f"""
+SELECT unique_id, {', '.join(f'{_duck_index(c)} AS {c}_index' for c in CAT_COLS)} FROM lb""")
+
+
+@register("label_encode", _INDEXED)
 def label_encode(spark, sf):
     """Ordinal encoding of the six categorical features."""
     lic = _with_bucket(licences(spark, sf))
     return md.label_encode(lic, CAT_COLS).select("unique_id", *FEATURES)
 
 
+@register("label_encode_joined", _INDEXED)
+def label_encode_joined(spark, sf):
+    """E1 by ranked category tables, for columns of any number of categories."""
+    return md.label_encode_joined(_with_bucket(licences(spark, sf)), CAT_COLS).select("unique_id", *FEATURES)
+
+
 SEGMENTS = 5
 
 

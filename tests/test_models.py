@@ -79,3 +79,13 @@ def test_word_pairs_count_both_directions(spark):
     names = spark.createDataFrame([("a b c",), ("a b c",), ("c",), ("a a",)], "clean_name string")
     got = {(r.a, r.b): r.n for r in em.word_pairs(names, window=1).collect()}
     assert got == {("a", "b"): 2, ("b", "a"): 2, ("b", "c"): 2, ("c", "b"): 2, ("a", "a"): 2}
+
+
+def test_joined_labels_equal_those_of_the_indexer(spark):
+    rows = [(i, v, None if i % 7 == 0 else i % 5) for i, v in enumerate(["b", "a", "a", None, "hot", "", "é", "Z", "b"] + ["hot"] * 40 + [f"c{k}" for k in range(30)])]
+    df = spark.createDataFrame(rows, "unique_id int, name string, number int").repartition(5)
+    one = md.label_encode(df, ["name", "number"])
+    two = md.label_encode_joined(df, ["name", "number"])
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    nulls = md.label_encode_joined(df.where("name IS NULL"), ["name"])
+    assert [r["name_index"] for r in nulls.collect()] == [0] and md.label_encode_joined(df.limit(0), ["name"]).count() == 0
