@@ -28,6 +28,8 @@ from ..session import ensure_checkpoint_dir
 PARTS = 16
 #: Values that a sketch tracks.
 TRACKED = 8192
+#: Characters of all candidates up to which they are sent to the tasks; longer ones are joined by a shuffle.
+SENT_CHARS = 8_000_000
 #: A sketch of a map of M places errs by at most 3.5 / M of its rows, and Spark makes M at least tracked / 0.75.
 ERROR = 3.5 * 0.75
 
@@ -48,9 +50,12 @@ def candidates(df: DataFrame, col: str, report: int, tracked: int = TRACKED) ->
         F.expr(f"approx_top_k(value, {int(report)}, {int(tracked)})").alias("top"), F.count(F.lit(1)).alias("n")).checkpoint()
     missed = F.floor(2 * ERROR * F.col("n") / tracked)
     full = F.when(F.size("top") >= report, F.array_min(F.transform("top", lambda t: t["count"]))).otherwise(F.lit(0))
-    total = sketched.agg(F.max(F.greatest(missed, full)).alias("bound"), F.sum("n").alias("n")).first()
+    chars = F.aggregate("top", F.lit(0).cast("bigint"), lambda s, t: s + F.length(t["item"].cast("string")))
+    total = sketched.agg(F.max(F.greatest(missed, full)).alias("bound"), F.sum("n").alias("n"), F.sum(chars).alias("chars")).first()
     named = sketched.select(F.explode("top").alias("t")).select(F.col("t.item").alias("value"))
-    exact = _counted(rows.join(F.broadcast(named), "value", "left_semi"), "value").checkpoint()
+    if (total["chars"] or 0) <= SENT_CHARS:
+        named = F.broadcast(named)
+    exact = _counted(rows.join(named, "value", "left_semi"), "value").checkpoint()
     return exact, int(total["bound"] or 0), int(total["n"] or 0)
 
 

@@ -74,3 +74,9 @@ def test_names_by_sketches(spark):
     assert sorted(map(tuple, nm.brand_dictionary(df, top_n=20, sketched=True).collect())) == sorted(map(tuple, plain)) and len(plain) == 20
     assert (sorted(nm.keep_frequent(df, "clean_result", 50, sketched=True).collect())
             == sorted(nm.keep_frequent(df, "clean_result", 50).collect()))
+
+
+def test_long_values_are_not_sent_to_the_tasks(spark, monkeypatch):
+    values = SHAPES["hot"]
+    monkeypatch.setattr(fq, "SENT_CHARS", 10)
+    assert [tuple(r) for r in fq.most_frequent(table(spark, values), "v", 5).collect()] == want(values, 5)
