@@ -89,3 +89,26 @@ def test_joined_labels_equal_those_of_the_indexer(spark):
     assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     nulls = md.label_encode_joined(df.where("name IS NULL"), ["name"])
     assert [r["name_index"] for r in nulls.collect()] == [0] and md.label_encode_joined(df.limit(0), ["name"]).count() == 0
+
+
+def test_equal_rows_train_as_one_with_their_number(spark):
+    """Trees on collapsed rows: boosted ones are those of the single rows, a forest's votes differ by its draws only."""
+    df = spark.range(3000).select(F.col("id").alias("unique_id"), (F.col("id") % 4).cast("int").alias("a"), (F.col("id") % 3).cast("int").alias("b"))
+    df = df.withColumn("closed", F.when((F.col("a") == 1) | ((F.col("b") == 2) & (F.col("unique_id") % 5 < 2)), 1).otherwise(0))
+    by = ["a", "b", "closed"]
+    groups = md.collapsed(df, by)
+    assert groups.agg(F.sum("weight")).first()[0] == 3000 and groups.count() == df.select(*by).distinct().count() == 15
+    on = lambda rows: md.assemble(md.one_hot(rows, ["a", "b"]), include=["a_vec", "b_vec"])
+    few, all_rows = on(groups), on(df)
+
+    def votes(model):
+        return {(r.a, r.b): r.p_closed for r in md.score(model, few, keep=["a", "b"]).collect()}
+
+    one, two = votes(md.fit_gbt(few, weight_col="weight", rounds=4, depth=3)), votes(md.fit_gbt(all_rows, rounds=4, depth=3))
+    assert len(one) == 12 and all(abs(one[k] - two[k]) < 1e-9 for k in two)
+    forest = md.fit_rf_collapsed(few, by, trees=20, depth=6)
+    one, two = votes(forest), votes(md.fit_rf(all_rows, trees=20, depth=6))
+    assert all(abs(one[k] - two[k]) < 0.15 for k in two) and one == votes(forest)
+    got = {(r.a, r.b): r.prediction for r in md.score(forest, few, keep=["a", "b"]).collect()}
+    assert all(p == (a == 1) for (a, b), p in got.items())
+    assert votes(md.fit_rf_collapsed(few, by, trees=20, depth=6)) == one
