@@ -112,3 +112,12 @@ def test_equal_rows_train_as_one_with_their_number(spark):
     got = {(r.a, r.b): r.prediction for r in md.score(forest, few, keep=["a", "b"]).collect()}
     assert all(p == (a == 1) for (a, b), p in got.items())
     assert votes(md.fit_rf_collapsed(few, by, trees=20, depth=6)) == one
+
+
+def test_embedding_tasks_follow_the_names(spark, monkeypatch):
+    asked, real = [], md.Word2Vec
+    monkeypatch.setattr(md, "Word2Vec", lambda **kw: asked.append(kw["numPartitions"]) or real(**kw))
+    monkeypatch.setattr(md, "W2V_ROWS", 4)
+    for n in (32, 50):
+        md.train_name_embedding(spark.range(n).select(F.concat(F.lit("a b"), F.col("id")).alias("clean_name")), iters=1, dim=2)
+    assert asked == [8, 13]

@@ -135,3 +135,16 @@ def test_base_is_read_three_times_and_never_shuffled(spark):
     out.collect()
     assert seen.value <= 3 * 3000
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_and_sample_equals_split_then_sample(spark):
+    """Selections made on narrow rows give the rows of split and sample_to; a null and a repeated key among them."""
+    df = spark.range(4000).select(F.when(F.col("id") == 7, None).when(F.col("id") == 8, 9).otherwise(F.col("id")).alias("unique_id"),
+                                  (F.col("id") % 3).cast("string").alias("service"), (F.col("id") % 5 == 0).cast("int").alias("closed")).repartition(4)
+    wide = df.withColumn("feature", F.col("unique_id") / 2)
+    sample, test = sp.split_and_sample(wide, ["service", "closed"], 0.1, ["closed"], 100, "unique_id", 5, 6)
+    train, want = sp.split(wide, ["service", "closed"], 0.1, "unique_id", 5)
+    drawn = sp.sample_to(train, ["closed"], 100, "unique_id", 6).where("sampled").drop("sampled")
+    for got, expected in ((sample, drawn), (test, want)):
+        rows = sorted(map(str, got.collect()))
+        assert len(rows) >= 100 and rows == sorted(map(str, expected.collect())) and got.columns == wide.columns
