@@ -15,7 +15,9 @@
    holds a whole cluster.  Only links that join groups are emitted.
 5. *Union-find* as joins: least label with pointer jumping over the links.
 
-Links, groups and sets stay distributed; the driver sees row counts only.
+Links, groups and sets stay distributed; the driver sees row counts only.  The
+tasks of a round over links follow their number, not the session's shuffle
+partitions, and what a round has written goes once the next one has read it.
 
 Edge cases: null, empty and blank texts have an empty set and link with
 nothing; a text of 1 to 4 words is one shingle; repeated rows are copies;
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators.paging import global_index
 
-from .common import map_batches, slices, stored
+from .common import discard, map_batches, slices, stored
 
 WORDS = 5
 SIMILARITY_PCT = 75
@@ -42,6 +44,8 @@ BANDS, ROWS = 32, 4
 SLICE_CHARS = 600_000
 #: Bounds of a block of step 4: classes and shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 150_000
+#: Links of a task: rounds over a few links take a few tasks.
+LINK_ROWS = 100_000
 #: Star rounds go on while at least this share of the confirmed pairs are links.
 STAR_YIELD, MAX_STAR_ROUNDS = 0.1, 3
 
@@ -160,19 +164,27 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
     return map_batches(rows, run, "cls binary, n bigint, set array<bigint>").dropDuplicates(["cls"])
 
 
+def _tasks(rows: int) -> int:
+    """Tasks for so many links or nodes."""
+    return max(1, -(-rows // LINK_ROWS))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node: least label, spread over the links with pointer jumping."""
-    both = stored(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    tasks = _tasks(2 * links.count())
+    both = stored(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct().coalesce(tasks), "links")
+    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).coalesce(tasks), "labels")
     while True:
         near = both.join(label, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root", F.lit(None).cast(label.schema["root"].dataType).alias("old"))
-        step = label.select("node", "root", F.col("root").alias("old")).unionAll(near).groupBy("node").agg(F.min("root").alias("next"), F.max("old").alias("old"))
+        step = label.select("node", "root", F.col("root").alias("old")).unionAll(near).coalesce(tasks).groupBy("node").agg(F.min("root").alias("next"), F.max("old").alias("old")).coalesce(tasks)
         up = label.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         new = stored(step.join(up, F.col("next") == F.col("n2"), "left").select(
-            "node", F.least("next", F.coalesce("r2", "next")).alias("root"), "old"), "labels")
+            "node", F.least("next", F.coalesce("r2", "next")).alias("root"), "old").coalesce(tasks), "labels")
         changed = new.where("root <> old").limit(1).count()
+        discard(label)
         label = new.select("node", "root")
         if not changed:
+            discard(both)
             return label
 
 
@@ -247,14 +259,16 @@ def _block_links(pct: int):
 
 
 def _blocks(members: DataFrame, sets: DataFrame, roots: DataFrame | None, pct: int) -> DataFrame:
-    """Links missed by the star rounds, from the buckets that still hold several groups."""
+    """Links missed by the star rounds, from the buckets that still hold several groups (stored)."""
     labelled = _labelled(members, roots)
     open_keys = _pivots(labelled, 0)
     rows = stored(members.join(open_keys, "key").select("cls", "pivot").distinct(), "open")
     clusters = components(rows.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-    part = _labelled(clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")), roots)
-    per = part.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-    part = part.join(per, "cluster").join(sets.select("cls", "n"), "cls").withColumn("outer", F.col("root") != F.col("main"))
+    tasks = _tasks(clusters.count())
+    grouped = stored(_labelled(clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")), roots).coalesce(tasks), "grouped")
+    per = grouped.groupBy("cluster", "root").count().coalesce(tasks).groupBy("cluster").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
+    part = grouped.join(per, "cluster").coalesce(tasks).join(sets.select("cls", "n"), "cls").withColumn("outer", F.col("root") != F.col("main"))
+    part = stored(part.coalesce(tasks), "part")
     sizes = part.groupBy("cluster").agg(*[
         F.greatest(F.ceil(F.count(F.when(c, 1)) / BLOCK_CLASSES), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(k)
         for k, c in (("outers", F.col("outer")), ("mains", ~F.col("outer")))])
@@ -266,8 +280,20 @@ def _blocks(members: DataFrame, sets: DataFrame, roots: DataFrame | None, pct: i
     own = F.concat(F.transform(outers, lambda o: pair(F.least(o, "block"), F.greatest(o, "block"), 0)), F.transform(mains, lambda o: pair(F.col("block"), o, 1)))
     other = F.transform(outers, lambda o: pair(o, F.col("block"), 1))
     dealt = part.select("cls", "root", "cluster", F.col("outer").alias("side"), F.explode(F.when(F.col("outer"), own).otherwise(other)).alias("p"))
-    return (dealt.join(sets, "cls").select("cls", "root", "side", "cluster", "p.i", "p.j", "p.k", "n", "set")
-            .groupBy("cluster", "i", "j", "k").applyInPandas(lambda pdf: _block_links(pct)(pdf), "a binary, b binary"))
+    found = stored(dealt.join(sets, "cls").select("cls", "root", "side", "cluster", "p.i", "p.j", "p.k", "n", "set")
+                   .groupBy("cluster", "i", "j", "k").applyInPandas(lambda pdf: _block_links(pct)(pdf), "a binary, b binary"), "blocks")
+    for used in (rows, clusters, grouped, part):
+        discard(used)
+    return found
+
+
+def _joined(links: DataFrame | None, more: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All links with ``more`` of them, and their components in place of ``roots``."""
+    links = more if links is None else links.unionAll(more)
+    new = components(links)
+    if roots is not None:
+        discard(roots)
+    return links, new
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -279,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_P
     members = stored(keyed.join(shared, "key").select("key", "cls"), "members")
     reps = members.select("cls").distinct().join(sig.where("doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls")
     sets = stored(class_sets(docs, reps, words), "sets")
-    links, roots = None, None
+    links, roots, written = None, None, [members, sets]
     for turn in range(MAX_STAR_ROUNDS):
         labelled = _labelled(members, roots)
         pivots = _pivots(labelled, turn)
@@ -289,20 +315,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_P
             F.min(F.struct(F.xxhash64("pivot"), "pivot"))["pivot"].alias("r"), F.max(F.struct(F.xxhash64("pivot"), "pivot"))["pivot"].alias("s"))
         pairs = met.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array("p", "q", "r", "s"))).alias("b"))
         flagged = stored(_confirm(pairs, sets, pct), "star")
+        written.append(flagged)
         count = flagged.agg(F.count("*").alias("n"), F.count(F.when(F.col("linked"), 1)).alias("k")).first()
         if not count["n"]:
             break
         if count["k"]:
-            found = flagged.where("linked").select("a", "b")
-            links = found if links is None else links.unionAll(found)
-            roots = components(links)
+            links, roots = _joined(links, flagged.where("linked").select("a", "b"), roots)
         if count["k"] < STAR_YIELD * count["n"]:
             break
     if not (links is None and not count["n"]):
-        more = stored(_blocks(members, sets, roots, pct), "blocks")
+        more = _blocks(members, sets, roots, pct)
+        written.append(more)
         if more.limit(1).count():
-            links = more if links is None else links.unionAll(more)
-            roots = components(links)
+            links, roots = _joined(links, more, roots)
+    for used in written:
+        discard(used)
     base = sig.select("doc_id", "n_shingles", "cls")
     if roots is None:
         base = base.withColumn("root", F.col("cls"))
@@ -313,6 +340,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_P
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _groups(docs: DataFrame, **options) -> DataFrame:
+    """``near_duplicates``, written once; what it was made from goes."""
+    found = near_duplicates(docs, **options)
+    groups = stored(found, "groups")
+    discard(found)
+    return groups
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each group: the one with the least id, a null id last; rows without words are in no group and stay.
 
@@ -322,12 +357,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("some")).first()
     repeated = ids["some"] < ids["n"] or docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
-        groups = stored(near_duplicates(docs, **options), "groups")
+        groups = _groups(docs, **options)
         return docs.join(groups.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("own"), F.md5("text").alias("mark"), whole)
     rows = stored(global_index(rows, ["last", "own", "mark"], "doc_id").select("doc_id", "doc"), "rows")
-    groups = stored(near_duplicates(rows.select("doc_id", "doc.text"), **options), "groups")
+    groups = _groups(rows.select("doc_id", "doc.text"), **options)
     kept = rows.join(groups.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
     return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 

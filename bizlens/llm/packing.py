@@ -15,7 +15,9 @@ A round does, for all rows at once:
    places (or one, when nothing was matched), by the largest leftovers.
 5. *Update* the gaps, drop those smaller than any unplaced item, and repeat.
 
-Every round is checkpointed to the shared folder.  Equal sizes are split by the
+Every round is checkpointed to the shared folder; what reads it again takes as
+many tasks as the rows ask for, whatever the number of shuffle partitions, so
+neither a round nor the union of all rounds pays for small partitions.  Equal sizes are split by the
 item number in the sort key, so one frequent length is spread over many ranges.
 
 Edge cases: an item longer than the limit is an error (cut it first); items of
@@ -160,8 +162,9 @@ def pack(items: DataFrame, limit: int = 2048, range_rows: int = RANGE_ROWS) -> D
     state = items.where(F.col("size") < limit).select("size", F.lit(0).alias("kind"), "id")
     n_rows = state.count()
     while n_rows:
-        ranged = state.repartitionByRange(-(-n_rows // range_rows), "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
-        swept = checkpointed(ranged.mapInArrow(_sweep(limit), _SWEPT))
+        tasks = -(-n_rows // range_rows)
+        ranged = state.repartitionByRange(tasks, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
+        swept = checkpointed(ranged.mapInArrow(_sweep(limit), _SWEPT)).coalesce(tasks)
         about = sorted((r.asDict() for r in swept.where(F.col("kind") == ABOUT).collect()), key=lambda r: r["pid"])  # a row a range
         spans = _carry([{"pid": r["pid"], "items": r["a"], "largest": r["b"], "gaps": r["c"], "least": r["d"]} for r in about])
         left = {r["pid"]: r["a"] for r in about}
@@ -191,7 +194,7 @@ def pack(items: DataFrame, limit: int = 2048, range_rows: int = RANGE_ROWS) -> D
             mates = tagged.where("gap_pid IS NOT NULL").groupBy("gap_pid", "gap_rank").agg(F.collect_list(F.struct("id", "size")).alias("take"))  # at most limit each
             joined = gap_left.join(mates, (F.col("pid") == F.col("gap_pid")) & (F.col("rank") == F.col("gap_rank")), "left").select(
                 gap_left["id"].alias("sequence_id"), gap_left["size"].alias("gap"), "take")
-            joined = checkpointed(joined)
+            joined = checkpointed(joined.coalesce(tasks))
             placed.append(joined.where("take IS NOT NULL").select("sequence_id", F.explode(F.transform("take", lambda x, i: F.struct(
                 x["id"].alias("id"), (F.lit(limit) - F.col("gap") + F.aggregate(F.slice("take", 1, i), F.lit(0).cast("bigint"), lambda a, y: a + y["size"])).alias("offset"))))
             ).select("col.id", "sequence_id", "col.offset"))
