@@ -15,8 +15,9 @@
    holds a whole cluster.  Only links that join groups are emitted.
 5. *Union-find* as joins: least label with pointer jumping over the links.
 
-Links, groups and sets stay distributed; the driver sees row counts only.  The
-tasks of a round over links follow their number, not the session's shuffle
+Links, groups and sets stay distributed; the driver sees row counts and two key
+filters of bounded size only, which keep texts that a join cannot match out of
+its shuffle.  The tasks of a round over links follow their number, not the session's shuffle
 partitions, and what a round has written goes once the next one has read it.
 
 Edge cases: null, empty and blank texts have an empty set and link with
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators.paging import global_index
 
-from .common import discard, map_batches, slices, stored
+from .common import discard, key_filter, map_batches, slices, stored
 
 WORDS = 5
 SIMILARITY_PCT = 75
@@ -160,7 +161,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
                     "cls": pa.array([c for c, _ in got], pa.binary()), "n": pa.array([len(p) for _, p in got], pa.int64()),
                     "set": pa.array([p.view(np.int64) for _, p in got], pa.list_(pa.int64()))})
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "cls")
+    holds = key_filter(wanted, "doc_id")
+    rows = docs.select("doc_id", "text").where(holds(F.col("doc_id"))).join(wanted, "doc_id").select("text", "cls")
     return map_batches(rows, run, "cls binary, n bigint, set array<bigint>").dropDuplicates(["cls"])
 
 
@@ -303,8 +305,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, pct: int = SIMILARITY_P
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     members = stored(keyed.join(shared, "key").select("key", "cls"), "members")
-    reps = members.select("cls").distinct().join(sig.where("doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls")
+    reps = stored(members.select("cls").distinct().join(sig.where("doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls"), "reps")
     sets = stored(class_sets(docs, reps, words), "sets")
+    discard(reps)
     links, roots, written = None, None, [members, sets]
     for turn in range(MAX_STAR_ROUNDS):
         labelled = _labelled(members, roots)
@@ -348,6 +351,13 @@ def _groups(docs: DataFrame, **options) -> DataFrame:
     return groups
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone``; only rows that the filter holds for one of them are joined."""
+    holds = key_filter(gone, "doc_id")(F.col("doc_id"))
+    left = docs.where(holds).join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(~holds).unionAll(left)
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each group: the one with the least id, a null id last; rows without words are in no group and stay.
 
@@ -358,12 +368,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     repeated = ids["some"] < ids["n"] or docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
         groups = _groups(docs, **options)
-        return docs.join(groups.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        return _without(docs, groups.where("NOT kept").select("doc_id"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("own"), F.md5("text").alias("mark"), whole)
     rows = stored(global_index(rows, ["last", "own", "mark"], "doc_id").select("doc_id", "doc"), "rows")
     groups = _groups(rows.select("doc_id", "doc.text"), **options)
-    kept = rows.join(groups.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    kept = _without(rows, groups.where("NOT kept").select("doc_id"))
     return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
