@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators.paging import global_index
 
-from .common import discard, key_filter, map_batches, slices, stored
+from .common import discard, in_filter, key_filter, key_hash, map_batches, slices, stored
 
 WORDS = 5
 SIMILARITY_PCT = 75
@@ -148,22 +148,24 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(cls, n, set) of the wanted classes; ``wanted``: (doc_id, cls), a document of each class."""
+    """(cls, n, set) of the wanted classes; ``wanted``: (doc_id, cls), a document of each class.
+
+    The sets are made where the texts are, of the rows that the filter holds for wanted ones.
+    """
+    test = key_filter(wanted, "doc_id")
 
     def run(batches):
         for batch in batches:
-            texts, want = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).filter(pa.array(test(batch.column(0).to_numpy()))).to_pylist()
             for lo, hi in slices(texts, lambda t: len(t or ""), SLICE_CHARS):
                 s, n = shingle_sets(texts[lo:hi], words)
-                parts = np.split(s, np.cumsum(n)[:-1])
-                got = [(c, p) for p, c in zip(parts, want[lo:hi]) if _class(p) == c]  # a repeated doc_id may bring other texts
+                parts = [p for p in np.split(s, np.cumsum(n)[:-1]) if len(p)]
                 yield pa.RecordBatch.from_pydict({
-                    "cls": pa.array([c for c, _ in got], pa.binary()), "n": pa.array([len(p) for _, p in got], pa.int64()),
-                    "set": pa.array([p.view(np.int64) for _, p in got], pa.list_(pa.int64()))})
+                    "cls": pa.array([_class(p) for p in parts], pa.binary()), "n": pa.array([len(p) for p in parts], pa.int64()),
+                    "set": pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))})
 
-    holds = key_filter(wanted, "doc_id")
-    rows = docs.select("doc_id", "text").where(holds(F.col("doc_id"))).join(wanted, "doc_id").select("text", "cls")
-    return map_batches(rows, run, "cls binary, n bigint, set array<bigint>").dropDuplicates(["cls"])
+    made = map_batches(docs.select(key_hash(F.col("doc_id")), "text"), run, "cls binary, n bigint, set array<bigint>")
+    return made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _tasks(rows: int) -> int:
@@ -353,7 +355,7 @@ def _groups(docs: DataFrame, **options) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone``; only rows that the filter holds for one of them are joined."""
-    holds = key_filter(gone, "doc_id")(F.col("doc_id"))
+    holds = in_filter(key_filter(gone, "doc_id"), F.col("doc_id"))
     left = docs.where(holds).join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.where(~holds).unionAll(left)
 
